@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -32,8 +33,8 @@ LATER_LETTERS = (
 )
 LATER_NUMBERS = r"\U00011DE0-\U00011DE9\U0001246F\U00012475-\U0001247F\U00012550-\U00012686\U00016FF4-\U00016FF6"
 
-#: Distinct pre-tokens whose ids a worker remembers; beyond, it forgets them all and begins again.
-REMEMBERED = 400_000
+#: Distinct pre-tokens whose ids a worker remembers at most: half of them recent, half from before.
+REMEMBERED = 1_000_000
 #: Pre-tokens longer than this are not remembered.
 REMEMBERED_LENGTH = 64
 
@@ -43,45 +44,6 @@ SPAN = 8
 BIT = [1 << i for i in range(1 << SPAN)]
 
 
-class RankQueue:
-    """Positions by merge rank; ``pop`` gives the lowest rank's lowest position.
-
-    Two bitmap levels of 256-bit words cover 65,536 ranks, and the upper level's single word grows with the ranks.
-    """
-
-    def __init__(self, ranks: int):
-        self.buckets: dict[int, list[int]] = {}
-        self.words = [0] * ((ranks >> SPAN) + 1)
-        self.top = 0
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            self.words[rank >> SPAN] |= BIT[rank & 255]
-            self.top |= 1 << (rank >> SPAN)
-        else:
-            heappush(bucket, position)
-
-    def pop(self) -> tuple[int, int] | None:
-        top = self.top
-        if not top:
-            return None
-        a = (top & -top).bit_length() - 1
-        word = self.words[a]
-        b = (word & -word).bit_length() - 1
-        rank = a << SPAN | b
-        bucket = self.buckets[rank]
-        if len(bucket) > 1:
-            return rank, heappop(bucket)
-        del self.buckets[rank]
-        word ^= BIT[b]
-        self.words[a] = word
-        if not word:
-            self.top = top & (top - 1)
-        return rank, bucket[0]
-
-
 class BytePairEncoder:
     """Encodes and decodes by a rank file's merges; ids are the ranks. Special tokens are ordinary text."""
 
@@ -97,7 +59,12 @@ class BytePairEncoder:
         exact = exact.replace(r"?\p{L}", rf"?[\p{{L}}--[{LATER_LETTERS}]]").replace(r"?\p{N}", rf"?[\p{{N}}--[{LATER_NUMBERS}]]")
         self.exact = regex.compile(exact, regex.V1)
         self.known: dict[str, bytes] = {}
-        self.queue = RankQueue(self.size)  # empty between pre-tokens
+        self.known_before: dict[str, bytes] = {}
+        self.pairs = [-1] * 65536  # merge ranks of two single bytes
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.pairs[token[0] << 8 | token[1]] = rank
+        self.words = [0] * ((self.size >> SPAN) + 1)  # the lower bitmap level; all zero between pre-tokens
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> BytePairEncoder:
@@ -111,7 +78,11 @@ class BytePairEncoder:
         return self.exact.findall(text)
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token."""
+        """Ids of one pre-token.
+
+        The queue is laid out in here, for speed: ``buckets`` holds the positions filed under a rank (a heap), ``words``
+        the lower bitmap of 256-bit words over the ranks, ``top`` the upper level, one bit a word.
+        """
         ranks = self.ranks
         whole = ranks.get(piece)
         if whole is not None:
@@ -119,57 +90,87 @@ class BytePairEncoder:
         n = len(piece)
         after = list(range(1, n + 1))  # where the next token begins, and so where this one ends
         before = list(range(-1, n - 1))
-        waiting = [-1] * n  # the rank under which the pair that begins here is filed now
-        push, pop, get = self.queue.push, self.queue.pop, ranks.get
-        for i in range(n - 1):
-            rank = get(piece[i : i + 2])
-            if rank is not None:
-                waiting[i] = rank
-                push(rank, i)
-        while (entry := pop()) is not None:
-            rank, i = entry
+        pairs, words, get = self.pairs, self.words, ranks.get
+        waiting = [pairs[a << 8 | b] for a, b in zip(piece, piece[1:])]  # the rank under which a pair is filed now
+        waiting.append(-1)
+        buckets: dict[int, list[int]] = {}
+        top = 0
+        for i, rank in enumerate(waiting):
+            if rank >= 0:
+                if rank in buckets:
+                    buckets[rank].append(i)
+                else:
+                    buckets[rank] = [i]
+                    words[rank >> SPAN] |= BIT[rank & 255]
+                    top |= 1 << (rank >> SPAN)
+        while top:
+            high = (top & -top).bit_length() - 1
+            word = words[high]
+            low = (word & -word).bit_length() - 1
+            rank = high << SPAN | low
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                word ^= BIT[low]
+                words[high] = word
+                if not word:
+                    top &= top - 1
             if waiting[i] != rank:
                 continue
             right = after[i]
-            end = after[right]
-            after[i] = end
+            end = after[i] = after[right]
             waiting[right] = -1
+            left = before[i]
             if end < n:
                 before[end] = i
-                rank = get(piece[i : after[end]])
-                if rank is None:
-                    waiting[i] = -1
-                else:
-                    waiting[i] = rank
-                    push(rank, i)
+                changed = ((i, get(piece[i : after[end]], -1)), (left, get(piece[left:end], -1) if left >= 0 else -1))
             else:
                 waiting[i] = -1
-            left = before[i]
-            if left >= 0:
-                rank = get(piece[left:end])
-                if rank is None:
-                    waiting[left] = -1
-                elif rank != waiting[left]:
-                    waiting[left] = rank
-                    push(rank, left)
+                changed = ((left, get(piece[left:end], -1)),) if left >= 0 else ()
+            for at, new in changed:
+                if at < 0 or waiting[at] == new:
+                    if at != i or new < 0:
+                        continue
+                waiting[at] = new
+                if new >= 0:
+                    if new in buckets:
+                        heappush(buckets[new], at)
+                    else:
+                        buckets[new] = [at]
+                        words[new >> SPAN] |= BIT[new & 255]
+                        top |= 1 << (new >> SPAN)
         ids, i = [], 0
         while i < n:
-            ids.append(ranks[piece[i : after[i]]])
-            i = after[i]
+            end = after[i]
+            ids.append(ranks[piece[i:end]])
+            i = end
         return ids
 
     def packed(self, piece: str) -> bytes:
-        ids = np.array(self.merge(piece.encode()), "<u4").tobytes()
+        ids = self.known_before.get(piece)
+        if ids is None:
+            merged = self.merge(piece.encode())
+            ids = struct.pack(f"<{len(merged)}I", *merged)
         if len(piece) <= REMEMBERED_LENGTH:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
+            if len(self.known) >= REMEMBERED // 2:
+                self.known_before, self.known = self.known, {}
             self.known[piece] = ids
         return ids
 
     def encode_packed(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         known, packed = self.known.get, self.packed
-        return b"".join([known(piece) or packed(piece) for piece in self.split(text)])
+        out = []
+        for piece in self.split(text):
+            ids = known(piece)
+            if ids is None:
+                ids = packed(piece)
+                known = self.known.get
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_packed(text), "<u4").tolist()
