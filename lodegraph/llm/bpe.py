@@ -193,31 +193,36 @@ def encoder(path: str, pattern: str) -> BytePairEncoder:
     return _encoders[key]
 
 
-def encode_texts(df: DataFrame, vocabulary: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", digest: bool = False) -> DataFrame:
-    """One row a document: the id, ``n_tokens`` and either ``ids`` (array of int) or, with ``digest``, the hashes of the
-    ids and of the decoded bytes. A null text is empty and has no ids. Rows are independent: repeated rows, null ids
-    and further columns change nothing, and nothing is shuffled. The vocabulary's path must exist on every worker.
+def encode_texts(df: DataFrame, vocabulary: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = (), ids: bool = True, digest: bool = False) -> DataFrame:
+    """One row a document: the id, the columns ``keep``, ``n_tokens``; with ``ids`` the ids (array of int); with
+    ``digest`` ``ids_sha256`` (of the ids as little-endian unsigned 32-bit integers) and ``decoded_sha256`` (of the bytes
+    that they decode to). A null text is empty and has no ids. Rows are independent: repeated rows, null ids and further
+    columns change nothing, and nothing is shuffled. The vocabulary's path must exist on every worker.
     """
-    kind = df.schema[id_column].dataType.simpleString()
-    more = "ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>"
+    carried = [id_column, *keep]
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carried) + ", n_tokens bigint"
+    schema += ", ids array<int>" * ids + ", ids_sha256 string, decoded_sha256 string" * digest
+    names = [*carried, "n_tokens", *["ids"] * ids, *["ids_sha256", "decoded_sha256"] * digest]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary, pattern)
-        for batch in batches:
-            counts, first, second = [], [], []
-            for value in batch.column(1):
-                ids = coder.encode_packed(value.as_py() or "")
-                counts.append(len(ids) >> 2)
-                if digest:
-                    first.append(hashlib.sha256(ids).hexdigest())
-                    second.append(hashlib.sha256(coder.decode_packed(ids)).hexdigest())
-                else:
-                    first.append(np.frombuffer(ids, "<i4"))
-            out = [batch.column(0), pa.array(counts, pa.int64())]
-            out += [pa.array(first, pa.string()), pa.array(second, pa.string())] if digest else [pa.array(first, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(out, [id_column, "n_tokens", *(["ids_sha256", "decoded_sha256"] if digest else ["ids"])])
-
-    return df.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {kind}, n_tokens bigint, {more}")
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1000):
+                batch = whole.slice(lo, 1000)
+                packed, hashes, decoded = [], [], []
+                for value in batch.column(len(carried)):
+                    made = coder.encode_packed(value.as_py() or "")
+                    packed.append(np.frombuffer(made, "<i4") if ids else len(made) >> 2)
+                    if digest:
+                        hashes.append(hashlib.sha256(made).hexdigest())
+                        decoded.append(hashlib.sha256(coder.decode_packed(made)).hexdigest())
+                out = [batch.column(i) for i in range(len(carried))]
+                out.append(pa.array([len(x) for x in packed] if ids else packed, pa.int64()))
+                out += [pa.array(packed, pa.list_(pa.int32()))] if ids else []
+                out += [pa.array(hashes, pa.string()), pa.array(decoded, pa.string())] if digest else []
+                yield pa.RecordBatch.from_arrays(out, names)
+
+    return df.select(*carried, text_column).mapInArrow(run, schema)
 
 
 def decode_ids(df: DataFrame, vocabulary: str, pattern: str, id_column: str = "doc_id", ids_column: str = "ids") -> DataFrame:

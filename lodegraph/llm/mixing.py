@@ -139,17 +139,10 @@ def mix(
 def mixed_documents(df: DataFrame, **parameters) -> DataFrame:
     """The documents of the mix in whole copies: each row of ``df`` as often as ``copies`` of :func:`mix` says.
 
-    Rows that agree in id, source and size share their copies' sum: the first of them are as many as it takes.
+    Rows are known by a hash of all their columns; those that agree in all of them get the rounded mean of their copies.
+    Texts are shuffled once, to meet their copies, unless the plan is small enough to be broadcast.
     """
-    plan = mix(df, **parameters)
-    keys = ["doc_id", "source", "size"]
-    # rows alike in the keys may have different copies; number them on both sides so that each plan row meets one document
-    alike = Window.partitionBy(*keys)
-    plan = plan.select(*keys, "copies").withColumn("_n", F.row_number().over(alike.orderBy(F.col("copies").desc())))
-    numbered = df.withColumn("_size", word_count(F.col("text")))
-    order = Window.partitionBy("doc_id", "source", "_size").orderBy(F.xxhash64("text"))
-    numbered = numbered.withColumn("_n", F.row_number().over(order))
-    on = [numbered["doc_id"].eqNullSafe(plan["doc_id"]), numbered["source"].eqNullSafe(plan["source"]), numbered["_size"] == plan["size"], numbered["_n"] == plan["_n"]]
-    joined = numbered.join(plan.where("copies > 0"), on)
-    joined = joined.select(*[numbered[c] for c in df.columns], F.explode(F.sequence(F.lit(1), plan["copies"])).alias("_copy"))
-    return joined.drop("_copy")
+    keyed = df.withColumn("_row", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    plan = mix(keyed, id_column="_row", **parameters).groupBy("doc_id").agg(F.round(F.avg("copies")).cast("int").alias("_copies"))
+    joined = keyed.join(plan.where("_copies > 0").withColumnRenamed("doc_id", "_row"), "_row")
+    return joined.select(*df.columns, F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).drop("_copy")

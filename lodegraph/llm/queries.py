@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ctw, linededup, mixing, pii, simhash, toxicity, urls
+from . import bpe, ctw, jpeg, linededup, mixing, pii, quality, simhash, toxicity, urls
 from .queries_sql import ORACLES
 
 #: The rank file of the encoding query; a parameter, never copied.
@@ -26,6 +26,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op2_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.round_trip(documents(spark, sf_dir))
+
+
 def op3_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score_texts(documents(spark, sf_dir))
 
@@ -46,6 +50,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in pii.BASE], F.sha2(base, 256).alias("base_sha256"), pii.joined(F.col("found")).alias("spans"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
@@ -55,7 +63,7 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_texts(documents(spark, sf_dir), VOCABULARY, public_tokenizers.PATTERN, digest=True)
+    return bpe.encode_texts(documents(spark, sf_dir), VOCABULARY, public_tokenizers.PATTERN, ids=False, digest=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

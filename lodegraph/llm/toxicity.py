@@ -155,6 +155,19 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
     return docs.select(id_column, text_column).mapInArrow(run, f"doc_id {kind}, score double")
 
 
+def filter_clean(docs: DataFrame, model: Model, threshold: float = 0.7, text_column: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that score under the threshold."""
+    held = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
+    at = docs.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*held.value)
+        for batch in batches:
+            yield batch.filter(pa.array([own.score(t.as_py() or "") < threshold for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **parameters) -> DataFrame:
     """Train on the labelled rows that are not held out and score every document: ``doc_id``, ``held_out`` (crc32 of the
     id as text, mod 3, is 1; never for a null id, whose text is empty), ``score`` (0 to 1) and ``predicted`` (1 from the
