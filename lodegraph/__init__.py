@@ -1,0 +1 @@
+"""A property-graph and code-intelligence engine on Spark DataFrames."""
