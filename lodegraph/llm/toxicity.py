@@ -7,7 +7,7 @@ regression with an L2 penalty is fitted on them. Scoring looks up every n-gram o
 
 Training reads at most ``max_training`` labelled documents, drawn by a hash of their ids: that bound is the only one.
 Counting and extracting features run on the executors; the driver gets counts of places (at most 2**20 rows) and the
-selected places of the drawn documents (at most ``max_features`` in all, a few dozen a document), and fits.
+selected places of the drawn documents (of ``max_features`` different ones, a few dozen a document), packed, and fits.
 """
 
 from __future__ import annotations
@@ -91,7 +91,7 @@ def fit_logistic(row: np.ndarray, column: np.ndarray, value: np.ndarray, y: np.n
     return w[:-1], float(w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_training: int = 20_000, max_features: int = 16_384, least_ratio: float = 20.0, penalty: float = 1.0, seed: int = 3) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_training: int = 20_000, max_features: int = 2_048, least_ratio: float = 20.0, penalty: float = 1.0, seed: int = 3) -> Model:
     """``labels`` has ``doc_id`` and ``toxic`` and holds only rows that may be learned from. Of repeated labels of a
     document the greatest counts, null ones are ignored; of documents that share an id the least text does. Without
     examples of both classes the model knows only how often a text is toxic.
@@ -127,14 +127,17 @@ def train(docs: DataFrame, labels: DataFrame, max_training: int = 20_000, max_fe
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [column_of[distinct_places(t.as_py(), column_of >= 0)] for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "y", "columns"])
-
-    kind = kept.schema["doc_id"].dataType.simpleString()
-    rows = kept.mapInArrow(lambda b: extract(x.select(["doc_id", "y", "text"]) for x in b), f"doc_id {kind}, y int, columns array<int>").toPandas().sort_values("doc_id")
-    lengths = rows["columns"].map(len).to_numpy()
-    column = np.concatenate([*rows["columns"], np.zeros(0, np.int32)]).astype(np.int64)
-    weights, bias = fit_logistic(np.repeat(np.arange(len(rows)), lengths), column, ratio[column], rows["y"].to_numpy(float), len(best), penalty)
+            found = [column_of[distinct_places(t.as_py(), column_of >= 0)] for t in batch.column(1)]
+            lengths = np.fromiter(map(len, found), np.int32, len(found))
+            columns = np.concatenate([*found, np.zeros(0, np.int32)]).astype(np.uint16)
+            y = batch.column(0).to_numpy().astype(np.int8)
+            yield pa.RecordBatch.from_pydict({c: pa.array([v.tobytes()], pa.binary()) for c, v in (("y", y), ("lengths", lengths), ("columns", columns))})
+
+    packs = kept.select("y", "text").mapInArrow(extract, "y binary, lengths binary, columns binary").collect()
+    y, lengths, column = (np.frombuffer(b"".join(bytes(p[i]) for p in packs), kind) for i, kind in enumerate((np.int8, np.int32, np.uint16)))
+    del packs, table
+    row = np.repeat(np.arange(len(y), dtype=np.int32), lengths)
+    weights, bias = fit_logistic(row, column.astype(np.int32), ratio[column].astype(np.float32), y.astype(float), len(best), penalty)
     by_place = np.zeros(PLACES, np.float32)
     by_place[at[best]] = weights * ratio
     return Model(by_place, bias)
