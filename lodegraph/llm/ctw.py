@@ -32,13 +32,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc_py, materialize
+from .common import id_crc_py, lean_memory, materialize
 
 #: Bytes of context.
 DEPTH = 6
 #: Bytes of text in a chunk, and of those counted at once.
 CHUNK = 32 << 20
 PIECE = 3 << 20
+#: Counts of pieces wait until they are so many, and are merged then.
+WAITING = 4_000_000
+#: Words whose terms a scoring task remembers; beyond, it begins again.
+REMEMBERED = 150_000
 PARTS = 1024
 #: Stands before the first byte and after the last; never in UTF-8.
 EDGE = 0xFF
@@ -238,6 +242,47 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return np.cumsum(_spread(blob, np.uint64), dtype=np.uint64)
 
 
+class Lookup:
+    """Values by 64-bit key, for very many questions in no order: levels of hash tables without chains.
+
+    A key that another one takes the place of goes to the next, smaller level; most questions end at the first, after one
+    memory access where a binary search takes twenty. Every key asked for must be there.
+    """
+
+    EMPTY = np.uint64(2**64 - 1)
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.levels = []
+        while len(keys):
+            bits = max(6, (len(keys) - 1).bit_length())
+            slot = self._slot(keys, bits)
+            held, told = np.full(1 << bits, self.EMPTY), np.zeros(1 << bits, values.dtype)
+            held[slot], told[slot] = keys, values
+            lost = held[slot] != keys
+            told[slot[~lost]] = values[~lost]
+            self.levels.append((bits, held, told))
+            keys, values = keys[lost], values[lost]
+
+    def _slot(self, keys: np.ndarray, bits: int) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15 + 2 * bits)) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        out, left = None, None
+        for bits, held, told in self.levels:
+            mine = keys if left is None else keys[left]
+            slot = self._slot(mine, bits)
+            found = told[slot]
+            missed = np.flatnonzero(held[slot] != mine)
+            if left is None:
+                out, left = found, missed
+            else:
+                out[left] = found
+                left = left[missed]
+            if not len(left):
+                break
+        return out
+
+
 class _Chunk:
     """Documents of one scan task, until they are enough."""
 
@@ -248,8 +293,7 @@ class _Chunk:
         self.ids: list = []
         self.flags: list[bool] = []
         self.rows: list[tuple] = []
-        self.keys: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = []
+        self.counted: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {STRINGS: [], WORDS: []}
         self.words: Counter[bytes] = Counter()
         self.asked: set[bytes] = set()
 
@@ -260,13 +304,27 @@ class _Chunk:
         self.texts.append(text)
         self.flags.append(held)
         (self.asked if held else self.words).update(text.split())
-        if not held:
+        if held:
+            self.asked.add(END)
+        else:
             self.words[END] += 1
         self.size += len(text) + 1
         self.waiting += len(text) + 1
         if self.waiting >= PIECE:
             self.count()
 
+    def keep(self, kind: int, keys: np.ndarray, counts: np.ndarray) -> None:
+        held = self.counted[kind]
+        held.append((keys, counts.astype(np.uint32)))
+        if len(held) > 1 and sum(len(k) for k, _ in held) >= WAITING:
+            held[:] = [self.merged(kind)]
+
+    def merged(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        held = self.counted[kind]
+        keys, counts = np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held])
+        held.clear()
+        return summed(keys, counts)
+
     def count(self) -> None:
         for held in (False, True):
             mine = [t for t, h in zip(self.texts, self.flags) if h == held]
@@ -274,8 +332,12 @@ class _Chunk:
                 made = strings_of(mine, self.depth)[0]
                 made.sort()
                 at = _runs(made)
-                self.keys.append(made[at])
-                self.counts.append(np.zeros(len(at), np.int64) if held else np.diff(np.append(at, len(made))))
+                self.keep(STRINGS, made[at], np.zeros(len(at), np.uint32) if held else np.diff(np.append(at, len(made))))
+        for words in (self.words, self.asked):
+            hashed = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+            counts = np.fromiter(words.values(), np.int64, len(words)) if words is self.words else np.zeros(len(words), np.int64)
+            self.keep(WORDS, *summed(hashed, counts))
+            words.clear()
         if self.ids:
             blob = zstandard.ZstdCompressor(3).compress(b"".join(self.texts))
             lengths = np.fromiter(map(len, self.texts), np.int64, len(self.texts))
@@ -284,11 +346,7 @@ class _Chunk:
 
     def finish(self) -> list[tuple]:
         self.count()
-        strings = summed(np.concatenate(self.keys), np.concatenate(self.counts))
-        hashed = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.words), np.uint64, len(self.words))
-        more = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.asked), np.uint64, len(self.asked))
-        counts = np.fromiter(self.words.values(), np.int64, len(self.words))
-        words = summed(np.concatenate([hashed, more]), np.concatenate([counts, np.zeros(len(more), np.int64)]))
+        strings, words = self.merged(STRINGS), self.merged(WORDS)
         for kind, (keys, counts) in ((STRINGS, strings), (WORDS, words)):
             part = _part_of(keys, kind)
             order = np.argsort(part, kind="stable")
@@ -322,6 +380,7 @@ def score_texts(df: DataFrame, depth: int = DEPTH, id_column: str = "doc_id", te
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        lean_memory()
         number = TaskContext.get().partitionId() << 32
         chunk = _Chunk(number, depth)
 
@@ -342,6 +401,8 @@ def score_texts(df: DataFrame, depth: int = DEPTH, id_column: str = "doc_id", te
                     chunk = _Chunk(chunk.number + 1, depth)
         if chunk.size:
             yield from rows(chunk)
+        del chunk
+        lean_memory()
 
     gathered = materialize(df.select(id_column, text_column).mapInArrow(gather, schema), "ctw-chunks", "none")
     asked = gathered.where(F.col("kind") != TEXTS).drop("ids")
@@ -373,31 +434,34 @@ def score_texts(df: DataFrame, depth: int = DEPTH, id_column: str = "doc_id", te
     together = texts.unionByName(answers.withColumn("ids", F.lit(None).cast(f"array<{kind}>")).select("chunk", "kind", "ids", "keys", "counts"))
 
     def finish(table: pa.Table) -> pa.Table:
+        lean_memory()
         by = {k: [i for i, x in enumerate(table.column("kind").to_pylist()) if x == k] for k in (TEXTS, STRINGS, WORDS)}
         keys_column, counts_column = table.column("keys"), table.column("counts")
 
         def lookup(k: int, dtype: type) -> tuple[np.ndarray, np.ndarray]:
-            keys = np.concatenate([_unpacked(keys_column[i].as_py()) for i in by[k]])
             values = np.concatenate([_spread(counts_column[i].as_py(), dtype) for i in by[k]])
-            order = np.argsort(keys)
-            return keys[order], values[order]
-
-        strings, log10_p = lookup(STRINGS, np.float32)
-        log10_p = log10_p.astype(np.float64)
-        word_keys, word_counts = lookup(WORDS, np.int64)
+            keys, at = np.empty(len(values), np.uint64), 0
+            for i in by[k]:
+                part = _unpacked(keys_column[i].as_py())
+                keys[at : at + len(part)] = part
+                at += len(part)
+            return keys, values
+
+        log10_p = Lookup(*lookup(STRINGS, np.float32))
+        count_of = Lookup(*lookup(WORDS, np.int64))
         term = lambda c: math.log10((c + 0.1) / (n_tokens + 0.1 * (n_distinct + 1)))
         known: dict[bytes, float] = {}
         unknown: set[bytes] = set()
 
         def learn(new: list[bytes]) -> None:
             hashed = np.fromiter((xxhash.xxh64_intdigest(w) for w in new), np.uint64, len(new))
-            at = np.minimum(np.searchsorted(word_keys, hashed), len(word_keys) - 1)
-            for word, count in zip(new, np.where(word_keys[at] == hashed, word_counts[at], 0).tolist()):
+            for word, count in zip(new, count_of(hashed).tolist()):
                 known[word] = term(count)
                 if not count:
                     unknown.add(word)
 
         learn([END])
+        end_term, end_known = known[END], END not in unknown
         out: dict[str, list] = {k: [] for k in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes")}
         for i in by[TEXTS]:
             blob = zstandard.ZstdDecompressor().decompress(keys_column[i].as_py())
@@ -408,18 +472,21 @@ def score_texts(df: DataFrame, depth: int = DEPTH, id_column: str = "doc_id", te
             made, sizes = strings_of(texts, depth)
             found = np.empty(len(made))
             for lo in range(0, len(made), 1 << 18):
-                found[lo : lo + (1 << 18)] = log10_p[np.searchsorted(strings, made[lo : lo + (1 << 18)])]
+                found[lo : lo + (1 << 18)] = log10_p(made[lo : lo + (1 << 18)])
             scores = np.add.reduceat(found, np.cumsum(sizes) - sizes)
             for doc_id, text, score in zip(ids, texts, scores.tolist()):
                 tokens = text.split()
+                if len(known) > REMEMBERED:
+                    known.clear()
+                    unknown.clear()
                 if new := [w for w in set(tokens) if w not in known]:
                     learn(new)
                 missed = sum(w in unknown for w in tokens) if unknown else 0
                 out["doc_id"].append(doc_id)
                 out["held_out"].append(id_crc_py(doc_id) % 10 == 0)
                 out["n_tokens"].append(len(tokens) + 1)
-                out["n_known"].append(len(tokens) + 1 - missed - (END in unknown))
-                out["base_score"].append(sum(map(known.__getitem__, tokens)) + known[END])
+                out["n_known"].append(len(tokens) - missed + end_known)
+                out["base_score"].append(sum(map(known.__getitem__, tokens)) + end_term)
                 out["score"].append(score)
                 out["n_bytes"].append(len(text) + 1)
         out["train_tokens"] = [n_tokens] * len(out["doc_id"])
