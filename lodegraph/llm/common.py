@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 import zlib
@@ -68,3 +69,15 @@ def utf8_texts(column: pa.Array) -> Iterator[bytes]:
     binary = column.cast(pa.binary()) if pa.types.is_string(column.type) else column.cast(pa.large_binary())
     for value in binary:
         yield value.as_py() or b""
+
+
+def lean_memory() -> None:
+    """In a worker that handles large arrays: give back to the system at once what is freed, where its allocator can be
+    told to (blocks of a megabyte and more get their own mapping), and what is kept free for later."""
+    pa.default_memory_pool().release_unused()
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 20)
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):
+        return
