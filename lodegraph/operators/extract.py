@@ -1,19 +1,24 @@
 """Symbols, imports and call sites from source text, line by line with patterns by language.
 
 There is no grammar here: a definition is a line that looks like one, and reaches to the line before the next definition
-that is indented no deeper. All of it is column functions over exploded lines, so files are read once and nothing leaves
-the JVM.
+that is indented no deeper. Files go through Arrow in batches and each is scanned once; everything after that is joins.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions.text import edge_id, symbol_id
 from ..sources.language import is_exported
-from .iterate import reach
+from .calls import call_form, enclosing, receiver
+from .iterate import first_by, reach
 
 _MODS = r"(?:export\s+|default\s+|declare\s+|abstract\s+|async\s+|public\s+|private\s+|protected\s+|internal\s+|static\s+|final\s+|open\s+|override\s+|sealed\s+|partial\s+|pub(?:\([^)]*\))?\s+|unsafe\s+|suspend\s+|data\s+|inline\s+)*"
 _SCRIPT = [
@@ -64,46 +69,103 @@ CALL = r"(?:\bnew\s+)?(?:[A-Za-z_$][\w$]*(?:\.|->|::))*[A-Za-z_$][\w$]*\s*\([^()
 NO_CALLS = ("if", "for", "while", "switch", "catch", "return", "function", "def", "func", "fn", "fun", "class", "elif", "and", "or", "not", "in", "match", "sizeof", "typeof", "await", "throw", "else", "super")
 
 
-def lines_of(files: DataFrame) -> DataFrame:
-    """``path``, ``language``, ``line`` (from 1), ``text``."""
-    split = files.select("path", "language", F.posexplode(F.split("content", "\r\n|\n|\r")).alias("at", "text"))
-    return split.select("path", "language", (F.col("at") + 1).alias("line"), "text")
+LINE_END = re.compile("\r\n|\n|\r")
+
+
+@lru_cache(64)
+def rules(language: str) -> list[tuple[str, re.Pattern]]:
+    return [(kind, re.compile(pattern)) for kind, pattern in DEFINITIONS.get(language, [])]
+
+
+@lru_cache(64)
+def import_rules(language: str) -> list[re.Pattern]:
+    return [re.compile(pattern) for pattern in IMPORTS.get(language, [])]
+
 
+def defined(line: str, language: str) -> tuple[str, str] | None:
+    """The kind and name that a line defines."""
+    for kind, pattern in rules(language):
+        if found := pattern.search(line):
+            return kind, found.group(1)
+    return None
 
-def _defined(language: Column, text: Column) -> Column:
-    out = F.lit(None).cast("struct<kind:string,name:string>")
-    for name, rules in DEFINITIONS.items():
-        found = F.coalesce(*[F.when(F.regexp_extract(text, p, 1) != "", F.struct(F.lit(k).alias("kind"), F.regexp_extract(text, p, 1).alias("name"))) for k, p in rules])
-        out = F.when(language == name, found).otherwise(out)
+
+def scan_symbols(text: str, language: str) -> list[tuple]:
+    """(kind, name, line, end line, indent, place of the definition around it or -1, declaration, parameters)."""
+    out: list[list] = []
+    open_now: list[int] = []  # places of definitions that may go on, each indented deeper than the one before
+    lines = LINE_END.split(text)
+    for number, line in enumerate(lines, 1):
+        found = defined(line, language)
+        if not found:
+            continue
+        indent = len(line) - len(line.lstrip(" \t"))
+        while open_now and out[open_now[-1]][4] >= indent:
+            out[open_now.pop()][3] = number - 1
+        inner = re.search(r"\(([^)]*)\)", line)
+        count = None if "(" not in line else len(inner.group(1).split(",")) if inner and inner.group(1).strip() else 0
+        out.append([*found, number, len(lines), indent, open_now[-1] if open_now else -1, line.strip(), count])
+        open_now.append(len(out) - 1)
+    return [tuple(row) for row in out]
+
+
+def scan_imports(text: str, language: str) -> list[tuple]:
+    """(import path, line)."""
+    out = []
+    for number, line in enumerate(LINE_END.split(text), 1):
+        for pattern in import_rules(language):
+            if found := pattern.search(line):
+                out.append((found.group(1), number))
+                break
     return out
 
 
+def scan_calls(text: str, language: str) -> list[tuple]:
+    """(line, column, call text, called name, argument count); definition lines and comments call nothing."""
+    out = []
+    for number, line in enumerate(LINE_END.split(text), 1):
+        if "(" not in line or defined(line, language):
+            continue
+        code = re.sub(r"(?://|#).*$", "", line)
+        for found in CALL_PATTERN.finditer(code):
+            name = re.search(r"([A-Za-z_$][\w$]*)\s*\(", found.group()).group(1)
+            if name not in NO_CALLS:
+                inner = found.group().split("(", 1)[1].removesuffix(")").strip()
+                out.append((number, found.start() + 1, found.group(), name, len(inner.split(",")) if inner else 0))
+    return out
+
+
+CALL_PATTERN = re.compile(CALL)
+
+
+def _scanned(files: DataFrame, scan: Callable[[str, str], list[tuple]], columns: dict[str, str]) -> DataFrame:
+    """``file_path``, ``language``, ``at`` and what ``scan`` finds in each file."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            rows = [(path, language, at, *found) for path, language, text in zip(frame["path"], frame["language"], frame["content"]) if text and language for at, found in enumerate(scan(text, language))]
+            made = pd.DataFrame(rows, columns=["file_path", "language", "at", *columns])
+            yield made.astype({name: "Int32" for name, kind in columns.items() if kind == "int"})
+
+    schema = "file_path string, language string, at int, " + ", ".join(f"{name} {kind}" for name, kind in columns.items())
+    return files.select("path", "language", "content").mapInPandas(run, schema)
+
+
 def symbols(files: DataFrame) -> DataFrame:
     """``files`` (``path``, ``content``, ``language``) as symbol nodes: ``id``, ``kind``, ``name``, ``file_path``,
     ``start_line``, ``end_line``, ``language``, ``is_exported``, ``parent_id``, ``indent``, ``declaration``,
     ``parameter_count``, ``ord``. Of equal ids in a file the first stays. Files without text give nothing.
     """
-    text = F.col("text")
-    found = lines_of(files).withColumn("d", _defined(F.col("language"), text)).where("d is not null")
-    indent = F.length(F.regexp_extract(text, r"^[ \t]*", 0))
-    inner = F.trim(F.regexp_extract(text, r"\(([^)]*)\)", 1))
-    count = F.when(text.contains("("), F.when(inner == "", 0).otherwise(F.size(F.split(inner, ","))))
-    kind, name = F.col("d.kind"), F.col("d.name")
-    rows = found.select(
-        symbol_id(kind, F.col("path"), name).alias("id"), kind.alias("kind"), name.alias("name"), F.col("path").alias("file_path"), F.col("line").alias("start_line"),
-        "language", is_exported(text, name, F.col("language")).alias("is_exported"), indent.alias("indent"), F.trim(text).alias("declaration"), count.cast("int").alias("parameter_count"),
+    columns = {"kind": "string", "name": "string", "start_line": "int", "end_line": "int", "indent": "int", "around": "int", "declaration": "string", "parameter_count": "int"}
+    found = _scanned(files, scan_symbols, columns).withColumn("id", symbol_id(F.col("kind"), F.col("file_path"), F.col("name")))
+    outer = found.select("file_path", F.col("at").alias("around"), F.col("id").alias("parent_id"))
+    rows = found.join(outer, ["file_path", "around"], "left")
+    order = F.xxhash64("file_path").bitwiseAND(F.lit(0x7FFFFFFF)) * 1_000_000 + F.col("at")
+    rows = rows.select(
+        "id", "kind", "name", "file_path", "start_line", "end_line", "language", is_exported(F.col("declaration"), F.col("name"), F.col("language")).alias("is_exported"),
+        "parent_id", "indent", "declaration", "parameter_count", order.alias("ord"),
     )
-    # the end: the line before the next definition that is indented no deeper, or the file's last line
-    ahead = Window.partitionBy("file_path").orderBy("start_line").rowsBetween(1, Window.unboundedFollowing)
-    behind = Window.partitionBy("file_path").orderBy("start_line").rowsBetween(Window.unboundedPreceding, -1)
-    later, earlier = F.collect_list(F.struct("indent", "start_line")).over(ahead), F.collect_list(F.struct("indent", "start_line", "id")).over(behind)
-    rows = rows.withColumn("_next", F.get(F.filter(later, lambda s: s["indent"] <= F.col("indent")), F.lit(0))["start_line"])
-    rows = rows.withColumn("_above", F.filter(earlier, lambda s: s["indent"] < F.col("indent")))
-    last = files.select(F.col("path").alias("file_path"), F.size(F.split("content", "\r\n|\n|\r")).alias("_last"))
-    rows = rows.join(last, "file_path").withColumn("end_line", F.coalesce(F.col("_next") - 1, F.col("_last")))
-    rows = rows.withColumn("parent_id", F.try_element_at("_above", F.lit(-1))["id"]).drop("_next", "_above", "_last")
-    first = Window.partitionBy("id").orderBy("start_line")
-    return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n").withColumn("ord", F.xxhash64("file_path").bitwiseAND(F.lit(0x7FFFFFFF)) * 1_000_000 + F.col("start_line"))
+    return first_by(rows, ["id"], F.col("ord"))
 
 
 def defines(found: DataFrame) -> DataFrame:
@@ -114,36 +176,22 @@ def defines(found: DataFrame) -> DataFrame:
 
 def imports(files: DataFrame) -> DataFrame:
     """``import_path``, ``file_path``, ``language``, ``line``, without quotes and angle brackets."""
-    text = F.col("text")
-    out = F.lit(None).cast("string")
-    for language, patterns in IMPORTS.items():
-        found = F.coalesce(*[F.when(F.regexp_extract(text, p, 1) != "", F.regexp_extract(text, p, 1)) for p in patterns])
-        out = F.when(F.col("language") == language, found).otherwise(out)
-    return lines_of(files).withColumn("import_path", out).where("import_path is not null").select("import_path", F.col("path").alias("file_path"), "language", "line")
+    return _scanned(files, scan_imports, {"import_path": "string", "line": "int"}).select("import_path", "file_path", "language", "line")
 
 
 def call_sites(files: DataFrame, found: DataFrame) -> DataFrame:
     """Every call in the text: ``site``, ``file_path``, ``line``, ``column``, ``call_text``, ``called_name``,
     ``argument_count``, ``call_form``, ``receiver`` and ``source_id``, the innermost definition around it (else the file).
-    Definition lines call nothing."""
-    from .calls import call_form, enclosing, receiver
-
-    rows = lines_of(files).where("language is not null")
-    rows = rows.where(_defined(F.col("language"), F.col("text")).isNull())
-    code = F.regexp_replace("text", r"(?://|#).*$", "")
-    each = rows.select(F.col("path").alias("file_path"), "line", "text", F.posexplode(F.regexp_extract_all(code, F.lit(CALL), F.lit(0))).alias("at", "call_text"))
-    name = F.regexp_extract("call_text", r"([A-Za-z_$][\w$]*)\s*\(", 1)
-    inner = F.trim(F.regexp_replace(F.regexp_extract("call_text", r"\((.*)$", 1), r"\)$", ""))
-    each = each.withColumn("called_name", name).where(~F.col("called_name").isin(*NO_CALLS))
-    each = each.select(
-        "file_path", "line", (F.instr("text", F.col("call_text"))).alias("column"), "call_text", "called_name", F.when(inner == "", 0).otherwise(F.size(F.split(inner, ","))).alias("argument_count"),
-        call_form(F.col("call_text")).alias("call_form"), receiver(F.col("call_text")).alias("receiver"), "at",
-    )
+    """
+    columns = {"line": "int", "column": "int", "call_text": "string", "called_name": "string", "argument_count": "int"}
+    each = _scanned(files, scan_calls, columns)
     spans = found.where(F.col("kind").isin("Function", "Method", "Constructor"))
     inside = enclosing(each.select("file_path", "line").distinct(), spans)
-    told = each.join(inside, ["file_path", "line"], "left")
     site = F.concat_ws(":", "file_path", F.col("line").cast("string"), F.col("at").cast("string"))
-    return told.select(site.alias("site"), F.coalesce("enclosing_id", F.concat(F.lit("File:"), "file_path")).alias("source_id"), *[c for c in each.columns if c != "at"])
+    return each.join(inside, ["file_path", "line"], "left").select(
+        site.alias("site"), F.coalesce("enclosing_id", F.concat(F.lit("File:"), "file_path")).alias("source_id"), "file_path", *columns,
+        call_form(F.col("call_text")).alias("call_form"), receiver(F.col("call_text")).alias("receiver"),
+    )
 
 
 def structure(files: DataFrame) -> tuple[DataFrame, DataFrame]:
