@@ -2,18 +2,51 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share; a temporary one only where the cluster names none."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="lodegraph-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the checkpoint folder that the executors share, and go on from there."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodegraph-"))
-    return df.checkpoint()
+    """Write the rows as a table in the shared folder, and go on from there: a loop's plan stays as small as one round's.
+
+    A checkpoint would keep what the optimiser has inferred about the columns, and in loops that grows with every round.
+    The tables are removed when the driver's Python ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/cuts/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget_cuts() -> None:
+    """Remove what :func:`cut` has written."""
+    while _written:
+        spark, path = _written.pop()
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+        except Exception:  # the JVM may have ended before Python; nothing is left to do then
+            return
+
+
+atexit.register(forget_cuts)
 
 
 def steps(edges: DataFrame, direction: str = "out") -> DataFrame:
