@@ -1,0 +1,618 @@
+"""Every operator against a plain version, and over odd rows and an empty table."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+import xxhash
+from pyspark.sql import functions as F
+
+from lodegraph.llm import bpe, components, ctw, jpeg, linededup, mixing, pii, quality, simhash, toxicity, urls
+
+VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+WORDS = ["ox", "cat", "dog", "bird", "tree", "house", "river", "stone", "cloud", "light", "wind", "field"]
+
+
+def prose(seed, n=60):
+    r = random.Random(seed)
+    return " ".join(r.choice(WORDS) + r.choice(["", "s", "ed", "ing"]) for _ in range(n))
+
+
+# 1
+
+
+def test_toxicity(docs, spark, odd, empty):
+    bad = ["idiot", "moron", "scum"]
+    texts = [prose(i) + (" " + bad[i % 3] * 1 + " " + bad[(i + 1) % 3] if i % 3 == 0 else "") for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(400)] + [(5, None), (0, 0)], "doc_id bigint, toxic int")
+    out = {r["doc_id"]: r for r in toxicity.toxicity(docs(texts), labels).collect()}
+    held = [r for i, r in out.items() if r["held_out"]]
+    assert {i for i, r in out.items() if r["held_out"]} == {i for i in range(400) if zlib.crc32(str(i).encode()) % 3 == 1}
+    assert all(r["predicted"] == int(r["doc_id"] % 3 == 0) == int(r["score"] >= 0.7) for r in held)
+    model = toxicity.train(docs(texts), labels)
+    assert toxicity.score(odd, model).count() == 10
+    assert toxicity.filter_clean(docs(["you idiot, moron and scum", "fine words"]), model).select("text").collect() == [("fine words",)]
+    assert toxicity.toxicity(empty, labels).count() == 0
+    none = toxicity.toxicity(odd, labels.limit(0)).collect()  # nothing to learn from
+    assert len(none) == 10 and len({r["score"] for r in none}) == 1
+
+
+def test_likelihood_ratio_is_zero_without_association():
+    told = toxicity.likelihood_ratio(np.array([10.0, 10.0]), np.array([90.0, 0.0]), 100, 900)
+    assert abs(told[0]) < 1e-9 and told[1] > 20
+
+
+# 2
+
+
+def test_jpeg_round_trip(odd, empty):
+    out = jpeg.round_trip(odd).collect()
+    assert len(out) == 10
+    texts = collections.Counter((r["doc_id"], r["text"]) for r in odd.collect())
+    for (doc_id, text), n in texts.items():
+        raw = (text or "").encode()
+        payload = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        same = [r for r in out if r["doc_id"] == doc_id and r["payload_sha256"] == hashlib.sha256(payload).hexdigest()]
+        assert len(same) == n
+        assert same[0]["n_bytes"] == len(raw) and same[0]["payload_bytes"] == len(payload) and same[0]["tail_crc32"] == zlib.crc32(payload[-64:])
+    assert jpeg.round_trip(empty).count() == 0
+    media = jpeg.store_texts(odd)
+    told = jpeg.decode_media(media.withColumn("media", F.when(F.col("doc_id") == 3, F.lit(b"no jpeg")).otherwise(F.col("media")))).collect()
+    assert all((r["rgb"] is None) == (r["doc_id"] == 3) and (r["rgb"] is None or len(r["rgb"]) == r["width"] * r["height"] * 3) for r in told)
+
+
+def test_jpeg_sizes():
+    r = random.Random(1)
+    for blocks in (1, 5, 6, 7, 100, 512 * 6 + 1, 20000):
+        payload = r.randbytes(64 * blocks)
+        assert jpeg.payload_of(jpeg.decode(jpeg.encode_payload(payload))) == payload
+    for wrong in (b"", b"x" * 63):
+        with pytest.raises(ValueError):
+            jpeg.encode_payload(wrong)
+
+
+class Writer:
+    """Codes one by one, by the standard's procedure: the plain counterpart of the decoder."""
+
+    def __init__(self):
+        self.bits = []
+
+    def put(self, value, n):
+        self.bits += [value >> i & 1 for i in range(n - 1, -1, -1)]
+
+    def bytes(self):
+        bits = self.bits + [1] * (-len(self.bits) % 8)
+        return bytes(int("".join(map(str, bits[i : i + 8])), 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\x00")
+
+
+def slow_jpeg(coefficients, width, height, quant, restart=0):
+    """A grey progressive JPEG: DC in two steps, AC 1-5 and 6-63 in two steps, coded symbol by symbol."""
+    across = -(-width // 8)
+    n = len(coefficients)
+    # every symbol has a code of 8 or 9 bits
+    symbols = bytes(s for s in range(256))
+    lengths = bytes([0] * 7 + [255, 1] + [0] * 7)
+    codes = jpeg.table(lengths, symbols).codes
+    shift = lambda v, a: int(v) >> a if v >= 0 else -(-int(v) >> a)
+    out = [b"\xff\xd8", jpeg._segment(0xDB, b"\0" + bytes(quant.tolist())), jpeg._segment(0xC2, bytes([8, height >> 8, height & 255, width >> 8, width & 255, 1, 1, 0x11, 0]))]
+    out.append(jpeg._segment(0xC4, b"\x00" + lengths + symbols + b"\x10" + lengths + symbols))
+    out.append(jpeg._segment(0xDD, restart.to_bytes(2, "big")))
+
+    def scan(first, last, steps, code):
+        parts = []
+        for lo in range(0, n, restart or n):
+            w = Writer()
+            code(w, coefficients[lo : lo + (restart or n)])
+            parts.append(w.bytes())
+        body = parts[0] + b"".join(bytes([0xFF, 0xD0 + i % 8]) + p for i, p in enumerate(parts[1:]))
+        out.extend([jpeg._segment(0xDA, bytes([1, 1, 0x00, first, last, steps])), body])
+
+    def put(w, s):
+        w.put(*codes[s])
+
+    def size_put(w, v, run=0):
+        s = abs(v).bit_length()
+        put(w, run << 4 | s)
+        w.put(v if v > 0 else v + (1 << s) - 1, s)
+
+    def dc(w, blocks):
+        before = 0
+        for b in blocks:
+            size_put(w, (int(b[0]) >> 1) - before)
+            before = int(b[0]) >> 1
+
+    def ac_first(first, last, low):
+        def code(w, blocks):
+            waiting = 0
+
+            def flush():
+                nonlocal waiting
+                if waiting:
+                    r = waiting.bit_length() - 1
+                    put(w, r << 4)
+                    w.put(waiting - (1 << r), r)
+                    waiting = 0
+
+            for b in blocks:
+                run = 0
+                for k in range(first, last + 1):
+                    v = shift(b[k], low)
+                    if not v:
+                        run += 1
+                        continue
+                    flush()
+                    while run > 15:
+                        put(w, 0xF0)
+                        run -= 16
+                    size_put(w, v, run)
+                    run = 0
+                if run:
+                    waiting += 1
+            flush()
+
+        return code
+
+    def ac_more(first, last):
+        def code(w, blocks):
+            for b in blocks:
+                new = [k for k in range(first, last + 1) if abs(int(b[k])) == 1]
+                k, pending, run = first, [], 0
+                for k in range(first, last + 1):
+                    v = abs(int(b[k]))
+                    if v > 1:
+                        pending.append(v & 1)
+                    elif v == 1:
+                        put(w, run << 4 | 1)
+                        w.put(int(b[k] > 0), 1)
+                        for bit in pending:
+                            w.put(bit, 1)
+                        pending, run = [], 0
+                    else:
+                        run += 1
+                        if run == 16 and any(x > k for x in new):
+                            put(w, 0xF0)
+                            for bit in pending:
+                                w.put(bit, 1)
+                            pending, run = [], 0
+                if pending or run:
+                    put(w, 0x00)
+                    for bit in pending:
+                        w.put(bit, 1)
+
+        return code
+
+    scan(0, 0, 0x01, dc)
+    scan(1, 5, 0x01, ac_first(1, 5, 1))
+    scan(6, 63, 0x00, ac_first(6, 63, 0))
+    scan(0, 0, 0x10, lambda w, blocks: [w.put(int(b[0]) & 1, 1) for b in blocks])
+    scan(1, 5, 0x10, ac_more(1, 5))
+    assert across * -(-height // 8) == n
+    return b"".join(out) + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("restart", [0, 2])
+def test_jpeg_decoder_against_symbol_by_symbol_coder(restart):
+    r = np.random.default_rng(3)
+    for density in (0.0, 0.1, 0.5, 1.0):
+        coefficients = np.where(r.random((12, 64)) < density, r.integers(-40, 41, (12, 64)), 0)
+        quant = r.integers(1, 20, 64)
+        frame = jpeg.decode(slow_jpeg(coefficients, 30, 17, quant, restart))
+        assert np.array_equal(frame.components[0].coefficients, coefficients)
+        i, u = np.mgrid[0:8, 0:8]
+        basis = np.cos((2 * i + 1) * u * np.pi / 16) * np.where(u == 0, math.sqrt(0.5), 1) / 2
+        block = np.zeros(64)
+        block[jpeg.ZIGZAG] = coefficients[5] * quant
+        plain = np.clip(basis @ block.reshape(8, 8) @ basis.T + 128, 0, 255)
+        got = frame.samples(frame.components[0])[8:16, 8:16]  # the sixth of rows of four
+        assert frame.rgb().shape == (17, 30, 3) and np.abs(got - plain).max() <= 1
+
+
+# 3
+
+
+def test_ctw_against_plain_tree(docs, odd, empty):
+    depth = 2
+    texts = [prose(i, 30) for i in range(30)]
+    out = {r["doc_id"]: r for r in ctw.score_texts(docs(texts), depth).collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in range(30)}
+    counts = collections.defaultdict(lambda: [0, 0])
+
+    def steps(text):
+        data = b"\xff" * depth + text.encode() + b"\xff"
+        for at in range(depth, len(data)):
+            for j in range(8):
+                prefix = 1 << j | data[at] >> (8 - j)
+                yield [(data[at - d : at], prefix) for d in range(depth + 1)], data[at] >> (7 - j) & 1
+
+    for i, t in enumerate(texts):
+        if not held[i]:
+            for nodes, bit in steps(t):
+                for node in nodes:
+                    counts[node][bit] += 1
+    lkt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+    below = collections.defaultdict(float)
+    weight = {}
+    for d in range(depth, -1, -1):
+        for (context, prefix), (a, b) in list(counts.items()):
+            if len(context) != d:
+                continue
+            own = lkt(a, b)
+            total = own if d == depth else np.logaddexp(own, below[context, prefix]) - math.log(2)
+            weight[context, prefix] = 1.0 if d == depth else math.exp(own - math.log(2) - total)
+            if d:
+                below[context[1:], prefix] += total
+    for i, t in enumerate(texts):
+        total = 0.0
+        for nodes, bit in steps(t):
+            estimate, chain = 0.5, []
+            for node in nodes:
+                if node in weight:
+                    a, b = counts[node]
+                    estimate = (b + 0.5) / (a + b + 1)
+                chain.append((estimate, weight.get(node, 1.0)))
+            p = chain[-1][0]
+            for own, w in reversed(chain[:-1]):
+                p = w * own + (1 - w) * p
+            total += math.log10(p if bit else 1 - p)
+        assert out[i]["score"] == pytest.approx(total, rel=1e-5)
+        assert out[i]["held_out"] == held[i]
+    words = collections.Counter()
+    for i, t in enumerate(texts):
+        if not held[i]:
+            words.update(t.split() + ["\n"])
+    n, v = sum(words.values()), len(words)
+    for i, t in enumerate(texts):
+        tokens = t.split() + ["\n"]
+        assert out[i]["base_score"] == pytest.approx(sum(math.log10((words[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens))
+        assert (out[i]["n_tokens"], out[i]["n_known"], out[i]["train_tokens"]) == (len(tokens), sum(w in words for w in tokens), n)
+    assert ctw.score_texts(odd).count() == 10
+    assert ctw.score_texts(empty).count() == 0
+    assert ctw.score_texts(docs(["only held out"], ids=[next(i for i in range(99) if zlib.crc32(str(i).encode()) % 10 == 0)])).count() == 1
+
+
+def test_lookup_levels():
+    r = np.random.default_rng(1)
+    keys = np.unique(r.integers(0, 1 << 56, 50_000).astype(np.uint64))
+    assert np.array_equal(ctw.Lookup(keys, np.arange(len(keys)))(keys[::-1]), np.arange(len(keys))[::-1])
+
+
+# 4
+
+
+def plain_targets(sizes, weights=(5, 2, 1)):
+    w = {s: weights[i % 3] for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+    out, free, left = {}, set(sizes), float(sum(sizes.values()))
+    while free:
+        each = left / sum(w[s] for s in free)
+        over = [s for s in free if each * w[s] > 3 * sizes[s]]
+        if not over:
+            return out | {s: each * w[s] for s in free}
+        for s in over:
+            out[s] = 3.0 * sizes[s]
+            left -= out[s]
+            free.remove(s)
+    return out
+
+
+def test_mixing(docs, odd, empty):
+    r = random.Random(2)
+    texts = [prose(i, r.randint(0, 200)) for i in range(300)]
+    sources = [None if i % 11 == 0 else "hot" if i % 3 == 0 else f"s{i % 7}" for i in range(300)]
+    frame = docs(texts, sources)
+    for df in (frame, frame.repartition(7)):
+        out = mixing.mix(df, shard_tokens=1500).collect()
+        sizes = collections.Counter()
+        for t, s in zip(texts, sources):
+            sizes[s] += len(t.split())
+        want, taken = plain_targets(sizes), collections.Counter()
+        for row in out:
+            assert row["size"] == len(texts[row["doc_id"]].split()) and row["source_size"] == sizes[row["source"]] and row["target"] == pytest.approx(want[row["source"]])
+            assert 0 <= row["taken"] <= 3 * row["size"]
+            taken[row["source"]] += row["taken"]
+        assert all(abs(taken[s] - want[s]) <= 16 * (1 + 2 * (1 + sizes[s] / 1500)) for s in want)
+        first = sorted((row["doc_id"], row["taken"]) for row in out) if df is frame else first
+        assert sorted((row["doc_id"], row["taken"]) for row in out) == first
+    assert mixing.mix(odd).count() == 10 and mixing.mix(empty).count() == 0
+    whole = mixing.mixed_documents(frame, shard_tokens=1500)
+    assert whole.columns == frame.columns and whole.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3
+    assert mixing.mixed_documents(odd).columns == odd.columns
+
+
+def test_highest_quotients(spark):
+    r = random.Random(4)
+    for n, seats in ((1, 5), (4, 1), (5, 2), (9, 100), (12, 7), (6, 0)):
+        votes = [r.randint(0, 50) for _ in range(n)]
+        frame = spark.createDataFrame([(i, float(v), seats) for i, v in enumerate(votes)], "party int, v double, s long")
+        got = {x["party"]: x["q"] for x in mixing.highest_quotients(frame, "v", "s", "q", [], "party").collect()}
+        want = collections.Counter(p for _, p, _ in sorted((-v / (2 * k + 1), i, k) for i, v in enumerate(votes) if v for k in range(seats))[:seats])
+        assert got == {i: want[i] for i in range(n)}
+
+
+# 5
+
+
+def test_line_dedup(docs, odd, empty):
+    r = random.Random(3)
+    shared = [prose(900 + i, 12) for i in range(6)]
+    texts, sources = [], []
+    for i in range(60):
+        lines = [prose(100 + i, 9)] + [x for k, x in enumerate(shared) if r.random() < 0.15 * (k + 1)] + ["short line"]
+        texts.append("\n".join(lines))
+        sources.append(f"s{i % 5}" if i % 3 else "hot")
+    out = {x["doc_id"]: x for x in linededup.dedup_lines(docs(texts, sources)).collect()}
+    sites, first = collections.defaultdict(set), {}
+    for i, t in enumerate(texts):
+        for k, line in enumerate(t.split("\n")):
+            if line.count(" ") >= 5:
+                sites[line].add(sources[i])
+                first.setdefault(line, (i, k))
+    for i, t in enumerate(texts):
+        kept = [x for k, x in enumerate(t.split("\n")) if len(sites[x]) < 3 or first[x] == (i, k)]
+        assert out[i]["text"] == "\n".join(kept) and out[i]["n_removed"] == t.count("\n") + 1 - len(kept) and out[i]["n_lines"] == t.count("\n") + 1
+    same = linededup.dedup_lines(odd)
+    assert sorted((str(x["doc_id"]), x["text"] or "") for x in same.collect()) == sorted((str(x["doc_id"]), x["text"] or "") for x in odd.collect())
+    assert linededup.dedup_lines(empty).count() == 0
+
+
+def test_line_spread_over_many_sites(docs):
+    line = "one two three four five six seven"
+    out = linededup.dedup_lines(docs([line] * 500, [f"site{i}" for i in range(500)])).where("n_removed = 0").collect()
+    assert [x["doc_id"] for x in out] == [0]
+
+
+# 6
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def passes(kind, found):
+    g = re.sub("[^0-9]", "", found)
+    check = sum((v := int(c) * (1 + i % 2)) - 9 * (v > 9) for i, c in enumerate(reversed(g)))
+    return {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in found.split(".")), "card": 16 <= len(g) <= 19 and check % 10 == 0, "phone": 8 <= len(g) <= 15}[kind]
+
+
+def test_pii(docs, odd, empty):
+    r = random.Random(8)
+    pieces = ["a@b.c.d@e.f", "_d@e.f", "1.2.3.4.5.6.7.8", "256.1.1.1", "0255.001.2.3", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (555) 010-9999", "+12", "x", " ", "é", "\U0001f600", ".", "@", "a.b@c", "12", "-", "+", "\n"]
+    texts = ["".join(r.choice(pieces) for _ in range(r.randint(0, 25))) for _ in range(400)] + ["4" * 20_000, "a." * 20_000 + "@x.y", "1." * 30_000, "a@" + "b." * 20_000 + "c", "+" + "1 " * 20_000]
+    out = {x["doc_id"]: x["found"] for x in pii.find_pii(docs(texts)).collect()}
+    for i, t in enumerate(texts):
+        want = [(k, m.start(), m.end()) for k, p in BASE.items() for m in re.finditer(p, t) if passes(k, m.group())]
+        assert [(s["kind"], s["start"], s["end"]) for s in out[i] if s["kind_order"] < 4] == want, t[:200]
+    assert pii.find_pii(odd).count() == 10 and pii.find_pii(empty).count() == 0
+
+
+def test_pii_checks_and_context(docs):
+    texts = ["IBAN GB82 WEST 1234 5698 7654 32 of my bank", "IBAN GB83 WEST 1234 5698 7654 32", "card 378282246310005", "number 378282246310005", "SSN 123-45-6789", "id 123-45-6789", "call (555) 123-4567 now", "SSN 000-45-6789"]
+    kinds = [[s["kind"] for s in x["found"]] for x in pii.find_pii(docs(texts)).orderBy("doc_id").collect()]
+    assert kinds == [["iban"], [], ["card_short"], [], ["ssn"], [], ["phone_local"], []]
+    hidden = pii.redact(docs(["mail a@b.co or +1 555 010 9999."])).first()["text"]
+    assert hidden == "mail <EMAIL> or <PHONE>."
+
+
+# 7
+
+
+def test_quality(docs, odd, empty):
+    r = random.Random(6)
+    good = [". ".join(prose(i * 50 + k, r.randint(7, 14)).capitalize() for k in range(9)) + "." for i in range(200)]
+    bad = [" ".join(w + r.choice(["###", "$$$", "%%%", "&&&"]) for w in prose(7000 + i, 80).split()) for i in range(30)]
+    texts = good + bad + ["too short", "the same words again " * 40]
+    out = {x["doc_id"]: x for x in quality.judge(docs(texts)).collect()}
+    for i, t in enumerate(texts):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        seen = collections.Counter(zip(w, w[1:], w[2:]))
+        covered = {k + d for k in range(len(w) - 2) if seen[tuple(w[k : k + 3])] > 1 for d in range(3)}
+        lines = [x for x in t.split("\n") if x.split()]
+        row = out[i]
+        assert (row["n_words"], row["word_chars"], row["n_symbols"], row["n_dup_lines"], row["n_repeat_words"]) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered))
+        assert row["base_failed"] == (len(w) < 50 or 100 * len(covered) > 50 * len(w))
+    assert all(out[i]["kept"] for i in range(200)) and not any(out[i]["kept"] for i in range(200, 232))
+    assert quality.judge(odd).count() == 10 and quality.judge(empty).count() == 0
+
+
+def test_quality_model_finds_accuracies():
+    r = np.random.default_rng(2)
+    truth = r.random(20_000) < 0.7
+    right = np.array([0.95, 0.8, 0.9, 0.7])
+    said = np.where(r.random((20_000, 4)) < right, truth[:, None], ~truth[:, None])
+    outcomes = np.where(r.random((20_000, 4)) < 0.2, 0, np.where(said, 2, 1))
+    rows, counts = np.unique(outcomes, axis=0, return_counts=True)
+    model = quality.fit(rows, counts.astype(float))
+    assert np.abs(model.good - right).max() < 0.03 and np.abs(model.bad - right).max() < 0.05 and abs(model.prior - 0.7) < 0.03
+
+
+# 8
+
+
+def plain_fingerprint(text):
+    w = text.encode().lower().split()
+    shingles = [b" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))] if w else []
+    ones = [sum(xxhash.xxh64_intdigest(s, 42) >> b & 1 for s in shingles) for b in range(64)]
+    return sum(1 << b for b in range(64) if 2 * ones[b] > len(shingles))
+
+
+def plain_components(ids, prints, distance=4):
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(ids)):
+        for b in range(a):
+            if (prints[a] ^ prints[b]).bit_count() <= distance:
+                x, y = find(ids[a]), find(ids[b])
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+def test_simhash(docs, odd, empty):
+    base = [prose(i, 120) for i in range(25)]
+    r = random.Random(9)
+    texts = list(base)
+    for t in base:
+        for _ in range(r.randint(0, 4)):
+            w = t.split()
+            w[r.randrange(len(w))] = r.choice(WORDS)
+            texts.append(" ".join(w))
+    texts += ["", "", "two words", "Two Words", base[0].upper()]
+    r.shuffle(texts)
+    out = {x["doc_id"]: x for x in simhash.near_duplicates(docs(texts)).collect()}
+    prints = [plain_fingerprint(t) for t in texts]
+    want = plain_components(list(range(len(texts))), prints)
+    assert all(out[i]["fingerprint"] == f"{prints[i]:016x}" and out[i]["component_id"] == want[i] for i in range(len(texts)))
+    assert simhash.near_duplicates(odd).count() == 10 and simhash.near_duplicates(empty).count() == 0
+    kept = simhash.keep_first(odd)
+    assert kept.columns == odd.columns and kept.where("text = 'same words here again'").count() == 1
+
+
+@pytest.mark.parametrize("blocks", [5, 6])
+def test_ball_hashing_loses_no_link(spark, blocks, monkeypatch):
+    monkeypatch.setattr(simhash, "AT_ONCE", 40)  # so that buckets are worked through in slices
+    r = random.Random(blocks)
+    prints = [r.getrandbits(64) for _ in range(60)]
+    for p in prints[:40]:
+        for _ in range(3):
+            q = p
+            for b in r.sample(range(64), r.randint(1, 6)):
+                q ^= 1 << b
+            prints.append(q)
+    prints = sorted(set(prints))
+    signed = [p - 2**64 if p >= 2**63 else p for p in prints]
+    for part in ([0, 1], None):
+        if part:
+            a, b = simhash.meetings(np.array(prints, np.uint64), simhash.ball(2**64 - 1, 2))
+            root = simhash.smallest_reachable(len(prints), a, b)
+            got = {i: int(root[i]) for i in range(len(prints))}
+        else:
+            found = components.components(simhash.links(spark.createDataFrame([(s,) for s in signed], "fp bigint"), 4, blocks)).collect()
+            groups = collections.defaultdict(list)
+            for x in found:
+                groups[x["root"]].append(signed.index(x["node"]))
+            got = {i: i for i in range(len(prints))} | {i: min(g) for g in groups.values() for i in g}
+        assert got == plain_components(list(range(len(prints))), prints)
+
+
+def test_components_of_a_long_path(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "a bigint, b bigint")
+    out = components.components(edges).collect()
+    assert len({x["root"] for x in out if x["node"] <= 200}) == 1 and len({x["root"] for x in out}) == 2 and len(out) == 203
+
+
+# 9
+
+RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def test_urls(spark):
+    r = random.Random(4)
+    hosts = ["a.example.com", "Example.COM", "com", "xcom", "example.net", "w.example.net", "foo.net", "b.org", "", "org"]
+    paths = ["/en/", "/en/7", "/en/71?x=/es/", "/de/8", "/de/9", "/es/#f", "", "/EN/", "?q", "/de"]
+    given = [f"http://{r.choice(hosts)}{r.choice(paths)}" for _ in range(300)] + [None, "", "no scheme/en/", "x://y://com/en/", "://com/en/\nz"]
+    pages = spark.createDataFrame([(i if i else None, u, "html", "allow") for i, u in enumerate(given)], "page_id bigint, url string, html string, verdict string")
+    out = {x["page_id"]: x for x in urls.judge(pages, RULES).collect()}
+    for i, u in enumerate(given):
+        host = path = ""
+        if u and "://" in u:
+            m = re.match(r"(?s)([^/?#]*)([^?#]*)", u.split("://", 1)[1])
+            host, path = m[1].lower(), m[2]
+        fits = [(v, x) for v, x in RULES if (host == x.split("/")[0] or host.endswith("." + x.split("/")[0])) and path.startswith("/" + x.split("/", 1)[1])]
+        best = max(fits, key=lambda f: len(f[1]), default=("allow", None))
+        got = out[i if i else None]
+        assert (got["host"], got["path"], got["rule"], got["verdict"]) == (host, path, best[1], best[0])
+    assert urls.judge(pages.limit(0), RULES).count() == 0
+
+
+def test_cascade_is_exact_and_small():
+    r = np.random.default_rng(5)
+    keys = np.unique(r.integers(0, 2**63, 60_000).astype(np.uint64))
+    listed = r.random(len(keys)) < 0.1
+    cascade = urls.Cascade.load(urls.Cascade(keys[listed], keys[~listed]).dump())
+    assert np.array_equal(cascade.holds(keys), listed)
+    assert len(cascade.dump()) < 8 * listed.sum() / 2 and len(cascade.levels) > 2
+    assert not urls.Cascade(keys[:0], keys).holds(keys).any() and urls.Cascade(keys, keys[:0]).holds(keys).all()
+
+
+def test_membership_beyond_broadcast(spark):
+    universe = spark.range(3000).select(F.xxhash64("id").alias("key"), (F.col("id") % 7 == 0).alias("listed"))
+    rows = universe.select("key", F.col("listed").alias("want"))
+    for limit in (16 << 20, 0):
+        assert urls.membership(rows, universe, shard_keys=500, broadcast_bytes=limit).where("want <> listed").count() == 0
+
+
+# 10
+
+
+def library():
+    coder = bpe.encoder(VOCABULARY, public_tokenizers.PATTERN)
+    return coder, tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=coder.ranks, special_tokens={})
+
+
+def test_bpe_as_the_library(odd, empty):
+    coder, other = library()
+    r = random.Random(1)
+    for letters in ("ab", "aeinrst '", "abc 012\n\t,.é漢字\U00018da7\U00011de0\x1c\x85՘"):
+        for _ in range(500):
+            text = "".join(r.choice(letters) for _ in range(r.randint(0, 60)))
+            assert coder.encode(text) == other.encode_ordinary(text) and coder.decode(coder.encode(text)) == text.encode()
+    for text in ("a" * 50_000, "".join(r.choice("abcdefghij") for _ in range(50_000))):
+        assert coder.encode(text) == other.encode_ordinary(text)
+    out = bpe.encode_texts(odd, VOCABULARY, public_tokenizers.PATTERN, digest=True).collect()
+    texts = collections.Counter((x["doc_id"], hashlib.sha256((x["text"] or "").encode()).hexdigest()) for x in odd.collect())
+    assert collections.Counter((x["doc_id"], x["decoded_sha256"]) for x in out) == texts and all(x["n_tokens"] == len(x["ids"]) for x in out)
+    assert bpe.encode_texts(empty, VOCABULARY, public_tokenizers.PATTERN).count() == 0
+    again = bpe.decode_ids(bpe.encode_texts(odd, VOCABULARY, public_tokenizers.PATTERN), VOCABULARY, public_tokenizers.PATTERN)
+    assert sorted(bytes(x["bytes"]) for x in again.collect()) == sorted((x["text"] or "").encode() for x in odd.collect())
+
+
+def test_bpe_forgets_within_bounds(monkeypatch):
+    coder, other = library()
+    monkeypatch.setattr(bpe, "REMEMBERED", 10)
+    coder.known, coder.known_before = {}, {}
+    text = " ".join(f"w{i % 30}x" for i in range(200))
+    assert coder.encode(text) == other.encode_ordinary(text) and len(coder.known) <= 5
+
+
+# pipeline
+
+
+def test_pipeline_stages(docs, spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(7)
+    clean = [". ".join(prose(i * 20 + k, 14).capitalize() for k in range(8)) for i in range(60)]
+    toxic = [prose(5000 + i, 40) + " idiot moron scum " + prose(6000 + i, 40) for i in range(30)]
+    passage = prose(77, 60)
+    shared = [prose(8000 + i, 60) + "\n" + passage for i in range(6)]
+    texts = clean + toxic + shared + clean[:5] + [None, ""]
+    frame = docs(texts, [f"s{i % 4}" for i in range(len(texts))]).select("doc_id", "text", "lang", "source", "n_chars")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(60 <= i < 90)) for i in range(90)], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = frame
+    for name, stage in corpus_pipeline.STAGES:
+        before, kept = kept, stage(spark, kept, str(tmp_path)).cache()
+        ids = {x["doc_id"] for x in kept.collect()}
+        if name != "bpe":
+            assert kept.columns == frame.columns
+        if name == "toxicity":
+            assert ids == set(range(len(texts))) - set(range(60, 90))
+        if name == "line_dedup":
+            assert set(range(60)) <= ids and kept.where(F.col("text").contains(passage)).count() == 1
+        if name == "simhash":
+            assert set(range(60)) <= ids and not ids & set(range(96, 101))
+        if name == "bpe":
+            assert before.count() == kept.count() and set(kept.columns) >= {"doc_id", "n_tokens", "ids"}
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == kept.count()
+    del r
