@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from .iterate import cut, reach, steps
 
-NO_FILES = F.col("kind") != "File"
-
 
 def khop(edges: DataFrame, starts: DataFrame, hops: int, direction: str = "both", include_start: bool = False) -> DataFrame:
     """``root``, ``node``, ``depth`` of what lies 1 to ``hops`` hops away, each at its least depth."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from .ignore import IgnorePatterns, is_binary, pattern_lines
 
 MAX_FILE_SIZE = 1 << 20
 WHOLE_UNDER, MAX_LINES = 64 << 10, 10_001
+MAX_HIDDEN = 256 << 20
 
 
 @dataclass
@@ -32,38 +34,77 @@ def first_lines(text: Column, size: Column) -> Column:
     return F.when(size < WHOLE_UNDER, text).otherwise(F.array_join(F.slice(lines, 1, MAX_LINES), "\n"))
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return system, system.makeQualified(where)
+
+
+def _bytes(spark: SparkSession, system, where) -> bytes:
+    stream = system.open(where)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
 def ignore_rules(spark: SparkSession, root: str, options: WalkOptions) -> IgnorePatterns:
-    """The defaults, the root's ignore file and more patterns. Only that one file is read here, through Spark."""
+    """The defaults, the root's ignore files and more patterns."""
     rules = IgnorePatterns()
     if options.use_gitignore:
         for name in dict.fromkeys((".gitignore", options.ignore_file)):
-            try:
-                found = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/{name}").select("content").first()
-            except Exception as missing:  # no such file: nothing more to ignore
-                if "PATH_NOT_FOUND" not in str(missing) and "does not exist" not in str(missing):
-                    raise
-                continue
-            if found:
-                rules.add_file(bytes(found[0]).decode(errors="replace"))
+            system, where = _file_system(spark, f"{root.rstrip('/')}/{name}")
+            if system.exists(where):
+                rules.add_file(_bytes(spark, system, where).decode(errors="replace"))
     for pattern in options.more_ignores:
         rules.patterns += pattern_lines(pattern)
     return rules
 
 
+def hidden_files(spark: SparkSession, root: str, options: WalkOptions, rules: IgnorePatterns) -> list[tuple]:
+    """Files that Spark's sources never list, as their name or a folder of theirs begins with ``_`` or ``.`` - package
+    files and test folders among them: (path, size, modified_at, content). Folders are listed by the driver, without going
+    into ignored ones; contents beyond MAX_HIDDEN bytes in all are refused rather than gathered.
+    """
+    system, top = _file_system(spark, root)
+    prefix = top.toString().rstrip("/") + "/"
+    out, held, open_now = [], 0, [(top, False)]
+    while open_now:
+        folder, hidden = open_now.pop()
+        for status in system.listStatus(folder):
+            path = status.getPath().toString().removeprefix(prefix)
+            if rules.ignores_path(path):
+                continue
+            unseen = hidden or status.getPath().getName().startswith(("_", "."))
+            if status.isDirectory():
+                open_now.append((status.getPath(), unseen))
+            elif unseen:
+                size, content = status.getLen(), None
+                if options.read_content and size <= options.max_file_size:
+                    held += size
+                    if held > MAX_HIDDEN:
+                        raise ValueError(f"over {MAX_HIDDEN} bytes in files whose names Spark skips: walk the tree in parts")
+                    content = bytearray(_bytes(spark, system, status.getPath()))
+                out.append((path, size, datetime.fromtimestamp(status.getModificationTime() / 1000, timezone.utc), content))
+    return out
+
+
 def walk(spark: SparkSession, root: str, options: WalkOptions | None = None) -> DataFrame:
     """Every file below ``root`` that is not ignored: ``path`` (relative), ``size``, ``modified_at``, ``is_binary``,
     ``status`` (``read``, ``too_large``, ``binary``, ``listed``) and ``content`` (null unless read).
 
-    The size limit is pushed to the source, as is leaving out contents that nobody asks for.
+    Contents that nobody asks for are not read by the source.
     """
     options = options or WalkOptions()
     rules = ignore_rules(spark, root, options)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = spark._jvm.org.apache.hadoop.fs.Path(root)
-    full = base.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(base).toString().rstrip("/")
+    _, top = _file_system(spark, root)
     plain = F.regexp_replace(F.col("path"), "^[a-z]+:/*(?=/)", "")
-    relative = F.regexp_replace(plain, "^" + _quoted(_scheme_free(full)) + "/", "")
+    relative = F.regexp_replace(plain, "^" + _quoted(_scheme_free(top.toString().rstrip("/"))) + "/", "")
     listed = files.select(relative.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"), "content")
+    more = hidden_files(spark, root, options, rules)
+    if more:
+        listed = listed.unionByName(spark.createDataFrame(more, "path string, size bigint, modified_at timestamp, content binary"))
     return of_files(listed, options, rules)
 
 
