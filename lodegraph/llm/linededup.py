@@ -32,7 +32,7 @@ def spread_lines(lines: DataFrame, min_sites: int) -> DataFrame:
     first = F.min(F.struct("doc_id", "row", "pos")).alias("first")
     low, high = min(min_sites / 2, min_sites - 2), max(min_sites * 2, min_sites + 2)
     sketched = lines.groupBy("h").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"), first)
-    sketched = sketched.withColumn("spread", F.hll_sketch_estimate("sketch")).drop("sketch").where(F.col("spread") >= max(low, 1.5))
+    sketched = sketched.withColumn("spread", F.hll_sketch_estimate("sketch")).drop("sketch").where(F.col("spread") >= max(low, min(1.5, min_sites - 0.5)))
     sketched = materialize(sketched, "line-spread")
     near = sketched.where(F.col("spread") <= high).select("h")
     exact = lines.join(near, "h", "left_semi").where("site is not null").select("h", "site").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("sites"))

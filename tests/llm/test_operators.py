@@ -363,6 +363,7 @@ def test_line_dedup(docs, odd, empty):
 
 def test_line_spread_over_many_sites(docs):
     line = "one two three four five six seven"
+    assert linededup.dedup_lines(docs([line, line], ["a", "a"]), min_sites=1).where("n_removed = 1").count() == 1
     out = linededup.dedup_lines(docs([line] * 500, [f"site{i}" for i in range(500)])).where("n_removed = 0").collect()
     assert [x["doc_id"] for x in out] == [0]
 
