@@ -75,9 +75,9 @@ def relative_paths(fx):
 @query()
 def ingest_text(fx):
     """Documents wrapped into small sources and taken through the whole ingestion."""
-    docs = fx.table("documents").where("doc_id % 20 = 0")
-    name, other = F.concat(F.lit("f"), F.col("doc_id").cast("string")), F.concat(F.lit("f"), (F.col("doc_id") - 20).cast("string"))
-    code = F.concat(F.lit("import pkg.m"), (F.col("doc_id") - 20).cast("string"), F.lit("\n\nclass C"), F.col("doc_id").cast("string"), F.lit("(C"), (F.col("doc_id") - 20).cast("string"), F.lit("):\n    def "), name, F.lit("(self, x):\n        return "), other, F.lit("(x)\n"))
+    docs = fx.table("documents")
+    name, other = F.concat(F.lit("f"), F.col("doc_id").cast("string")), F.concat(F.lit("f"), (F.col("doc_id") - 1).cast("string"))
+    code = F.concat(F.lit("import pkg.m"), (F.col("doc_id") - 1).cast("string"), F.lit("\n\nclass C"), F.col("doc_id").cast("string"), F.lit("(C"), (F.col("doc_id") - 1).cast("string"), F.lit("):\n    def "), name, F.lit("(self, x):\n        return "), other, F.lit("(x)\n"))
     files = docs.select(F.concat(F.lit("pkg/m"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), code.alias("content"))
     made = ingest.build(files)
     return made.nodes.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).unionByName(made.edges.groupBy("kind").agg(F.count(F.lit(1)).alias("n")))
@@ -93,7 +93,7 @@ def walk_stats(fx):
 
 TERMS = """words AS (SELECT doc_id AS doc, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')) AS term FROM documents), lens AS (SELECT doc, count(*) AS len FROM words GROUP BY doc),
  corpus AS (SELECT count(*) AS n_docs, CAST(sum(coalesce(len, 0)) AS DOUBLE) / count(*) AS mean_len FROM documents LEFT JOIN lens ON doc = doc_id),
- asked AS (SELECT DISTINCT item_id AS query, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')) AS term FROM benchmark WHERE item_id % 10 = 0),
+ asked AS (SELECT DISTINCT item_id AS query, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')) AS term FROM benchmark),
  tf AS (SELECT doc, term, count(*) AS tf FROM words GROUP BY doc, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
  scored AS (SELECT query, doc, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean_len))), 6) AS score FROM asked JOIN tf USING (term) JOIN df USING (term) JOIN lens USING (doc), corpus GROUP BY query, doc),
  bm AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM scored)"""
@@ -101,7 +101,7 @@ TERMS = """words AS (SELECT doc_id AS doc, unnest(list_filter(regexp_split_to_ar
 
 def _bm25(fx, k=10):
     docs = fx.table("documents").select(F.col("doc_id").alias("doc"), "text")
-    return search.bm25(docs, fx.table("benchmark").where("item_id % 10 = 0").select(F.col("item_id").alias("query"), "text"), k)
+    return search.bm25(docs, fx.table("benchmark").select(F.col("item_id").alias("query"), "text"), k)
 
 
 @query("SELECT query, doc, score, rank FROM bm WHERE rank <= 10", extra=TERMS)
@@ -124,11 +124,11 @@ def vector_topk(fx):
 
 
 @query(
-    "SELECT query, doc, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM (SELECT query, doc, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT query, doc, rank FROM bm WHERE rank <= 10 UNION ALL SELECT query // 10, doc, rank FROM nn WHERE rank <= 10) AS r GROUP BY query, doc) AS u) AS v WHERE rank <= 10",
+    "SELECT query, doc, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM (SELECT query, doc, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT query, doc, rank FROM bm WHERE rank <= 10 UNION ALL SELECT query // 100, doc, rank FROM nn WHERE rank <= 10) AS r GROUP BY query, doc) AS u) AS v WHERE rank <= 10",
     extra=f"{TERMS}, {NEAR}",
 )
 def hybrid_rrf(fx):
-    dense = _nearest(fx).withColumn("query", F.floor(F.col("query") / 10))
+    dense = _nearest(fx).withColumn("query", F.floor(F.col("query") / 100))
     return search.fuse([_bm25(fx), dense]).select("query", "doc", "score", F.col("rank").cast("long").alias("rank"))
 
 

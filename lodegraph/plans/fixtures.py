@@ -20,7 +20,7 @@ CTES = {
     "fx_seq": """
  SELECT l_partkey AS s,
         lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) AS d, l_discount
- FROM lineitem WHERE l_orderkey % 20 = 0""",
+ FROM lineitem""",
     "fx_calls": """
  SELECT concat(a.id, '->', b.id, ':CALLS') AS id, a.id AS source_id, b.id AS target_id, 'CALLS' AS kind, max(round(1.0 - 5 * l_discount, 2)) AS confidence,
         a.ord * 1000000 + b.ord AS ord
@@ -45,7 +45,7 @@ CTES = {
    SELECT source_id AS a, target_id AS b, confidence AS w FROM fx_sparse UNION ALL SELECT target_id, source_id, confidence FROM fx_sparse) AS u GROUP BY a, b""",
     "fx_sparse": """
  SELECT c.source_id, c.target_id, c.confidence FROM fx_calls c JOIN fx_nodes a ON a.id = c.source_id JOIN fx_nodes b ON b.id = c.target_id
- WHERE c.confidence >= 0.9 AND a.kind <> 'Class' AND b.kind <> 'Class'""",
+ WHERE c.confidence >= 1.0 AND a.kind <> 'Class' AND b.kind <> 'Class'""",
     "fx_groups": """
  SELECT n.id AS node, concat('g', p_brand) AS component FROM fx_nodes n JOIN part ON p_partkey = n.ord WHERE n.kind <> 'Class'""",
     "fx_sites": """
@@ -55,7 +55,7 @@ CTES = {
  FROM fx_calls c JOIN fx_nodes a ON a.id = c.source_id JOIN fx_nodes b ON b.id = c.target_id""",
     "fx_imports": """
  SELECT DISTINCT a.file_path AS from_file, b.file_path AS to_file FROM fx_calls c JOIN fx_nodes a ON a.id = c.source_id JOIN fx_nodes b ON b.id = c.target_id
- WHERE a.ord % 3 = 0""",
+ WHERE a.language = 'typescript'""",
     "fx_paths": """
  SELECT path, row_number() OVER (ORDER BY path) AS ord FROM (
    SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^?#]*)', 1) AS path FROM pages WHERE regexp_extract(url, '^[a-z]+://([^?#]*)', 1) <> '') AS u""",

@@ -18,12 +18,12 @@ def graph_of(fx: Fixtures) -> G.Graph:
     return G.Graph(fx.fx_nodes, fx.fx_edges)
 
 
-def roots(fx: Fixtures, every: int = 97, kind: str = "Class") -> DataFrame:
-    """The stated start nodes of the traversals: every so manieth callable node."""
-    return fx.fx_nodes.where((F.col("ord") % every == 1) & (F.col("kind") != kind)).select(F.col("id").alias("root"))
+def roots(fx: Fixtures) -> DataFrame:
+    """The stated start nodes of the traversals: those whose number is divisible by 100."""
+    return fx.fx_nodes.where(F.col("ord") % 100 == 0).select(F.col("id").alias("root"))
 
 
-ROOTS = "fx_roots AS (SELECT id AS root FROM fx_nodes WHERE ord % 97 = 1 AND kind <> 'Class')"
+ROOTS = "fx_roots AS (SELECT id AS root FROM fx_nodes WHERE ord % 100 = 0)"
 
 
 @query("SELECT kind, count(*) AS n FROM fx_nodes GROUP BY kind", "fx_nodes")
@@ -102,10 +102,10 @@ def tool_query_topn(fx):
     """SELECT symbol, coalesce(n.id, f.id) AS id FROM asked LEFT JOIN fx_nodes n ON n.id = symbol AND symbol LIKE '%:%'
        LEFT JOIN (SELECT name, arg_min(id, ord) AS id FROM fx_nodes GROUP BY name) f ON f.name = symbol AND symbol NOT LIKE '%:%'""",
     "fx_nodes",
-    extra="asked AS (SELECT CASE WHEN ord % 2 = 0 THEN id WHEN ord % 3 = 0 THEN concat(name, '?') ELSE name END AS symbol FROM fx_nodes WHERE ord % 5 = 0)",
+    extra="asked AS (SELECT CASE WHEN ord % 2 = 0 THEN id WHEN ord % 3 = 0 THEN concat(name, '?') ELSE name END AS symbol FROM fx_nodes)",
 )
 def resolve_symbols(fx):
-    asked = fx.fx_nodes.where("ord % 5 = 0").select(F.when(F.col("ord") % 2 == 0, F.col("id")).when(F.col("ord") % 3 == 0, F.concat("name", F.lit("?"))).otherwise(F.col("name")).alias("symbol"))
+    asked = fx.fx_nodes.select(F.when(F.col("ord") % 2 == 0, F.col("id")).when(F.col("ord") % 3 == 0, F.concat("name", F.lit("?"))).otherwise(F.col("name")).alias("symbol"))
     names = asked.withColumn("_n", F.monotonically_increasing_id())
     told = G.resolve_symbols(fx.fx_nodes, names.select("symbol").distinct())
     return names.join(told, "symbol").select("symbol", "id")
@@ -193,9 +193,9 @@ def set_operations(fx):
     return functions.intersect(calls_.select(F.col("source_id").alias("id"))).exceptAll(functions.intersect(calls_.select(F.col("target_id").alias("id"))))
 
 
-@query("SELECT language, string_agg(id, ',' ORDER BY ord) AS ids FROM fx_nodes WHERE ord < 150 GROUP BY language", "fx_nodes")
+@query("SELECT language, string_agg(id, ',' ORDER BY ord) AS ids FROM fx_nodes GROUP BY language", "fx_nodes")
 def inverted_index(fx):
-    return G.inverted_index(fx.fx_nodes.where("ord < 150"), "language").select("language", F.array_join("ids", ",").alias("ids"))
+    return G.inverted_index(fx.fx_nodes, "language").select("language", F.array_join("ids", ",").alias("ids"))
 
 
 TIERS = """found AS (SELECT s.site, s.file_path, t.id AS target_id, t.name AS target_name, CASE WHEN s.file_path = t.file_path THEN 0 WHEN i.to_file IS NOT NULL THEN 1 ELSE 2 END AS tier
@@ -254,12 +254,12 @@ def call_threshold(fx):
        LEFT JOIN env e ON e.file_path = sites.file_path AND e.v = receiver LEFT JOIN (SELECT DISTINCT name FROM fx_nodes WHERE kind = 'Class') c ON c.name = receiver""",
     "fx_sites",
     extra="""sites AS (SELECT site, file_path, CASE WHEN line % 4 = 0 THEN 'this' WHEN line % 4 = 1 THEN 'super' ELSE called_name END AS receiver, concat('C', CAST(line AS STRING)) AS enclosing_class FROM fx_sites),
-      env AS (SELECT file_path, name AS v, min(concat('T', CAST(ord AS STRING))) AS t FROM fx_nodes WHERE ord % 3 = 1 GROUP BY file_path, name)""",
+      env AS (SELECT file_path, name AS v, min(concat('T', CAST(ord AS STRING))) AS t FROM fx_nodes WHERE language = 'python' GROUP BY file_path, name)""",
 )
 def receiver_types(fx):
     name = F.when(F.col("line") % 4 == 0, "this").when(F.col("line") % 4 == 1, "super").otherwise(F.col("called_name"))
     sites = fx.fx_sites.select("site", "file_path", name.alias("receiver"), F.concat(F.lit("C"), F.col("line").cast("string")).alias("enclosing_class"))
-    env = fx.fx_nodes.where("ord % 3 = 1").select("file_path", F.col("name").alias("var"), F.concat(F.lit("T"), F.col("ord").cast("string")).alias("type"))
+    env = fx.fx_nodes.where("language = 'python'").select("file_path", F.col("name").alias("var"), F.concat(F.lit("T"), F.col("ord").cast("string")).alias("type"))
     return calls.receiver_types(sites, env, fx.fx_nodes).select("site", "receiver_type")
 
 
