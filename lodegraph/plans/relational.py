@@ -75,9 +75,9 @@ def exact_lookup(fx):
     return nodes.where("kind = 'Function'").join(first, "name", "left_semi").select("id", "kind", "name")
 
 
-@query("SELECT id FROM fx_nodes WHERE lower(name) LIKE '%ite%' AND coalesce(is_exported, false) = false AND file_path LIKE '%f3.%'", "fx_nodes")
+@query("SELECT id FROM fx_nodes WHERE lower(name) LIKE '%art_1%' AND coalesce(is_exported, false) = false AND file_path LIKE '%f3.%'", "fx_nodes")
 def search_fuzzy(fx):
-    return G.search(fx.fx_nodes, name="ITE", file="f3.", exported=False).select("id")
+    return G.search(fx.fx_nodes, name="ART_1", file="f3.", exported=False).select("id")
 
 
 @query("SELECT id FROM fx_nodes WHERE regexp_matches(file_path, '/f[0-2]\\.(ts|go)$') AND kind = 'Class' AND language = 'go'", "fx_nodes")
@@ -91,11 +91,11 @@ def search_without_criteria(fx):
 
 
 @query(
-    "SELECT id, kind, name, file_path AS file, start_line AS line, is_exported AS exported FROM fx_nodes WHERE (lower(name) LIKE '%a1%' OR lower(file_path) LIKE '%a1%') AND kind = 'Function' ORDER BY ord LIMIT 20",
+    "SELECT id, kind, name, file_path AS file, start_line AS line, is_exported AS exported FROM fx_nodes WHERE (lower(name) LIKE '%brand12%' OR lower(file_path) LIKE '%brand12%') AND kind = 'Function' ORDER BY ord LIMIT 20",
     "fx_nodes",
 )
 def tool_query_topn(fx):
-    return G.top_matches(fx.fx_nodes, "A1", kind="Function")
+    return G.top_matches(fx.fx_nodes, "Brand12", kind="Function")
 
 
 @query(
@@ -185,11 +185,11 @@ def apply_diff(fx):
 
 
 @query(
-    """SELECT id FROM fx_nodes WHERE kind = 'Function' AND id IN (SELECT source_id FROM fx_calls) AND id NOT IN (SELECT target_id FROM fx_calls)""",
+    """SELECT id FROM fx_nodes WHERE kind = 'Function' AND id IN (SELECT source_id FROM fx_calls WHERE confidence = 1.0) AND id NOT IN (SELECT target_id FROM fx_calls WHERE confidence = 1.0)""",
     "fx_calls",
 )
 def set_operations(fx):
-    functions, calls_ = fx.fx_nodes.where("kind = 'Function'").select("id"), fx.fx_calls
+    functions, calls_ = fx.fx_nodes.where("kind = 'Function'").select("id"), fx.fx_calls.where("confidence = 1.0")
     return functions.intersect(calls_.select(F.col("source_id").alias("id"))).exceptAll(functions.intersect(calls_.select(F.col("target_id").alias("id"))))
 
 
