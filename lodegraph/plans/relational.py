@@ -75,9 +75,9 @@ def exact_lookup(fx):
     return nodes.where("kind = 'Function'").join(first, "name", "left_semi").select("id", "kind", "name")
 
 
-@query("SELECT id FROM fx_nodes WHERE lower(name) LIKE '%art_1%' AND coalesce(is_exported, false) = false AND file_path LIKE '%f3.%'", "fx_nodes")
+@query("SELECT id FROM fx_nodes WHERE lower(name) LIKE '%ing%' AND coalesce(is_exported, false) = false AND file_path LIKE '%f3.%'", "fx_nodes")
 def search_fuzzy(fx):
-    return G.search(fx.fx_nodes, name="ART_1", file="f3.", exported=False).select("id")
+    return G.search(fx.fx_nodes, name="ING", file="f3.", exported=False).select("id")
 
 
 @query("SELECT id FROM fx_nodes WHERE regexp_matches(file_path, '/f[0-2]\\.(ts|go)$') AND kind = 'Class' AND language = 'go'", "fx_nodes")
