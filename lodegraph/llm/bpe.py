@@ -20,6 +20,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import dropped_when_lean
+
 #: Letters and numbers of Unicode versions later than 16, by which the rank files' library splits text.
 #: The pattern module knows them already; they count as neither here.
 LATER_LETTERS = (
@@ -183,6 +185,7 @@ class BytePairEncoder:
 
 
 _encoders: dict[tuple[str, str], BytePairEncoder] = {}
+dropped_when_lean.append(_encoders.clear)
 
 
 def encoder(path: str, pattern: str) -> BytePairEncoder:

@@ -7,7 +7,7 @@ import ctypes
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,9 +71,15 @@ def utf8_texts(column: pa.Array) -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
+#: What drops the caches that operators keep in a worker from task to task.
+dropped_when_lean: list[Callable[[], None]] = []
+
+
 def lean_memory() -> None:
-    """In a worker that handles large arrays: give back to the system at once what is freed, where its allocator can be
+    """In a worker that handles large arrays: drop what other operators remember there, and give back to the system at once what is freed, where its allocator can be
     told to (blocks of a megabyte and more get their own mapping), and what is kept free for later."""
+    for drop in dropped_when_lean:
+        drop()
     pa.default_memory_pool().release_unused()
     try:
         libc = ctypes.CDLL(None)

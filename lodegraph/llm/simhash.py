@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, utf8_texts
+from .common import lean_memory, materialize, utf8_texts
 from .components import components
 
 BITS = 64
@@ -64,6 +64,7 @@ def fingerprints(df: DataFrame, words: int = 4, seed: int = 42, id_column: str =
     kind = df.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         for batch in batches:
             made = np.fromiter((fingerprint(t, words, seed) for t in utf8_texts(batch.column(1))), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], ["doc_id", "fp"])
@@ -170,6 +171,7 @@ def links(distinct: DataFrame, distance: int = 4, blocks: int | None = None) ->
     routed = routed.select("fp", "r.route", F.pmod(F.xxhash64("r.route", "r.key"), F.lit(groups)).alias("part"))
 
     def run(table: pa.Table) -> pa.Table:
+        lean_memory()
         values = np.unique(table.column("fp").to_numpy().view(np.uint64))
         a, b = meetings(values, flips[table.column("route")[0].as_py()])
         root = smallest_reachable(len(values), a, b)

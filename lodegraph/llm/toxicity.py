@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc, materialize
+from .common import id_crc, lean_memory, materialize
 
 SIZES = (3, 4, 5)
 PLACE_BITS = 20
@@ -106,6 +106,7 @@ def train(docs: DataFrame, labels: DataFrame, max_training: int = 20_000, max_fe
         return Model(np.zeros(PLACES, np.float32), float(np.log((n_toxic + 1) / (n_clean + 1))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         seen = np.zeros((2, PLACES), np.int32)
         for batch in batches:
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -150,6 +151,7 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
     held = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         own = Model(*held.value)
         for batch in batches:
             made = np.fromiter((own.score(t.as_py() or "") for t in batch.column(1)), float, batch.num_rows)
@@ -164,6 +166,7 @@ def filter_clean(docs: DataFrame, model: Model, threshold: float = 0.7, text_col
     at = docs.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         own = Model(*held.value)
         for batch in batches:
             yield batch.filter(pa.array([own.score(t.as_py() or "") < threshold for t in batch.column(at)], pa.bool_()))
