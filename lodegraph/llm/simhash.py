@@ -13,7 +13,7 @@ emits its variants in the other bits, in memory. With 5 parts that is 5 rows of
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -203,14 +203,14 @@ def near_duplicates(df: DataFrame, distance: int = 4, words: int = 4, seed: int
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_alike")
 
 
-def keep_first(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", **parameters) -> DataFrame:
+def keep_first(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", group: Callable[..., DataFrame] = near_duplicates, **parameters) -> DataFrame:
     """The rows of ``df`` without near-duplicates: of each component the row with the smallest id stays (a null id is the
-    smallest; of rows with the same id the one with the smaller hash), once however often it is repeated. Texts are
-    shuffled once, to meet the verdicts."""
+    smallest; of rows with the same id the one with the smaller hash), once however often it is repeated. ``group``
+    names each row's component. Texts are shuffled to meet the verdicts."""
     row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
     keyed = df.withColumn("_row", row)
     known = keyed.select(F.struct(F.col(id_column).alias("id"), F.col("_row").alias("row")).alias("_id"), F.col(text_column).alias("_text"))
-    groups = near_duplicates(known, id_column="_id", text_column="_text", **parameters)
+    groups = group(known, id_column="_id", text_column="_text", **parameters)
     first = groups.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id.row").alias("_row")).agg(F.count(F.lit(1)).alias("_n"))
     first = materialize(first, "simhash-first")
     once = keyed.join(first.where("_n = 1").select("_row"), "_row", "left_semi")

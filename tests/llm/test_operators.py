@@ -617,3 +617,47 @@ def test_pipeline_stages(docs, spark, tmp_path):
             assert before.count() == kept.count() and set(kept.columns) >= {"doc_id", "n_tokens", "ids"}
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == kept.count()
     del r
+
+
+def plain_near_copies(texts, similarity=0.8):
+    """Ids that stay, by comparing all pairs of sets of 5-word shingles."""
+    shingles = [frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := t.lower().split()) else frozenset() for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            shared = len(shingles[a] & shingles[b])
+            if shared >= similarity * (len(shingles[a]) + len(shingles[b]) - shared):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {find(i) for i in range(len(texts))}
+
+
+def test_pipeline_drops_near_copies(docs, spark, empty):
+    import corpus_pipeline
+
+    r = random.Random(11)
+    base = [prose(300 + i, 150) for i in range(20)]
+    texts = list(base)
+    for i, t in enumerate(base):
+        for edits in range(1, 7):  # an edit takes five of about 146 shingles: similarities of 0.93 down to about 0.66
+            w = t.split()
+            for k in range(edits):
+                w[(20 * k + 5 + i) % 150] = f"new{i}{edits}{k}"
+            texts.append(" ".join(w))
+    for k in range(40):  # a group larger than those whose pairs are all compared
+        w = base[0].split()
+        w[r.randrange(150)] = f"other{k}"
+        texts.append(" ".join(w))
+    texts += ["", "two words", "Two  Words"]
+    r.shuffle(texts)
+    want = plain_near_copies(texts)
+    assert len(want) < len(texts) - 80 and len(want) > 22
+    kept = corpus_pipeline.dedup_near(spark, docs(texts), "")
+    assert {x["doc_id"] for x in kept.collect()} == want
+    assert corpus_pipeline.dedup_near(spark, empty, "").count() == 0
