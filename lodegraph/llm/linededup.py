@@ -17,8 +17,10 @@ from .common import materialize
 LG_K = 12
 
 
-def eligible(line: Column, min_words: int) -> Column:
-    """Lines with at least ``min_words`` words as spaces part them; shorter ones recur by chance and are left alone."""
+def eligible(line: Column, min_words: int | None) -> Column:
+    """Lines with at least ``min_words`` words as spaces part them; None takes every line that is not blank."""
+    if min_words is None:
+        return F.regexp_like(line, F.lit(r"(?U)\S"))
     return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) >= min_words - 1
 
 
@@ -44,7 +46,7 @@ def spread_lines(lines: DataFrame, min_sites: int) -> DataFrame:
 def dedup_lines(
     df: DataFrame,
     min_sites: int = 3,
-    min_words: int = 6,
+    min_words: int | None = 6,
     id_column: str = "doc_id",
     text_column: str = "text",
     site_column: str = "source",

@@ -661,3 +661,16 @@ def test_pipeline_drops_near_copies(docs, spark, empty):
     kept = corpus_pipeline.dedup_near(spark, docs(texts), "")
     assert {x["doc_id"] for x in kept.collect()} == want
     assert corpus_pipeline.dedup_near(spark, empty, "").count() == 0
+
+
+def test_pipeline_drops_short_lines(docs, spark):
+    import corpus_pipeline
+
+    repeated = ["All rights reserved.", "Menu", "one\ttwo\tthree\tfour\tfive\tsix\tseven", "版权所有保留一切权利", "a line of six words here"]
+    blank = ["", "  ", "\t", "\u3000", "      "]
+    texts = ["\n".join([f"own{i} line", *repeated, *blank, "on two sites" if i < 2 else f"other{i}"]) for i in range(4)]
+    texts.append("\n".join(["Menu", *blank]))  # nothing but blank lines is left of it
+    out = {x["doc_id"]: x["text"] for x in corpus_pipeline.dedup_lines(spark, docs(texts, ["a", "b", "c", "a", "b"]), "").collect()}
+    assert out[0] == texts[0] and set(out) == {0, 1, 2, 3}
+    for i in range(1, 4):
+        assert out[i].split("\n") == [f"own{i} line", *blank, "on two sites" if i < 2 else f"other{i}"]
