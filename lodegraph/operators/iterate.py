@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import itertools
 import tempfile
 import uuid
 
@@ -56,8 +57,8 @@ def steps(edges: DataFrame, direction: str = "out") -> DataFrame:
     return {"out": lambda: along, "in": lambda: against, "both": lambda: along.union(against)}[direction]()
 
 
-def reach(pairs: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
-    """``root``, ``node`` and ``depth``: what each start reaches in at most ``max_depth`` steps, at its least depth; the
+def reach(pairs: DataFrame, starts: DataFrame, max_depth: int | None) -> DataFrame:
+    """``root``, ``node`` and ``depth``: what each start reaches in at most ``max_depth`` steps (None: in any number), at its least depth; the
     start itself at 0. ``pairs`` has ``src`` and ``dst``, ``starts`` has ``root``.
 
     Level by level for all starts at once. A node that a start has met is never expanded again (an anti-join), so a round
@@ -66,7 +67,7 @@ def reach(pairs: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
     pairs = cut(pairs.where("src <> dst").distinct())
     seen = starts.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct()
     front = seen = cut(seen)
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
         found = front.select("root", F.col("node").alias("src")).join(pairs, "src").select("root", F.col("dst").alias("node")).distinct()
         front = cut(found.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():

@@ -57,8 +57,8 @@ def context(nodes: DataFrame, edges: DataFrame, starts: DataFrame, depth: int =
     return out
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, directed: bool = True, max_depth: int = 10) -> DataFrame:
-    """``pairs`` (``src``, ``dst``) with ``length`` (edges, -1 if there is none within ``max_depth``) and
+def shortest_paths(edges: DataFrame, pairs: DataFrame, directed: bool = True, max_depth: int | None = 10) -> DataFrame:
+    """``pairs`` (``src``, ``dst``) with ``length`` (edges, -1 if there is none within ``max_depth``, which None leaves open) and
     ``path`` (node ids with both ends; empty if there is none). From a node to itself the length is 0.
 
     Of several shortest paths the one with the smallest sequence of ids. Levels first, for all sources at once; then, from

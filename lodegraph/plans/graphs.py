@@ -96,14 +96,14 @@ SHORTEST = f"""{ROOTS}, {walk_sql(OUT, 3)}, {PAIRS},
 
 @query("SELECT p.src, p.dst, CAST(coalesce(len(m.p) - 1, -1) AS INT) AS length, coalesce(array_to_string(m.p, ' > '), '') AS path FROM fx_pairs p LEFT JOIN best ON best.src = p.src AND best.dst = p.dst", "fx_calls", extra=SHORTEST)
 def shortest_path_nodes(fx):
-    return traverse.shortest_paths(fx.fx_calls, pairs(fx), True, 3).select("src", "dst", "length", F.array_join("path", " > ").alias("path"))
+    return traverse.shortest_paths(fx.fx_calls, pairs(fx), True, None).select("src", "dst", "length", F.array_join("path", " > ").alias("path"))
 
 
 @query("SELECT p.src, p.dst, CAST(coalesce(r.depth, -1) AS INT) AS length FROM fx_pairs p LEFT JOIN both_ways r ON r.root = p.src AND r.node = p.dst", "fx_calls",
        extra=f"""{ROOTS}, {walk_sql(OUT, 3)}, {PAIRS}, two AS (SELECT source_id AS a, target_id AS b FROM fx_calls UNION SELECT target_id, source_id FROM fx_calls),
        walk2 AS (SELECT root, root AS node, 0 AS depth FROM fx_roots UNION SELECT root, b, depth + 1 FROM walk2 JOIN two ON a = node WHERE depth < 3), both_ways AS (SELECT root, node, min(depth) AS depth FROM walk2 GROUP BY root, node)""")
 def shortest_path_undirected(fx):
-    return traverse.shortest_paths(fx.fx_calls, pairs(fx), False, 3).select("src", "dst", "length")
+    return traverse.shortest_paths(fx.fx_calls, pairs(fx), False, None).select("src", "dst", "length")
 
 
 @query("SELECT src, dst, array_to_string(path, ' > ') AS path FROM grown WHERE tip = dst AND len(path) > 1", "fx_calls",

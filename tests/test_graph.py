@@ -132,3 +132,18 @@ def test_text_and_paths(spark):
     assert [get(paths.parent(F.lit(p))) for p in ("a", "/a", "a/b")] == [".", "/", "a"]
     assert [get(paths.extension(F.lit(p))) for p in ("a/b.TS", "a.b/c", ".gitignore")] == ["ts", None, "gitignore"]
     assert get(paths.suffixes(F.lit("a/b/c"))) == ["a/b/c", "b/c", "c"] and get(paths.prefixes(F.lit("a/b"))) == ["a", "a/b"]
+
+
+def test_shortest_path_queries_have_no_bound(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from lodegraph.plans import graphs
+
+    names = [f"n{i:02d}" for i in range(13)]
+    ends = spark.createDataFrame([(names[0],), (names[12],)], "root string")
+    fx = SimpleNamespace(fx_calls=edges_of(spark, [(a, b, "CALLS", 1.0) for a, b in zip(names, names[1:])]))
+    monkeypatch.setattr(graphs, "roots", lambda fx: ends)
+    found = {(r["src"], r["dst"]): (r["length"], r["path"]) for r in graphs.shortest_path_nodes(fx).collect()}
+    both = {(r["src"], r["dst"]): r["length"] for r in graphs.shortest_path_undirected(fx).collect()}
+    assert found["n00", "n12"] == (12, " > ".join(names)) and found["n12", "n00"] == (-1, "") and found["n00", "n00"] == (0, "n00")
+    assert both["n00", "n12"] == both["n12", "n00"] == 12 and both["n00", "Function:none"] == -1
