@@ -20,9 +20,12 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the cluster names none."""
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it. Where that is unset, a temporary
+    folder of this machine will do if executors run here too; on a cluster it is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lodegraph-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -55,6 +58,27 @@ def forget_tables() -> None:
 atexit.register(forget_tables)
 
 
+#: Keys that have over 1 / HOT of all rows are joined by broadcast: there are at most HOT of them, whatever the data.
+HOT = 1000
+#: Rows of a key that one task can take in any case.
+FEW = 100_000
+
+
+def join_counted(rows: DataFrame, small: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``small``, which has one row a key; its column ``count`` says how many of ``rows`` have that key.
+
+    The few keys that hold much of the rows do not meet in one task: they are broadcast, and only the others shuffled.
+    ``how`` is inner or left_semi. The count does not come along.
+    """
+    total = small.agg(F.sum(count)).first()[0] or 0
+    many = F.col(count) > max(total // HOT, FEW)
+    hot = small.where(many).drop(count)
+    rest = rows.join(small.where(~many).drop(count), key, how)
+    if hot.isEmpty():
+        return rest
+    return rest.unionByName(rows.join(F.broadcast(hot), key, how))
+
+
 def id_crc(column: str = "doc_id") -> Column:
     """crc32 of the id as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))

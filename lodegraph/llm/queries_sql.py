@@ -6,7 +6,7 @@ plain versions in Python.
 
 LINE_DEDUP = """WITH parts AS (SELECT doc_id, source, string_split(text, chr(10)) AS s FROM documents),
  lines AS (SELECT doc_id, source, i AS pos, s[i] AS line FROM (SELECT *, unnest(generate_series(1, len(s))) AS i FROM parts) AS u),
- spread AS (SELECT line, min((doc_id, pos)) AS first FROM lines WHERE length(line) - length(replace(line, ' ', '')) >= 5 GROUP BY line HAVING count(DISTINCT source) >= 3),
+ spread AS (SELECT line, min((doc_id, pos)) AS first FROM lines WHERE regexp_matches(line, '[^\\x09-\\x0D\\x{85}\\p{Z}]') GROUP BY line HAVING count(DISTINCT source) >= 3),
  told AS (SELECT l.doc_id, l.pos, l.line, s.line IS NOT NULL AND (l.doc_id, l.pos) <> s.first AS gone FROM lines l LEFT JOIN spread s ON s.line = l.line)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS text_sha256
 FROM told GROUP BY doc_id"""
