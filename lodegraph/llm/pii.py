@@ -1,7 +1,8 @@
 """Personal data: patterns propose spans, checksums confirm them, words nearby adjust a score. DataFrame functions only.
 
 Spark has no function that gives the places of all matches, but splitting by a pattern gives what lies between them:
-with the pieces' and the matches' lengths in turn, running sums give every span in code points.
+with the pieces' and the matches' lengths in turn, running sums give every span in code points. Sums, context and
+overlaps are found without going through a text again for each of its spans, so a long log is no harder than many short ones.
 
 The patterns are those of the kinds' definitions, written so that Java's matcher takes linear time and constant stack:
 possessive repeats, which lose nothing where what follows a repeat cannot also match within it, and a look-behind that
@@ -10,6 +11,10 @@ stops the search from trying every place inside a run again. ``\\G`` admits a ma
 
 from __future__ import annotations
 
+import functools
+import operator
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,20 +48,67 @@ CONTEXT_WORDS = {
 CONTEXT_WORDS |= {"card_short": CONTEXT_WORDS["card"], "phone_local": CONTEXT_WORDS["phone"]}
 
 
+SPANS = "array<struct<start:int,end:int,found:string>>"
+#: Code points of a text that are held together.
+PIECE = 256
+
+
+def _power(r: Column) -> Column:
+    return F.pow(F.lit(2), r).cast("int")
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once: as a variable of a function over arrays it is not put in the place of
+    each of its uses, some of which are within loops."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """The values up to each place, joined (sums, or maxima): in as many passes as the length has binary digits, each of
+    which joins every value with one a power of two before it."""
+    rounds = F.sequence(F.lit(0), F.length(F.bin(F.size(values))))
+    one = lambda held, r: F.transform(held, lambda v, i: F.when(i >= _power(r), join(F.get(held, i - _power(r)), v)).otherwise(v))
+    return F.when(F.size(values) < 2, values).otherwise(F.aggregate(rounds, values, one))
+
+
 def spans_of(text: Column, pattern: str) -> Column:
-    """Array of (start, end, found), in code points, for each match of the pattern from left to right."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    pairs = F.arrays_zip(found.alias("found"), F.slice(between, F.lit(1), F.size(found)).alias("before"))
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string>>").alias("spans"))
+    """Array of (start, end, found), in code points, for each match of the pattern from left to right.
+
+    The lengths of what lies between matches and of the matches in turn, summed up, give the places.
+    """
+
+    def placed(found: Column) -> Column:
+        between = F.split(text, pattern, -1)
+        sizes = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda b, f: F.length(b) + F.length(f))
+        span = lambda end, f: F.struct((end - F.length(f)).alias("start"), end.alias("end"), f.alias("found"))
+        return F.when(F.size(found) == 0, F.array().cast(SPANS)).otherwise(bound(sizes, lambda each: F.zip_with(running(each, lambda x, y: x + y), found, span)))
+
+    return bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
+
+
+def pieces(text: Column) -> Column:
+    """The text in pieces of PIECE code points: what lies at a place is found without going through all before it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
 
-    def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.length(pair["before"])
-        end = start + F.length(pair["found"])
-        span = F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), pair["found"].alias("found"))
-        return F.struct(end.cast("int").alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
+def cut(held: Column, start: Column, end: Column) -> Column:
+    """The code points from start to end of a text held in pieces."""
+    first = F.floor(start / PIECE).cast("int")
+    last = F.floor((end - 1) / PIECE).cast("int")
+    some = F.array_join(F.transform(F.sequence(first, F.greatest(first, last)), lambda i: F.coalesce(F.get(held, i), F.lit(""))), "")
+    return F.when(start >= end, F.lit("")).otherwise(F.substr(some, start - first * PIECE + 1, end - start))
 
-    return F.aggregate(pairs, first, step, lambda state: state["spans"])
+
+def meets(spans: Column, start: Column, end: Column) -> Column:
+    """Whether one of ``spans``, in order and apart from each other, shares a place with start to end: the last that
+    begins before the end is found by halving."""
+    steps = F.reverse(F.sequence(F.lit(0), F.length(F.bin(F.size(spans)))))
+
+    def nearer(count: Column, r: Column) -> Column:
+        more = count + _power(r)
+        return F.when((more <= F.size(spans)) & (F.get(spans, more - 1)["start"] < end), more).otherwise(count)
+
+    return F.coalesce(F.get(spans, F.aggregate(steps, F.lit(0), nearer) - 1)["end"] > start, F.lit(False))
 
 
 def digits(value: Column) -> Column:
@@ -97,59 +149,73 @@ def confirmed(kind: str, span: Column) -> Column:
     }[kind]()
 
 
-def _scored_spans(order: int, kind: str, raw: Column, text: Column) -> Column:
-    """The confirmed ones of a kind's proposed spans, with their scores."""
+def _scored_spans(order: int, kind: str, raw: Column, held: Column) -> Column:
+    """The confirmed ones of a kind's proposed spans, with their scores; ``held`` is the text in pieces."""
     base, more = SCORES[kind]
 
     def scored(span: Column) -> Column:
-        left = F.greatest(span["start"] - CONTEXT, F.lit(0))
-        around = F.concat(F.substring(text, left + 1, span["start"] - left), F.lit(" "), F.substring(text, span["end"] + 1, F.lit(CONTEXT)))
+        around = F.concat(cut(held, F.greatest(span["start"] - CONTEXT, F.lit(0)), span["start"]), F.lit(" "), cut(held, span["end"], span["end"] + CONTEXT))
         score = F.lit(base) + F.when(around.rlike(CONTEXT_WORDS[kind]), more).otherwise(0.0)
         return F.struct(F.lit(order).alias("kind_order"), span["start"].alias("start"), span["end"].alias("end"), F.lit(kind).alias("kind"), score.alias("score"))
 
     return F.transform(F.filter(raw, lambda span: confirmed(kind, span)), scored)
 
 
+def spans_in(text: Column) -> Column:
+    """All spans of a text, as :func:`find_pii` gives them."""
+    sources = {k: k for k in (*BASE, *ADDED)} | {"card_short": "card"}
+    kinds = list(dict.fromkeys(sources.values()))
+    none = F.array().cast(SPANS)
+    tried = lambda k: text.contains(NEEDS[k]) if k in NEEDS else text.rlike("[0-9]")
+    raw = F.struct(*[F.when(tried(k), spans_of(text, PATTERNS[k])).otherwise(none).alias(k) for k in kinds])
+
+    def scored(found: Column) -> Column:
+        all_kinds = lambda held: F.struct(*[_scored_spans(order, k, found[sources[k]], held).alias(k) for order, k in enumerate((*BASE, *ADDED))])
+        return bound(bound(pieces(text), all_kinds), merged)
+
+    def merged(by: Column) -> Column:
+        free = lambda s: (s["score"] >= LEAST) & ~functools.reduce(operator.or_, (meets(by[k], s["start"], s["end"]) for k in BASE))
+        return F.concat(*[by[k] for k in BASE], *[F.filter(by[k], free) for k in ADDED])
+
+    return bound(raw, scored)
+
+
 def find_pii(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """A row a document: the id, and ``found``, an array of (kind_order, kind, start, end, score), by kind and start.
 
     Base kinds keep every confirmed span, whatever its score. An added kind's span must be confirmed, score at least
     LEAST and not overlap a base span. A null or empty text has no spans. Rows are independent of each other, nothing is
-    shuffled, and repeated rows, null ids or further columns change nothing.
+    shuffled, and repeated rows, null ids or further columns, whatever their names, change nothing. Time grows with a
+    text's length and, but for a logarithm, with its spans.
     """
-    text = F.coalesce(F.col(text_column), F.lit(""))
-    rows = df.select(F.col(id_column).alias("doc_id"), text.alias("_text"))
-    none = F.array().cast("array<struct<start:int,end:int,found:string>>")
-    sources = {k: k for k in (*BASE, *ADDED)} | {"card_short": "card"}
-    raw = {}
-    for kind in dict.fromkeys(sources.values()):
-        tried = F.col("_text").contains(NEEDS[kind]) if kind in NEEDS else F.col("_text").rlike("[0-9]")
-        raw[kind] = F.when(tried, spans_of(F.col("_text"), PATTERNS[kind])).otherwise(none)
-    rows = rows.select("*", *[c.alias(f"_raw_{k}") for k, c in raw.items()])
-    passed = [_scored_spans(order, kind, F.col(f"_raw_{sources[kind]}"), F.col("_text")).alias(f"_{kind}") for order, kind in enumerate((*BASE, *ADDED))]
-    rows = rows.select("doc_id", *passed)
-    base = F.concat(*[F.col(f"_{k}") for k in BASE])
-    rows = rows.withColumn("_base", base)
-    free = lambda s: (s["score"] >= LEAST) & ~F.exists(F.col("_base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    added = F.concat(*[F.filter(F.col(f"_{k}"), free) for k in ADDED])
-    return rows.select("doc_id", F.concat(F.col("_base"), added).alias("found"))
+    text = F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
+    return df.select(F.col(f"`{id_column}`").alias("doc_id"), spans_in(text).alias("found"))
 
 
 def redact(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The id and the text with every span of :func:`find_pii` replaced by ``<KIND>``; of overlapping spans the first
-    by start (then the longer) is replaced. Ids must be unique."""
-    spans = find_pii(df, id_column, text_column)
-    ordered = F.array_sort(F.transform("found", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
-    both = df.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("_text")).join(spans.withColumn("_spans", ordered), "doc_id")
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(state: Column, span: Column) -> Column:
-        gap = F.substring(F.col("_text"), state["at"] + 1, span["start"] - state["at"])
-        done = F.struct((-span["back"]).cast("int").alias("at"), F.concat(state["out"], gap, F.lit("<"), F.upper(span["kind"]), F.lit(">")).alias("out"))
-        return F.when(span["start"] >= state["at"], done).otherwise(state)
-
-    finish = lambda state: F.concat(state["out"], F.substring(F.col("_text"), state["at"] + 1, F.length("_text")))
-    return both.select("doc_id", F.aggregate("_spans", first, step, finish).alias(text_column))
+    """The id and the text, a row a document, with every span of :func:`find_pii` replaced by ``<KIND>``; spans that
+    overlap are replaced together, by the kind of the first of them (of equal starts the longest)."""
+    text = F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
+    ordered = F.array_sort(F.transform(spans_in(text), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
+
+    def replaced(spans: Column) -> Column:
+        ends = running(F.transform(spans, lambda s: -s["back"]), F.greatest)
+        return bound(ends, lambda reached: F.when(F.size(spans) == 0, text).otherwise(bound(heads(spans, reached), lambda h: written(h, reached))))
+
+    def heads(spans: Column, reached: Column) -> Column:
+        """The spans that begin a group of overlapping ones, with their places."""
+        told = F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), i.alias("i"), ((i == 0) | (s["start"] >= F.get(reached, i - 1))).alias("head")))
+        return F.filter(told, lambda s: s["head"])
+
+    def written(firsts: Column, reached: Column) -> Column:
+        def all_parts(held: Column) -> Column:
+            before = lambda h, k: F.when(k == 0, 0).otherwise(F.get(reached, h["i"] - 1))
+            each = F.transform(firsts, lambda h, k: F.concat(cut(held, before(h, k), h["start"]), F.lit("<"), F.upper(h["kind"]), F.lit(">")))
+            return F.concat(F.array_join(each, ""), cut(held, F.element_at(reached, -1), F.length(text)))
+
+        return bound(pieces(text), all_parts)
+
+    return df.select(F.col(f"`{id_column}`").alias("doc_id"), bound(ordered, replaced).alias(text_column))
 
 
 def joined(spans: Column) -> Column:
