@@ -59,7 +59,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
+    """The tables hold no list of keys. In its place stand, as if they had been reported, the (host, path) of the pages
+    whose id is divisible by 100."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    reported = pages.where("page_id % 100 = 0").select(urls.host_of(F.col("url")).alias("host"), urls.path_of(F.col("url")).alias("path"))
+    return urls.judge(pages, URL_RULES, reported)
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

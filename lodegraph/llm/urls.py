@@ -1,4 +1,4 @@
-"""URL filters: host and path rules, and exact membership by a cascade of Bloom filters.
+"""URL filters: host and path rules, and exact membership of a list by a cascade of Bloom filters.
 
 A Bloom filter over the listed keys never misses one, but passes some others. Over a known universe of keys those false
 positives can be named, and a second filter holds them; of the listed keys, it passes some wrongly, and a third holds
@@ -6,20 +6,24 @@ those; and so on until a level passes nothing wrongly. A key of the universe is
 rejects it is an even one (counting from 1). No join with the list is needed then, and no answer is approximate.
 
 The universe is every distinct key of the corpus, dealt into shards by hash; each shard's cascade is built by itself
-from at most about ``shard_keys`` keys. Where all cascades together stay under ``broadcast_bytes`` they go to every
-task; beyond that, keys are brought to their shard's cascade.
+from about ``shard_keys`` keys. Rows are routed to their shard's cascade, which comes first in the task that reads them,
+and asked one batch after another: nothing is joined, broadcast or gathered, and it is the same at every size. A shard
+whose keys have very many rows is answered in several tasks, each with a copy of the cascade.
+
+Keys are hashes of 128 bits; of 10**10 keys, two are alike with a probability under 10**-18.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from .common import materialize
 
@@ -57,15 +61,18 @@ def winning_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Co
     return chosen
 
 
-def _mixed(keys: np.ndarray, salt: int) -> np.ndarray:
-    x = keys ^ np.uint64((0x9E3779B97F4A7C15 * (salt + 1)) & (2**64 - 1))
+KEY = np.dtype([("a", "<u8"), ("b", "<u8")])
+
+
+def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
+    x = x ^ np.uint64((0x9E3779B97F4A7C15 * (salt + 1)) & (2**64 - 1))
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
 class BloomFilter:
-    """Bits over 64-bit keys; ``salt`` makes levels independent."""
+    """Bits over keys of 128 bits (two halves ``a`` and ``b``); ``salt`` makes levels independent."""
 
     def __init__(self, keys: np.ndarray, rate: float, salt: int):
         self.salt = salt
@@ -78,7 +85,7 @@ class BloomFilter:
 
     def _places(self, keys: np.ndarray) -> Iterator[np.ndarray]:
         for i in range(self.hashes):
-            yield (_mixed(keys, 64 * self.salt + i) % np.uint64(self.size)).astype(np.int64)
+            yield (_mixed(keys["a"] ^ _mixed(keys["b"], self.salt), 64 * self.salt + i) % np.uint64(self.size)).astype(np.int64)
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
         out = np.ones(len(keys), bool)
@@ -88,7 +95,7 @@ class BloomFilter:
 
 
 class Cascade:
-    """Exact membership for the keys of a universe. Keys are 64-bit hashes; listed and others must not overlap."""
+    """Exact membership for the keys of a universe; listed and others must not overlap."""
 
     def __init__(self, listed: np.ndarray, others: np.ndarray):
         self.levels: list[BloomFilter] = []
@@ -131,65 +138,88 @@ class Cascade:
         return made
 
 
+def key_of(*columns: Column) -> Column:
+    """128 bits that stand for the columns."""
+    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit("second half"), *reversed(columns)).alias("b"))
+
+
+def _keys(a: pa.Array, b: pa.Array) -> np.ndarray:
+    out = np.empty(len(a), KEY)
+    out["a"], out["b"] = a.to_numpy(False).view(np.uint64), b.to_numpy(False).view(np.uint64)
+    return out
+
+
+def shard_of(key: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(5), key), F.lit(shards))
+
+
 def build_cascades(universe: DataFrame, shards: int) -> DataFrame:
-    """``universe`` has distinct ``key`` (long) and ``listed`` (boolean). Returns ``shard`` and ``cascade`` (binary)."""
+    """``universe`` has distinct ``key``, ``listed`` (boolean) and ``n``, how many rows have the key. Returns ``shard``,
+    ``cascade`` (binary) and ``n``."""
 
-    def build(group: pd.DataFrame) -> pd.DataFrame:
-        keys, listed = group["key"].to_numpy(np.int64).view(np.uint64), group["listed"].to_numpy(bool)
-        return pd.DataFrame({"shard": [group["shard"].iloc[0]], "cascade": [Cascade(keys[listed], keys[~listed]).dump()]})
+    def build(group: pa.Table) -> pa.Table:
+        keys, listed = _keys(group.column("a").combine_chunks(), group.column("b").combine_chunks()), group.column("listed").to_numpy()
+        blob = Cascade(keys[listed], keys[~listed]).dump()
+        return pa.table({"shard": group.column("shard").slice(0, 1), "cascade": pa.array([blob], pa.binary()), "n": pa.array([int(group.column("n").to_numpy().sum())], pa.int64())})
 
-    dealt = universe.select("key", "listed", F.pmod(F.xxhash64(F.lit(5), "key"), F.lit(shards)).alias("shard"))
-    return dealt.groupBy("shard").applyInPandas(build, "shard bigint, cascade binary")
+    dealt = universe.select("key.a", "key.b", "listed", "n", shard_of(F.col("key"), shards).alias("shard"))
+    return dealt.groupBy("shard").applyInArrow(build, "shard bigint, cascade binary, n bigint")
 
 
-def membership(rows: DataFrame, universe: DataFrame, shard_keys: int = 200_000, broadcast_bytes: int = 16 << 20) -> DataFrame:
-    """``rows`` (with ``key``, a long) and a column ``listed``, exact for every key of the universe."""
-    count = universe.count()
-    shards = max(1, -(-count // shard_keys))
+def membership(rows: DataFrame, universe: DataFrame, shard_keys: int = 200_000, task_rows: int = 2_000_000) -> DataFrame:
+    """``rows``, which have a ``key``, with a column ``listed`` in place of it: exact for every key of the universe (as
+    :func:`build_cascades` takes it), which must hold all of theirs. A task answers about ``task_rows`` rows."""
+    shards = max(1, -(-universe.count() // shard_keys))
     cascades = materialize(build_cascades(universe, shards), "cascades")
-    total = cascades.agg(F.coalesce(F.sum(F.length("cascade")), F.lit(0))).first()[0]
-    names = rows.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", listed boolean"
-    if total <= broadcast_bytes:
-        blobs = {r["shard"]: bytes(r["cascade"]) for r in cascades.collect()}  # at most broadcast_bytes
-        held = rows.sparkSession.sparkContext.broadcast(blobs)
-
-        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            loaded = {k: Cascade.load(v) for k, v in held.value.items()}
-            for batch in batches:
-                keys, at = batch.column("key").to_numpy().view(np.uint64), batch.column("_shard").to_numpy()
-                out = np.zeros(len(keys), bool)
-                for shard in np.unique(at):
-                    mine = np.flatnonzero(at == shard)
-                    if shard in loaded:
-                        out[mine] = loaded[shard].holds(keys[mine])
-                yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(out)], [*names, "listed"])
-
-        return rows.withColumn("_shard", F.pmod(F.xxhash64(F.lit(5), "key"), F.lit(shards))).mapInArrow(look, schema)
-
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros(len(left), bool)
-        if len(right):
-            out = Cascade.load(right["cascade"].iloc[0]).holds(left["key"].to_numpy(np.int64).view(np.uint64))
-        return left.assign(listed=out)
-
-    answered = universe.select("key", F.pmod(F.xxhash64(F.lit(5), "key"), F.lit(shards)).alias("shard"))
-    answered = answered.groupBy("shard").cogroup(cascades.groupBy("shard")).applyInPandas(meet, "key bigint, shard bigint, listed boolean")
-    return rows.join(answered.select("key", "listed"), "key").select(*names, "listed")
-
-
-def judge(pages: DataFrame, rules: list[tuple[str, str]], id_column: str = "page_id", url_column: str = "url") -> DataFrame:
+    total = cascades.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    tasks = max(1, shards // 64, -(-total // task_rows))
+    names = [c for c in rows.columns if c != "key"]
+    # a shard's rows are spread over as many tasks as they fill, and each of them gets the cascade
+    copies = F.ceil(F.col("n") / task_rows).cast("int")
+    spread = cascades.where(F.col("n") > task_rows).select("shard", copies.alias("copies"))  # at most total / task_rows shards
+    spread = dict(map(tuple, spread.collect()))
+    ways = F.element_at(F.map_from_entries(F.array(*[F.struct(F.lit(k), F.lit(v)) for k, v in spread.items()])), F.col("shard")) if spread else F.lit(1)
+    given = rows.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("given"), "key.a", "key.b", shard_of(F.col("key"), shards).alias("shard"))
+    given = given.withColumn("copy", F.pmod(F.xxhash64("given"), F.coalesce(ways, F.lit(1))).cast("bigint")).withColumn("cascade", F.lit(None).cast("binary"))
+    sent = cascades.select(F.lit(None).cast(given.schema["given"].dataType).alias("given"), F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"), "shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(copies, F.lit(1)).cast("bigint") - 1)).alias("copy"), "cascade")
+    routed = given.unionByName(sent).repartition(tasks, "shard", "copy").sortWithinPartitions("shard", "copy", F.col("cascade").isNull())
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, None
+        for batch in batches:
+            shard, blobs = batch.column("shard").to_numpy(), batch.column("cascade")
+            sent_at = np.flatnonzero(blobs.is_valid().to_numpy(False))
+            keys, out = _keys(batch.column("a"), batch.column("b")), np.zeros(len(shard), bool)
+            for lo, hi in itertools.pairwise([0, *sent_at.tolist(), len(shard)]):
+                if lo in sent_at:
+                    now, held = shard[lo], Cascade.load(blobs[lo].as_py())
+                if hi > lo:
+                    assert (shard[lo:hi] == now).all()
+                    out[lo:hi] = held.holds(keys[lo:hi])
+            real = blobs.is_null()
+            yield pa.RecordBatch.from_arrays([batch.column("given").filter(real), pa.array(out).filter(real)], ["given", "listed"])
+
+    schema = StructType([StructField("given", given.schema["given"].dataType), StructField("listed", BooleanType())])
+    return routed.mapInArrow(answer, schema).select("given.*", "listed")
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str]], listed: DataFrame | None = None, id_column: str = "page_id", url_column: str = "url", **parameters) -> DataFrame:
     """A row a page: the id, ``host``, ``path``, ``rule`` (null if none fits) and ``verdict``.
 
-    The listed keys are the corpus's (host, path) whose longest fitting rule blocks; the cascade over all its distinct
-    (host, path) then says block for these and allow for all others, those without a rule included. Null urls and such
-    without :// have an empty host and path, fit no rule and are allowed. Repeated rows stay, null ids too; an empty
-    table gives no rows. Only the id and the url are read.
+    The longest fitting rule decides. A page without one is blocked if its (host, path) is on the list, which the cascade
+    over all distinct (host, path) of the corpus tells, and else allowed. ``listed`` has ``host`` and ``path``, in any
+    number; repeated rows and such as no page has change nothing.
+
+    Null urls and such without :// have an empty host and path and fit no rule; they are listed if the list has the empty
+    host and path. Repeated rows stay, null ids too; an empty table gives no rows. Only the id and the url are read,
+    whatever other columns there are and however long urls are. Of rules of equal length the one given first counts.
     """
-    rows = pages.select(F.col(id_column).alias("page_id"), host_of(F.col(url_column)).alias("host"), path_of(F.col(url_column)).alias("path"))
-    rows = rows.withColumn("key", F.xxhash64("host", "path")).withColumn("_won", winning_rule(F.col("host"), F.col("path"), rules))
-    blocks = F.coalesce(F.col("_won.verdict") == "block", F.lit(False))
-    universe = materialize(rows.groupBy("key").agg(F.max(blocks).alias("listed")), "url-universe")
-    rows = rows.select("page_id", "host", "path", F.col("_won.rule").alias("rule"), "key")
-    told = membership(rows, universe)
-    return told.select("page_id", "host", "path", "rule", F.when(F.col("listed"), "block").otherwise("allow").alias("verdict"))
+    rows = pages.select(F.col(f"`{id_column}`").alias("page_id"), host_of(F.col(f"`{url_column}`")).alias("host"), path_of(F.col(f"`{url_column}`")).alias("path"))
+    rows = rows.withColumn("key", key_of(F.col("host"), F.col("path"))).withColumn("won", winning_rule(F.col("host"), F.col("path"), rules))
+    every = rows.select("key", F.lit(1).alias("n"), F.lit(False).alias("listed"))
+    if listed is not None:
+        every = every.unionByName(listed.select(key_of(F.col("host"), F.col("path")).alias("key"), F.lit(0).alias("n"), F.lit(True).alias("listed")))
+    universe = materialize(every.groupBy("key").agg(F.sum("n").alias("n"), F.max("listed").alias("listed")).where("n > 0"), "url-universe")
+    told = membership(rows, universe, **parameters)
+    verdict = F.coalesce(F.col("won.verdict"), F.when(F.col("listed"), "block").otherwise("allow"))
+    return told.select("page_id", "host", "path", F.col("won.rule").alias("rule"), verdict.alias("verdict"))
