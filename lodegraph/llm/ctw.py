@@ -10,20 +10,23 @@ All of the model follows from how often each (DEPTH + 1)-byte string occurs in t
 so that no task and not the driver holds all of these:
 
 1. Each scan task cuts its documents into chunks of about ``CHUNK`` bytes, and writes for each chunk the texts, packed,
-   and the distinct strings and words with their training counts, dealt into PARTS parts by the two bytes before the
-   last: a part holds whole subtrees.
-2. A part sums its counts over the chunks and weights its subtrees. What depths 0 and 1 need from them is summed to at
-   most 65,280 rows, whatever the corpus, and that goes to the driver.
-3. A part, with the tops of the tree from 2, computes the probability of every string that any chunk asked for, and
+   the distinct strings and words with their training counts, and how many strings its commoner contexts have.
+2. Strings are dealt into parts by whole subtrees: a context of two bytes, or where it holds over an eighth of a mean part
+   (as measured), of three, and so on. Contexts that were split make the top of the tree; there are at most eight a part
+   for each depth, whatever the texts are like. Parts grow in number with the corpus, not in size.
+3. A part sums its counts over the chunks and weights its subtrees, a bounded slice of them at a time. What the top needs
+   from them is summed and goes to the driver.
+4. A part, with the top of the tree from 3, computes the probability of every string that any chunk asked for, and
    answers each chunk.
-4. A chunk's texts meet its answers and are scored.
+5. A chunk's texts meet its answers, each chunk in a task of its own, and are scored.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +46,17 @@ PIECE = 3 << 20
 WAITING = 4_000_000
 #: Words whose terms a scoring task remembers; beyond, it begins again.
 REMEMBERED = 150_000
-PARTS = 1024
+#: Strings in a part, counted once for each chunk that has them; the fewest parts; the most whose shares decide what is split.
+PART, LEAST_PARTS, MOST_SPLIT = 1 << 20, 64, 4096
+#: Strings whose subtrees are held at once.
+SLICE = 1 << 15
+#: The longest context that a part is dealt by, and the least share of a chunk's strings for a context to be told.
+FRONTIER, TOLD = 5, 1 << 14
 #: Stands before the first byte and after the last; never in UTF-8.
 EDGE = 0xFF
 #: Not a word, as it is white space: the key under which ends are counted.
 END = b"\n"
-TEXTS, STRINGS, WORDS = 0, 1, 2
+TEXTS, STRINGS, WORDS, CONTEXTS = 0, 1, 2, 3
 
 _LG_HALF = np.array([math.lgamma(i + 0.5) for i in range(64)])
 _LG_ONE = np.array([math.lgamma(i + 1.0) for i in range(64)])
@@ -93,26 +101,29 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Subtrees:
-    """The nodes at depths 2 to ``depth`` over strings (sorted, distinct; a count of 0 marks one only asked for).
+    """The nodes at depths ``first`` to ``depth`` over strings (sorted, distinct; a count of 0 marks one only asked for)
+    that hold all strings of their contexts of ``first`` bytes.
 
     Strings hold the oldest byte highest and the coded byte lowest. Node arrays, by depth and bit: ``keys`` (context
     above the prefix of the coded byte), ``zeros``, ``ones``, ``log_pw``, ``weight`` and for each string of that depth
     the place of its node.
     """
 
-    def __init__(self, strings: np.ndarray, counts: np.ndarray, depth: int):
-        self.depth = depth
+    def __init__(self, strings: np.ndarray, counts: np.ndarray, depth: int, first: int = 2):
+        self.depth, self.first = depth, first
         self.strings = strings
         self.levels: dict[int, tuple[np.ndarray, list[dict[str, np.ndarray]]]] = {}
         self.up: dict[int, np.ndarray] = {}  # from a string of depth d + 1 to its suffix of depth d
         keys = strings
-        for d in range(depth, 1, -1):
+        for d in range(depth, first - 1, -1):
             nodes = []
             for j in range(8):
                 prefix = keys >> np.uint64(8 - j)
                 at = _runs(prefix)
                 ones = np.where(keys >> np.uint64(7 - j) & np.uint64(1), counts, 0)
-                node = {"of": np.cumsum(np.isin(np.arange(len(keys)), at, assume_unique=True)) - 1, "keys": prefix[at]}
+                begins = np.zeros(len(keys), np.int32)
+                begins[at] = 1
+                node = {"of": np.cumsum(begins, dtype=np.int32) - 1, "keys": prefix[at]}
                 total = np.add.reduceat(counts, at) if len(at) else counts
                 node["ones"] = np.add.reduceat(ones, at) if len(at) else ones
                 node["zeros"] = total - node["ones"]
@@ -121,48 +132,46 @@ class Subtrees:
                     node["log_pw"], node["weight"] = own, np.ones(len(own))
                 else:
                     below = self.levels[d + 1][1][j]
-                    first = _runs_first(below["of"])
-                    parent = node["of"][self.up[d][first]]
+                    parent = node["of"][self.up[d][_runs(below["of"])]]
                     children = np.bincount(parent, below["log_pw"], len(own))
                     node["log_pw"], node["weight"] = weighted(own, children)
                 nodes.append(node)
             self.levels[d] = (keys, nodes)
-            if d > 2:
+            if d > first:
                 shorter = keys & np.uint64((1 << (8 * d)) - 1)
                 above, inverse = np.unique(shorter, return_inverse=True)
                 self.up[d - 1] = inverse
                 counts = np.bincount(inverse, counts, len(above)).astype(np.int64)
                 keys = above
 
+    def _above(self, j: int) -> np.ndarray:
+        """The names of the parents of the nodes at depth ``first`` for bit j."""
+        keys = self.levels[self.first][1][j]["keys"]
+        context = (keys >> np.uint64(j)) & np.uint64((1 << 8 * (self.first - 1)) - 1)
+        return ((context << np.uint64(8)) | (keys & np.uint64((1 << j) - 1)) | np.uint64(1 << j)).astype(np.int64)
+
     def tops(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For depth 1: node (last byte above the prefix with its leading one), zeros, ones, the children's log_pw."""
+        """For depth ``first`` - 1: node (context above the prefix with its leading one), zeros, ones, the children's log_pw."""
         made = []
-        keys, nodes = self.levels[2]
-        for j, node in enumerate(nodes):
+        for j, node in enumerate(self.levels[self.first][1]):
             seen = node["zeros"] + node["ones"] > 0
-            prefix = node["keys"]
-            last = (prefix >> np.uint64(j)) & np.uint64(0xFF)
-            bits = (prefix & np.uint64((1 << j) - 1)) | np.uint64(1 << j)
-            made.append((((last << np.uint64(8)) | bits)[seen], node["zeros"][seen], node["ones"][seen], node["log_pw"][seen]))
-        node, zeros, ones, log_pw = (np.concatenate(x) for x in zip(*made))
-        at, inverse = np.unique(node, return_inverse=True)
-        return (at.astype(np.int64), *(np.bincount(inverse, x, len(at)) for x in (zeros, ones, log_pw)))
+            made.append((self._above(j)[seen], node["zeros"][seen], node["ones"][seen], node["log_pw"][seen]))
+        return _added(*(np.concatenate(x) for x in zip(*made)))
 
     def log10_probabilities(self, top: Top) -> np.ndarray:
         """Of each string: that its last byte follows the others."""
         total = np.zeros(len(self.strings))
-        last = (self.strings >> np.uint64(8)) & np.uint64(0xFF)
         for j in range(8):
-            node1 = ((last << np.uint64(8)) | (np.uint64(1 << j) | (self.strings & np.uint64(0xFF)) >> np.uint64(8 - j))).astype(np.int64)
             at = np.arange(len(self.strings))
             places = {}
-            for d in range(self.depth, 1, -1):
+            for d in range(self.depth, self.first - 1, -1):
                 places[d] = self.levels[d][1][j]["of"][at]
-                if d > 2:
+                if d > self.first:
                     at = self.up[d - 1][at]
+            alpha, beta, estimate = (x[places[self.first]] for x in top.at(self.first - 1, self._above(j)))
             # from the top: what the parent estimates, for nodes never met
-            estimate, chain = top.kt[node1], []
-            for d in range(2, self.depth + 1):
+            chain = []
+            for d in range(self.first, self.depth + 1):
                 node = self.levels[d][1][j]
                 zeros, ones = node["zeros"][places[d]], node["ones"][places[d]]
                 met = zeros + ones > 0
@@ -171,33 +180,124 @@ class Subtrees:
             mixed = chain[-1][0]
             for own, weight in reversed(chain[:-1]):
                 mixed = weight * own + (1 - weight) * mixed
-            one = top.alpha[node1] + top.beta[node1] * mixed
+            one = alpha + beta * mixed
             bit = (self.strings >> np.uint64(7 - j)) & np.uint64(1)
             total += np.log10(np.where(bit == 1, one, 1 - one))
         return total
 
 
-def _runs_first(of: np.ndarray) -> np.ndarray:
-    """The first member of each node, from the node that each member belongs to."""
-    return _runs(of)
+def _added(node: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct nodes in order, and the sums of their values."""
+    at, inverse = np.unique(node, return_inverse=True)
+    return (at, *(np.bincount(inverse, x, len(at)) for x in values))
+
+
+def _parents(node: np.ndarray, depth: int) -> np.ndarray:
+    """The names at depth - 1 of the parents of nodes at ``depth``: their contexts without the oldest byte."""
+    return node & ((1 << 8 * depth) - 1)
 
 
 class Top:
-    """Depths 0 and 1: for a depth-1 node the probability of a one is alpha + beta * (what depth 2 says); ``kt`` is the
-    estimate it hands to a depth-2 node never met."""
+    """The tree above the parts. For a node the probability of a one is alpha + beta * (what the next depth says); ``kt``
+    is the estimate that it hands to a node never met below it.
 
-    def __init__(self, node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, children: np.ndarray):
-        prefix = node & 0xFF
-        root_zeros, root_ones = (np.bincount(prefix, x, 256).astype(np.int64) for x in (zeros, ones))
+    ``rows`` has for each depth what the parts summed for its nodes: node, zeros, ones, the children's log_pw. What the
+    children that are in the top themselves add is added here.
+    """
+
+    def __init__(self, rows: dict[int, tuple[np.ndarray, ...]]):
+        none = (np.zeros(0, np.int64), *(np.zeros(0) for _ in range(3)))
+        sums, below = {}, none
+        for d in range(max(rows, default=0), 0, -1):
+            node, zeros, ones, children = (np.concatenate(x) for x in zip(rows.get(d, none), below))
+            node, zeros, ones, children = _added(node, zeros, ones, children)
+            zeros, ones = zeros.astype(np.int64), ones.astype(np.int64)
+            log_pw, weight = weighted(log_kt(zeros, ones), children)
+            sums[d] = node, kt_one(zeros, ones), weight
+            below = _parents(node, d), zeros, ones, log_pw
+        zeros, ones, children = (np.bincount(below[0], x, 256) for x in below[1:])
         zeros, ones = zeros.astype(np.int64), ones.astype(np.int64)
-        log_pw, weight = weighted(log_kt(zeros, ones), children)
-        _, root_weight = weighted(log_kt(root_zeros, root_ones), np.bincount(prefix, log_pw, 256))
-        root = kt_one(root_zeros, root_ones)
-        self.alpha, self.beta, self.kt = np.tile(root, 256), np.zeros(65536), np.tile(root, 256)
+        _, weight = weighted(log_kt(zeros, ones), children)
         own = kt_one(zeros, ones)
-        self.kt[node] = own
-        self.alpha[node] = root_weight[prefix] * root[prefix] + (1 - root_weight[prefix]) * weight * own
-        self.beta[node] = (1 - root_weight[prefix]) * (1 - weight)
+        self.levels = [(np.arange(256), weight * own, 1 - weight, own)]
+        for d in sorted(sums):
+            node, own, weight = sums[d]
+            alpha, beta, _ = self.at(d - 1, _parents(node, d))
+            self.levels.append((node, alpha + beta * weight * own, beta * (1 - weight), own))
+
+    def at(self, depth: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """alpha, beta and kt of nodes at that depth, met or not."""
+        if depth >= len(self.levels):  # nothing of that depth was met
+            found = np.zeros(len(node), np.int64)
+            hit = np.zeros(len(node), bool)
+            alpha, beta, kt = np.zeros(len(node)), np.zeros(len(node)), np.zeros(len(node))
+        else:
+            names, alphas, betas, kts = self.levels[depth]
+            found = np.minimum(np.searchsorted(names, node), max(0, len(names) - 1))
+            hit = names[found] == node if len(names) else np.zeros(len(node), bool)
+            alpha, beta, kt = alphas[found], betas[found], kts[found]
+        if not hit.all():
+            lost = ~hit
+            up_alpha, up_beta, up_kt = self.at(depth - 1, _parents(node[lost], depth))
+            alpha[lost], beta[lost], kt[lost] = up_alpha + up_beta * up_kt, 0.0, up_kt
+        return alpha, beta, kt
+
+
+def frontier(strings: np.ndarray, split: dict[int, np.ndarray]) -> np.ndarray:
+    """The context that each string is dealt by, its length in the highest byte. ``split`` has by length the contexts
+    (sorted) that are dealt by one byte more."""
+    context = strings >> np.uint64(8)
+    out = context & np.uint64(0xFFFF) | np.uint64(2 << 56)
+    at = None
+    for length in sorted(split):
+        mine = (context if at is None else context[at]) & np.uint64((1 << 8 * length) - 1)
+        heavy = _among(mine, split[length])
+        at = np.flatnonzero(heavy) if at is None else at[heavy]
+        if not len(at):
+            break
+        out[at] = context[at] & np.uint64((1 << 8 * (length + 1)) - 1) | np.uint64((length + 1) << 56)
+    return out
+
+
+def _among(keys: np.ndarray, names: np.ndarray) -> np.ndarray:
+    if not len(names):
+        return np.zeros(len(keys), bool)
+    return names[np.minimum(np.searchsorted(names, keys), len(names) - 1)] == keys
+
+
+def _dealt(keys: np.ndarray, parts: int, factor: int = 0x9E3779B97F4A7C15) -> np.ndarray:
+    """A number under ``parts`` for each key."""
+    mixed = keys * np.uint64(factor)
+    return ((((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+
+
+def slices(strings: np.ndarray, split: dict[int, np.ndarray], at_once: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """The strings (as places, in order) by the length of what they are dealt by, whole contexts together, in slices of
+    about ``at_once``."""
+    units = frontier(strings, split)
+    lengths = (units >> np.uint64(56)).astype(np.int64)
+    for length in np.unique(lengths).tolist():
+        mine = np.flatnonzero(lengths == length)
+        n = -(-len(mine) // (at_once or SLICE))
+        dealt = _dealt(units[mine], n, 0xD6E8FEB86659FD93)
+        for number in range(n):
+            if len(some := mine[dealt == number]):
+                yield length, some
+
+
+def common_contexts(strings: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts of 2 to ``longest`` bytes (the length in the highest byte) with over 1 / TOLD of the strings, and how many."""
+    keys, counts = [], []
+    for length in range(2, longest + 1):
+        mine = (strings >> np.uint64(8)) & np.uint64((1 << 8 * length) - 1)
+        mine = mine.astype(np.uint32) if length <= 4 else mine
+        mine.sort()
+        at = _runs(mine)
+        n = np.diff(np.append(at, len(mine)))
+        many = n * TOLD > len(strings)
+        keys.append(mine[at][many].astype(np.uint64) | np.uint64(length << 56))
+        counts.append(n[many])
+    return np.concatenate([*keys, np.zeros(0, np.uint64)]), np.concatenate([*counts, np.zeros(0, np.int64)])
 
 
 def strings_of(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -217,11 +317,6 @@ def strings_of(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return rolled[keep], lengths
 
 
-def _part_of(keys: np.ndarray, kind: int) -> np.ndarray:
-    x = keys >> np.uint64(8) & np.uint64(0xFFFF) if kind == STRINGS else keys
-    return ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(54)).astype(np.int64)
-
-
 def _squeezed(values: np.ndarray) -> bytes:
     """An array's bytes by significance, compressed: what is shuffled is mostly small whole numbers and alike exponents."""
     return zstandard.ZstdCompressor(1).compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes())
@@ -341,19 +436,17 @@ class _Chunk:
         if self.ids:
             blob = zstandard.ZstdCompressor(3).compress(b"".join(self.texts))
             lengths = np.fromiter(map(len, self.texts), np.int64, len(self.texts))
-            self.rows.append((TEXTS, 0, self.ids, blob, lengths.tobytes()))
+            self.rows.append((TEXTS, len(self.ids), self.ids, blob, lengths.tobytes()))
         self.texts, self.ids, self.flags, self.waiting = [], [], [], 0
 
     def finish(self) -> list[tuple]:
         self.count()
-        strings, words = self.merged(STRINGS), self.merged(WORDS)
-        for kind, (keys, counts) in ((STRINGS, strings), (WORDS, words)):
-            part = _part_of(keys, kind)
-            order = np.argsort(part, kind="stable")
-            keys, counts, part = keys[order], counts[order], part[order]
-            at = _runs(part)
-            for lo, hi in zip(at, np.append(at[1:], len(part))):
-                self.rows.append((kind, int(part[lo]), None, _packed(keys[lo:hi]), _squeezed(counts[lo:hi].astype(np.uint32))))
+        for kind in (STRINGS, WORDS):
+            keys, counts = self.merged(kind)
+            self.rows.append((kind, len(keys), None, _packed(keys), _squeezed(counts.astype(np.uint32))))
+            if kind == STRINGS:
+                told, n = common_contexts(keys, min(self.depth, FRONTIER) - 1)
+                self.rows.append((CONTEXTS, len(told), None, _packed(told), _squeezed(n.astype(np.uint32))))
         return self.rows
 
 
@@ -363,6 +456,17 @@ def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return summed(np.concatenate(keys), np.concatenate(counts).astype(np.int64))
 
 
+def _whole(work: Callable[[pa.Table], pa.Table | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What a task does that takes its partition as one table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
+        if held := [b for b in batches if b.num_rows]:
+            yield from work(pa.Table.from_batches(held)).to_batches(max_chunksize=1024)
+
+    return run
+
+
 def score_texts(df: DataFrame, depth: int = DEPTH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """A row a document: ``doc_id``, ``held_out`` (crc32 of the id as text, mod 10, is 0; such rows teach nothing),
     ``n_tokens`` (words and an end), ``n_known``, ``train_tokens``, ``base_score`` (unigram, see the module's queries),
@@ -375,7 +479,7 @@ def score_texts(df: DataFrame, depth: int = DEPTH, id_column: str = "doc_id", te
     if not 2 <= depth <= 7:
         raise ValueError("contexts of 2 to 7 bytes")
     kind = df.schema[id_column].dataType.simpleString()
-    schema = f"chunk bigint, kind int, part int, ids array<{kind}>, keys binary, counts binary"
+    schema = f"chunk bigint, kind int, n int, ids array<{kind}>, keys binary, counts binary"
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -386,11 +490,11 @@ def score_texts(df: DataFrame, depth: int = DEPTH, id_column: str = "doc_id", te
 
         def rows(done: _Chunk) -> Iterator[pa.RecordBatch]:
             made = done.finish()
-            for i in range(0, len(made), 256):
-                columns = list(zip(*made[i : i + 256]))
+            for i in range(0, len(made), 16):
+                columns = list(zip(*made[i : i + 16]))
                 kinds = [pa.int32(), pa.int32(), pa.list_(id_type), pa.binary(), pa.binary()]
                 arrays = [pa.array([done.number] * len(columns[0]), pa.int64()), *(pa.array(c, t) for c, t in zip(columns, kinds))]
-                yield pa.RecordBatch.from_arrays(arrays, ["chunk", "kind", "part", "ids", "keys", "counts"])
+                yield pa.RecordBatch.from_arrays(arrays, ["chunk", "kind", "n", "ids", "keys", "counts"])
 
         for batch in batches:
             id_type = batch.column(0).type
@@ -405,36 +509,89 @@ def score_texts(df: DataFrame, depth: int = DEPTH, id_column: str = "doc_id", te
         lean_memory()
 
     gathered = materialize(df.select(id_column, text_column).mapInArrow(gather, schema), "ctw-chunks", "none")
-    asked = gathered.where(F.col("kind") != TEXTS).drop("ids")
+    sums = {r["kind"]: r["n"] for r in gathered.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    parts = max(LEAST_PARTS, -(-(sums.get(STRINGS, 0) + sums.get(WORDS, 0)) // PART))
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, counts in zip(batch.column(0), batch.column(1)):
+                yield pa.RecordBatch.from_arrays([pa.array(_unpacked(keys.as_py()).view(np.int64)), pa.array(_spread(counts.as_py(), np.uint32), pa.int64())], ["context", "n"])
+
+    told = gathered.where(F.col("kind") == CONTEXTS).select("keys", "counts").mapInArrow(tell, "context bigint, n bigint").groupBy("context").agg(F.sum("n").alias("n"))
+    most = sums.get(STRINGS, 0) // (8 * min(parts, MOST_SPLIT))
+    heavy = np.sort(np.array([r["context"] for r in told.where(F.col("n") > most).select("context").collect()], np.uint64))
+    split = {d: heavy[heavy >> np.uint64(56) == d] & np.uint64((1 << 56) - 1) for d in range(2, min(depth, FRONTIER))}
+    split = df.sparkSession.sparkContext.broadcast(split)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
+        for batch in batches:
+            for chunk, kind, blob, more in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                keys, counts = _unpacked(blob.as_py()), _spread(more.as_py(), np.uint32)
+                part = np.empty(len(keys), np.uint16 if parts <= 1 << 16 else np.int32)
+                for i in range(0, len(keys), 1 << 18):
+                    some = keys[i : i + (1 << 18)]
+                    part[i : i + (1 << 18)] = _dealt(frontier(some, split.value) if kind == STRINGS else some, parts)
+                order = np.argsort(part, kind="stable")
+                keys, counts, part = keys[order], counts[order], part[order]
+                del order
+                at = _runs(part)
+                edges = list(zip(at.tolist(), [*at[1:].tolist(), len(part)]))
+                for i in range(0, len(edges), 256):
+                    some = edges[i : i + 256]
+                    where = part[[lo for lo, _ in some]].astype(np.int32) + (0 if kind == STRINGS else parts)
+                    columns = [pa.array([x] * len(some), t) for x, t in ((chunk, pa.int64()), (kind, pa.int32()))]
+                    blobs = [pa.array([f(x[lo:hi]) for lo, hi in some], pa.binary()) for f, x in ((_packed, keys), (_squeezed, counts))]
+                    yield pa.RecordBatch.from_arrays([columns[0], columns[1], pa.array(where.astype(np.int32)), *blobs], ["chunk", "kind", "part", "keys", "counts"])
+
+    asked = gathered.where(F.col("kind").isin(STRINGS, WORDS)).select("chunk", "kind", "keys", "counts")
+    asked = asked.mapInArrow(deal, "chunk bigint, kind int, part int, keys binary, counts binary").repartitionById(2 * parts, "part")
 
     def summarise(table: pa.Table) -> pa.Table:
         keys, counts = _merged(table)
+        made = []
         if table.column("kind")[0].as_py() == WORDS:
-            node, zeros, ones, children = np.array([-1]), counts.sum(keepdims=True), np.array([(counts > 0).sum()]), np.zeros(1)
+            made.append((np.array([-1]), np.array([-1]), counts.sum(keepdims=True), np.array([(counts > 0).sum()]), np.zeros(1)))
         else:
-            node, zeros, ones, children = Subtrees(keys[counts > 0], counts[counts > 0], depth).tops()
-        return pa.table({"node": node.astype(np.int32), "zeros": zeros.astype(float), "ones": ones.astype(float), "children": children.astype(float)})
-
-    tops = asked.groupBy("kind", "part").applyInArrow(summarise, "node int, zeros double, ones double, children double")
-    tops = tops.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "children")]).toPandas().sort_values("node")
-    words, nodes = tops[tops["node"] < 0], tops[tops["node"] >= 0]
+            keys, counts = keys[counts > 0], counts[counts > 0]
+            for first, at in slices(keys, split.value):
+                node, *values = Subtrees(keys[at], counts[at], depth, first).tops()
+                made.append((np.full(len(node), first - 1), node, *values))
+        columns = [np.concatenate([m[i] for m in made]) if made else np.zeros(0) for i in range(5)]
+        kinds = {"depth": np.int32, "node": np.int64, "zeros": float, "ones": float, "children": float}
+        return pa.table({name: c.astype(t) for (name, t), c in zip(kinds.items(), columns)})
+
+    tops = asked.mapInArrow(_whole(summarise), "depth int, node bigint, zeros double, ones double, children double")
+    tops = tops.groupBy("depth", "node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "children")]).toPandas().sort_values(["depth", "node"])
+    words = tops[tops["depth"] < 0]
     n_tokens, n_distinct = int(words["zeros"].sum()), int(words["ones"].sum())
-    top = Top(*(nodes[c].to_numpy() for c in ("node", "zeros", "ones", "children")))
+    top = Top({d: tuple(rows[c].to_numpy() for c in ("node", "zeros", "ones", "children")) for d, rows in tops[tops["depth"] > 0].groupby("depth")})
     held = df.sparkSession.sparkContext.broadcast(top)
 
     def answer(table: pa.Table) -> pa.Table:
         keys, counts = _merged(table)
-        strings = table.column("kind")[0].as_py() == STRINGS
-        values = Subtrees(keys, counts, depth).log10_probabilities(held.value).astype(np.float32) if strings else counts
+        if table.column("kind")[0].as_py() == STRINGS:
+            values = np.zeros(len(keys), np.float32)
+            for first, at in slices(keys, split.value):
+                values[at] = Subtrees(keys[at], counts[at], depth, first).log10_probabilities(held.value)
+        else:
+            values = counts
         replies = [_squeezed(values[np.searchsorted(keys, _unpacked(b.as_py()))]) for b in table.column("keys")]
         return table.select(["chunk", "kind", "keys"]).append_column("counts", pa.array(replies, pa.binary()))
 
-    answers = asked.groupBy("kind", "part").applyInArrow(answer, "chunk bigint, kind int, keys binary, counts binary")
+    answers = asked.mapInArrow(_whole(answer), "chunk bigint, kind int, keys binary, counts binary")
     texts = gathered.where(F.col("kind") == TEXTS).select("chunk", "kind", "ids", "keys", "counts")
     together = texts.unionByName(answers.withColumn("ids", F.lit(None).cast(f"array<{kind}>")).select("chunk", "kind", "ids", "keys", "counts"))
+    # chunks counted through: a row a scan task says where its own begin
+    task, number = F.shiftright("chunk", 32), F.col("chunk").bitwiseAND(F.lit(0xFFFFFFFF))
+    tasks = sorted(tuple(r) for r in texts.groupBy(task.alias("task")).agg((F.max(number) + 1).alias("n")).collect())
+    begins = [(t, sum_before) for (t, _), sum_before in zip(tasks, itertools.accumulate((n for _, n in tasks), initial=0))]
+    chunks = max(1, sum(n for _, n in tasks))
+    begins = df.sparkSession.createDataFrame(begins, "task bigint, begin bigint")
+    together = together.withColumn("task", task).join(F.broadcast(begins), "task").withColumn("place", (F.col("begin") + number).cast("int"))
+    together = together.repartitionById(chunks, "place").select("kind", "ids", "keys", "counts")
 
     def finish(table: pa.Table) -> pa.Table:
-        lean_memory()
         by = {k: [i for i, x in enumerate(table.column("kind").to_pylist()) if x == k] for k in (TEXTS, STRINGS, WORDS)}
         keys_column, counts_column = table.column("keys"), table.column("counts")
 
@@ -496,4 +653,4 @@ def score_texts(df: DataFrame, depth: int = DEPTH, id_column: str = "doc_id", te
         return pa.table({k: pa.array(out[k], t) for k, t in kinds.items()})
 
     result = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bits_per_byte double"
-    return together.groupBy("chunk").applyInArrow(finish, result)
+    return together.mapInArrow(_whole(finish), result)
