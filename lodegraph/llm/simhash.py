@@ -21,12 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean_memory, materialize, utf8_texts
+from .common import join_counted, lean_memory, materialize, utf8_texts
 from .components import components
 
 BITS = 64
 #: Fingerprints whose variants are held at once: about 70 MB of values.
 AT_ONCE = 3000
+#: Buckets in a task, and the tasks beyond which it gets more.
+BUCKETS, MOST_TASKS = 6, 50_000
 #: Documents' shingle hashes that are counted bit by bit at once.
 HASHES_AT_ONCE = 65_536
 
@@ -169,6 +171,9 @@ def links(distinct: DataFrame, distance: int = 4, blocks: int | None = None) ->
     signed = [m - 2**BITS if m >= 2 ** (BITS - 1) else m for m in masks]
     routed = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("route"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for i, m in enumerate(signed)])).alias("r"))
     routed = routed.select("fp", "r.route", F.pmod(F.xxhash64("r.route", "r.key"), F.lit(groups)).alias("part"))
+    # few bytes and much work: the number of tasks goes by buckets
+    buckets = groups * len(masks)
+    routed = routed.repartition(max(1, -(-buckets // max(BUCKETS, buckets // MOST_TASKS))), "route", "part")
 
     def run(table: pa.Table) -> pa.Table:
         lean_memory()
@@ -198,8 +203,8 @@ def near_duplicates(df: DataFrame, distance: int = 4, words: int = 4, seed: int
     roots = components(links(distinct.select("fp"), distance, blocks), "simhash-links")
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least", "n")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("n_alike"))
-    named = rooted.select("fp", "root").join(named, "root").select("fp", "component_id", "n_alike")
-    out = made.join(named, "fp")
+    named = rooted.select("fp", "root", "n").join(named, "root").select("fp", "component_id", "n_alike", "n")
+    out = join_counted(made, materialize(named, "simhash-named"), "fp", "n")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_alike")
 
 
@@ -207,12 +212,13 @@ def keep_first(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     """The rows of ``df`` without near-duplicates: of each component the row with the smallest id stays (a null id is the
     smallest; of rows with the same id the one with the smaller hash), once however often it is repeated. ``group``
     names each row's component. Texts are shuffled to meet the verdicts."""
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    keyed = df.withColumn("_row", row)
-    known = keyed.select(F.struct(F.col(id_column).alias("id"), F.col("_row").alias("row")).alias("_id"), F.col(text_column).alias("_text"))
-    groups = group(known, id_column="_id", text_column="_text", **parameters)
-    first = groups.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id.row").alias("_row")).agg(F.count(F.lit(1)).alias("_n"))
+    given = df.columns
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in given])
+    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in given]).alias("given"), row.alias("row"))
+    known = keyed.select(F.struct(F.col(f"given.`{id_column}`").alias("id"), "row").alias("id"), F.col(f"given.`{text_column}`").alias("text"))
+    groups = group(known, id_column="id", text_column="text", **parameters)
+    first = groups.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id.row").alias("row")).agg(F.count(F.lit(1)).alias("n"))
     first = materialize(first, "simhash-first")
-    once = keyed.join(first.where("_n = 1").select("_row"), "_row", "left_semi")
-    again = keyed.join(first.where("_n > 1").select("_row"), "_row", "left_semi").dropDuplicates(["_row"])
-    return once.select(df.columns).unionByName(again.select(df.columns))
+    once = keyed.join(first.where("n = 1").select("row"), "row", "left_semi")
+    again = keyed.join(first.where("n > 1").select("row"), "row", "left_semi").dropDuplicates(["row"])
+    return once.select("given.*").unionByName(again.select("given.*"))
