@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -14,7 +15,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from lodegraph.llm import bpe, components, ctw, jpeg, linededup, mixing, pii, quality, simhash, toxicity, urls
+from lodegraph.llm import bpe, common, components, ctw, jpeg, linededup, mixing, pii, quality, simhash, toxicity, urls
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORDS = ["ox", "cat", "dog", "bird", "tree", "house", "river", "stone", "cloud", "light", "wind", "field"]
@@ -44,6 +45,58 @@ def test_toxicity(docs, spark, odd, empty):
     assert len(none) == 10 and len({r["score"] for r in none}) == 1
 
 
+def test_toxicity_scores_against_plain_model(docs, spark):
+    """Features, counts, ratios and the fit, text by text and n-gram by n-gram."""
+    bad = ["idiot", "moron", "scum"]
+    texts = [prose(i) + (f" {bad[i % 3]} {bad[(i + 1) % 3]}" if i % 3 == 0 else "") for i in range(150)] + ["", "\u039f\u03a3 \u0130x", "a"]
+    labels = spark.createDataFrame([(i, 2 * int(i % 3 == 0)) for i in range(153)], "doc_id bigint, toxic int")  # above 0 is toxic
+    model = toxicity.train(docs(texts), labels)
+
+    def place(gram):
+        x = 0
+        for k, c in enumerate(gram):
+            x = ord(c) if not k else (x * 0x100000001B3 + ord(c)) % 2**64
+        return (x + len(gram)) * 0x9E3779B97F4A7C15 % 2**64 >> 44
+
+    def grams(text):
+        t = " " + "".join(c.lower() for c in text) + " "
+        return {place(t[i : i + n]) for n in (3, 4, 5) for i in range(len(t) - n + 1)}
+
+    have, y = [grams(t) for t in texts], np.array([i % 3 == 0 for i in range(153)])
+    seen = collections.Counter(p for g in have for p in g)
+    toxic = collections.Counter(p for g, is_toxic in zip(have, y) if is_toxic for p in g)
+    n1, n = int(y.sum()), len(y)
+
+    def statistic(p):
+        a, b = toxic[p], seen[p] - toxic[p]
+        cells = [(a, seen[p] * n1 / n), (b, seen[p] * (n - n1) / n), (n1 - a, (n - seen[p]) * n1 / n), (n - n1 - b, (n - seen[p]) * (n - n1) / n)]
+        return 2 * sum(o * math.log(o / e) for o, e in cells if o)
+
+    chosen = sorted(p for p in seen if seen[p] >= 3 and statistic(p) >= 20)
+    ratio = np.array([math.log((toxic[p] + 1) / (n1 + 2)) - math.log((seen[p] - toxic[p] + 1) / (n - n1 + 2)) for p in chosen])
+    assert chosen and np.array_equal(np.flatnonzero(model.weights), chosen)
+    x = np.array([[p in g for p in chosen] for g in have]) * ratio
+    w, bias = np.zeros(len(chosen)), 0.0
+    for _ in range(60):  # Newton's steps
+        p = 1 / (1 + np.exp(-(x @ w + bias)))
+        full = np.hstack([x, np.ones((n, 1))])
+        curve = full.T * (p * (1 - p)) @ full + np.diag([0.3] * len(w) + [0.0])
+        step = np.linalg.solve(curve, full.T @ (p - y) + np.append(0.3 * w, 0))
+        w, bias = w - step[:-1], bias - step[-1]
+    assert [model.score(t) for t in texts] == pytest.approx((1 / (1 + np.exp(-(x @ w + bias)))).tolist(), abs=0.01)
+
+
+def test_toxicity_of_long_texts(monkeypatch):
+    r = random.Random(1)
+    text = "".join(r.choice("abcdef \u0130\u03a3\u00e9\U0001f600") for _ in range(3000))
+    whole = toxicity.distinct_places(text).tolist()
+    monkeypatch.setattr(toxicity, "WINDOW", 64)
+    assert toxicity.distinct_places(text).tolist() == whole
+    for size in (0, 1, 63, 64, 65, 68, 128):
+        assert len(list(toxicity.places("x" * size))) > 0 or size < 1
+    assert toxicity.distinct_places("x" * 64).tolist() == toxicity.distinct_places("x" * 65).tolist()
+
+
 def test_likelihood_ratio_is_zero_without_association():
     told = toxicity.likelihood_ratio(np.array([10.0, 10.0]), np.array([90.0, 0.0]), 100, 900)
     assert abs(told[0]) < 1e-9 and told[1] > 20
@@ -217,8 +270,8 @@ def test_jpeg_decoder_against_symbol_by_symbol_coder(restart):
 # 3
 
 
-def test_ctw_against_plain_tree(docs, odd, empty):
-    depth = 2
+@pytest.mark.parametrize("depth", [2, 4, 6])
+def test_ctw_against_plain_tree(docs, odd, empty, depth):
     texts = [prose(i, 30) for i in range(30)]
     out = {r["doc_id"]: r for r in ctw.score_texts(docs(texts), depth).collect()}
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in range(30)}
@@ -272,11 +325,36 @@ def test_ctw_against_plain_tree(docs, odd, empty):
         tokens = t.split() + ["\n"]
         assert out[i]["base_score"] == pytest.approx(sum(math.log10((words[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens))
         assert (out[i]["n_tokens"], out[i]["n_known"], out[i]["train_tokens"]) == (len(tokens), sum(w in words for w in tokens), n)
+    if depth > 2:
+        return
     assert ctw.score_texts(odd).count() == 10
     assert ctw.score_texts(empty).count() == 0
     assert ctw.score_texts(docs(["only held out"], ids=[next(i for i in range(99) if zlib.crc32(str(i).encode()) % 10 == 0)])).count() == 1
 
 
+def test_ctw_slices_keep_whole_contexts():
+    strings = np.unique(ctw.strings_of([prose(i, 300).encode() for i in range(20)], 6)[0])
+    keys, counts = ctw.common_contexts(strings, 4)
+    context = lambda length: (strings >> np.uint64(8)) & np.uint64((1 << 8 * length) - 1)
+    for length in (2, 3, 4):
+        names, n = np.unique(context(length), return_counts=True)
+        mine = keys >> np.uint64(56) == length
+        assert np.array_equal(keys[mine] & np.uint64((1 << 56) - 1), names) and np.array_equal(counts[mine], n)
+    most = len(strings) // 100
+    heavy = keys[counts > most]
+    split = {d: heavy[heavy >> np.uint64(56) == d] & np.uint64((1 << 56) - 1) for d in (2, 3, 4)}
+    assert all(len(x) for x in split.values())
+    seen, owner = [], {}
+    for number, (first, at) in enumerate(ctw.slices(strings, split, 500)):
+        seen.append(at)
+        assert np.array_equal(at, np.sort(at))
+        for name in set(context(first)[at].tolist()):
+            assert owner.setdefault((first, name), number) == number
+    assert np.array_equal(np.sort(np.concatenate(seen)), np.arange(len(strings)))
+    sizes = np.unique(ctw.frontier(strings, split), return_counts=True)
+    assert all(n <= most for unit, n in zip(*sizes) if int(unit) >> 56 < 5)
+
+
 def test_lookup_levels():
     r = np.random.default_rng(1)
     keys = np.unique(r.integers(0, 1 << 56, 50_000).astype(np.uint64))
@@ -343,14 +421,14 @@ def test_line_dedup(docs, odd, empty):
     shared = [prose(900 + i, 12) for i in range(6)]
     texts, sources = [], []
     for i in range(60):
-        lines = [prose(100 + i, 9)] + [x for k, x in enumerate(shared) if r.random() < 0.15 * (k + 1)] + ["short line"]
+        lines = [prose(100 + i, 9)] + [x for k, x in enumerate(shared) if r.random() < 0.15 * (k + 1)] + ["short line", "", " \u3000"]
         texts.append("\n".join(lines))
         sources.append(f"s{i % 5}" if i % 3 else "hot")
     out = {x["doc_id"]: x for x in linededup.dedup_lines(docs(texts, sources)).collect()}
     sites, first = collections.defaultdict(set), {}
     for i, t in enumerate(texts):
         for k, line in enumerate(t.split("\n")):
-            if line.count(" ") >= 5:
+            if line.strip():
                 sites[line].add(sources[i])
                 first.setdefault(line, (i, k))
     for i, t in enumerate(texts):
@@ -368,6 +446,28 @@ def test_line_spread_over_many_sites(docs):
     assert [x["doc_id"] for x in out] == [0]
 
 
+def test_line_dedup_of_many_lines_and_names(docs, spark):
+    lines = [f"line {i}" for i in range(100_000)]
+    texts = ["\n".join([*lines, f"end {i}"]) for i in range(3)]
+    out = {x["doc_id"]: (x["n_removed"], x["text"]) for x in linededup.dedup_lines(docs(texts)).collect()}
+    assert out == {0: (0, texts[0]), 1: (100_000, "end 1"), 2: (100_000, "end 2")}
+    names = ["gone", "row_hash", "row", "h", "n", "n_lines", "n_removed", "first", "given", "pos", "line"]
+    clash = spark.createDataFrame([(i, t, f"s{i}", *[f"{c}{i}" for c in names]) for i, t in enumerate(["a\nb", "a\nc", "d\na"])], "doc_id int, text string, source string, " + ", ".join(f"{c} string" for c in names))
+    kept = linededup.dedup_lines(clash, counts=("_1", "_2")).orderBy("doc_id")
+    assert kept.columns == [*clash.columns, "_1", "_2"]
+    assert kept.select("text", "gone", "n_removed").collect() == [("a\nb", "gone0", "n_removed0"), ("c", "gone1", "n_removed1"), ("d", "gone2", "n_removed2")]
+    assert linededup.dedup_lines(clash).where("n_removed = 1").count() == 2
+
+
+def test_joins_of_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(common, "FEW", 50)
+    rows = spark.range(1000).select((F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id"))).alias("k"), "id")
+    small = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).where("k % 2 = 0")
+    plain = sorted(map(tuple, rows.join(small.drop("n"), "k").collect()))
+    assert sorted(map(tuple, common.join_counted(rows, small, "k", "n").collect())) == plain
+    assert common.join_counted(rows, small.select("k", "n"), "k", "n", "left_semi").count() == len(plain)
+
+
 # 6
 
 BASE = {
@@ -399,6 +499,47 @@ def test_pii_checks_and_context(docs):
     assert kinds == [["iban"], [], ["card_short"], [], ["ssn"], [], ["phone_local"], []]
     hidden = pii.redact(docs(["mail a@b.co or +1 555 010 9999."])).first()["text"]
     assert hidden == "mail <EMAIL> or <PHONE>."
+    again = pii.redact(docs(["a@b.co", "a@b.co x", None, "no"], ids=[1, 1, None, None])).collect()
+    assert sorted((str(x["doc_id"]), x["text"]) for x in again) == [("1", "<EMAIL>"), ("1", "<EMAIL> x"), ("None", ""), ("None", "no")]
+
+
+def plain_added(text):
+    """What checksums and context add, by trying every place of the text."""
+    base = [(m.start(), m.end()) for k, p in BASE.items() for m in re.finditer(p, text) if passes(k, m.group())]
+    letters = lambda x: "".join(str(int(c, 36)) for c in x)
+    near = lambda k, a, b: bool(re.search(pii.CONTEXT_WORDS[k].replace("(?i)", ""), text[max(0, a - 60) : a] + " " + text[b : b + 60], re.I))
+    luhn = lambda g: sum((v := int(c) * (1 + i % 2)) - 9 * (v > 9) for i, c in enumerate(reversed(g))) % 10 == 0
+    out = []
+    for kind in pii.ADDED:
+        pattern = pii.PATTERNS["card" if kind == "card_short" else kind]
+        for m in re.finditer(pattern, text):
+            a, b, g = m.start(), m.end(), re.sub("[^0-9]", "", m.group())
+            plain = m.group().replace(" ", "")
+            ok = {"iban": lambda: int(letters(plain[4:] + plain[:4])) % 97 == 1, "card_short": lambda: 13 <= len(g) <= 15 and luhn(g), "ssn": lambda: not re.search("^(000|666|9)|-00-|-0000$", m.group()), "phone_local": lambda: True}[kind]()  # noqa: B023
+            sure = pii.SCORES[kind][0] + (pii.SCORES[kind][1] if near(kind, a, b) else 0)
+            if ok and sure >= 0.6 and not any(x < b and a < y for x, y in base):
+                out.append((kind, a, b))
+    return out
+
+
+def test_pii_added_spans_against_plain_search(docs):
+    r = random.Random(12)
+    pieces = ["IBAN", "GB82 WEST 1234 5698 7654 32", "GB83WEST12345698765432", "378282246310005", "3782 822463 10005", "card", "SSN", "123-45-6789", "000-12-3456", "call", "(555) 123-4567", "555.123.4567", "a@b.co", "10.1.2.3", "+1 555 123-4567", "x" * 70, "\U0001f600" * 61, "y", ",", "\n", "bank"]
+    texts = [" ".join(r.choice(pieces) for _ in range(r.randint(1, 14))) for _ in range(300)]
+    out = {x["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in x["found"] if s["kind_order"] >= 4] for x in pii.find_pii(docs(texts)).collect()}
+    assert sum(map(len, out.values())) > 100
+    for i, t in enumerate(texts):
+        assert out[i] == plain_added(t), t
+
+
+def test_pii_of_a_long_log(docs):
+    line = lambda i: f"10.0.{i % 200}.{i % 250} u{i}@ex.com"
+    text = "\n".join(line(i) for i in range(100_000))
+    found = pii.find_pii(docs([text])).select(F.explode("found").alias("s")).select("s.*")
+    ends = found.groupBy("kind").agg(F.count(F.lit(1)), F.min("start"), F.max("end")).orderBy("kind").collect()
+    assert [tuple(x) for x in ends] == [("email", 100_000, len("10.0.0.0 "), len(text)), ("ip", 100_000, 0, len(text) - len(" u99999@ex.com"))]
+    told = pii.redact(docs([text])).first()["text"]
+    assert told == "\n".join(["<IP> <EMAIL>"] * 100_000)
 
 
 # 7
@@ -517,28 +658,49 @@ def test_components_of_a_long_path(spark):
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
 
+def plain_verdict(url, rules, listed):
+    host = path = ""
+    if url and "://" in url:
+        m = re.match(r"(?s)([^/?#]*)([^?#]*)", url.split("://", 1)[1])
+        host, path = m[1].translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)), m[2]
+    fits = [(v, x) for v, x in rules if (host == x.split("/")[0] or host.endswith("." + x.split("/")[0])) and path.startswith("/" + x.split("/", 1)[1])]
+    verdict, rule = max(fits, key=lambda f: len(f[1]), default=("block" if (host, path) in listed else "allow", None))
+    return host, path, rule, verdict
+
+
 def test_urls(spark):
     r = random.Random(4)
     hosts = ["a.example.com", "Example.COM", "com", "xcom", "example.net", "w.example.net", "foo.net", "b.org", "", "org"]
-    paths = ["/en/", "/en/7", "/en/71?x=/es/", "/de/8", "/de/9", "/es/#f", "", "/EN/", "?q", "/de"]
+    paths = ["/en/", "/en/7", "/en/71?x=/es/", "/de/8", "/de/9", "/es/#f", "", "/EN/", "?q", "/de", "/" + "long/" * 20_000]
     given = [f"http://{r.choice(hosts)}{r.choice(paths)}" for _ in range(300)] + [None, "", "no scheme/en/", "x://y://com/en/", "://com/en/\nz"]
-    pages = spark.createDataFrame([(i if i else None, u, "html", "allow") for i, u in enumerate(given)], "page_id bigint, url string, html string, verdict string")
-    out = {x["page_id"]: x for x in urls.judge(pages, RULES).collect()}
-    for i, u in enumerate(given):
-        host = path = ""
-        if u and "://" in u:
-            m = re.match(r"(?s)([^/?#]*)([^?#]*)", u.split("://", 1)[1])
-            host, path = m[1].lower(), m[2]
-        fits = [(v, x) for v, x in RULES if (host == x.split("/")[0] or host.endswith("." + x.split("/")[0])) and path.startswith("/" + x.split("/", 1)[1])]
-        best = max(fits, key=lambda f: len(f[1]), default=("allow", None))
-        got = out[i if i else None]
-        assert (got["host"], got["path"], got["rule"], got["verdict"]) == (host, path, best[1], best[0])
-    assert urls.judge(pages.limit(0), RULES).count() == 0
+    ids = [None, 1, 1, *range(3, len(given))]
+    pages = spark.createDataFrame(list(zip(ids, given, given, given, given)), "page_id bigint, url string, html string, verdict string, cascade string")
+    pages = pages.unionAll(pages.limit(7))
+    given += [x["url"] for x in pages.limit(7).collect()]
+    ids += ids[:7]
+    listed = {("xcom", ""), ("foo.net", "/de"), ("com", "/EN/"), ("b.org", paths[-1]), ("nobody.org", "/"), ("example.net", "/de/9")}
+    rules = [*RULES, ("allow", "net/de/9"), ("block", "foo.net/d"), ("allow", "b.org/es/")]  # equal lengths: the first counts
+    table = spark.createDataFrame([*listed, *listed], "host string, path string")
+    for more in ({}, {"shard_keys": 7, "task_rows": 11}):
+        for held, names in ((table, listed), (None, set())):
+            out = collections.Counter(map(tuple, urls.judge(pages, rules, held, **more).collect()))
+            assert out == collections.Counter((i, *plain_verdict(u, rules, names)) for i, u in zip(ids, given))
+    assert any(plain_verdict(u, rules, listed)[2:] == (None, "block") for u in given)  # the list alone decides
+    assert plain_verdict(None, rules, {("", "")})[3] == "block" and urls.judge(pages.where("url is null"), rules, spark.createDataFrame([("", "")], "host string, path string")).first()["verdict"] == "block"
+    assert urls.judge(pages.limit(0), rules, table).count() == 0
+    assert urls.judge(pages, rules, table.limit(0)).where("rule is null and verdict = 'block'").count() == 0
+
+
+def some_keys(r, n):
+    keys = np.empty(n, urls.KEY)
+    keys["a"], keys["b"] = r.integers(0, 2**63, n), r.integers(0, 2**63, n)
+    return np.unique(keys)
 
 
 def test_cascade_is_exact_and_small():
     r = np.random.default_rng(5)
-    keys = np.unique(r.integers(0, 2**63, 60_000).astype(np.uint64))
+    keys = some_keys(r, 60_000)
+    keys["a"][: 30_000] = keys["a"][30_000:]  # told apart by their second halves
     listed = r.random(len(keys)) < 0.1
     cascade = urls.Cascade.load(urls.Cascade(keys[listed], keys[~listed]).dump())
     assert np.array_equal(cascade.holds(keys), listed)
@@ -546,11 +708,15 @@ def test_cascade_is_exact_and_small():
     assert not urls.Cascade(keys[:0], keys).holds(keys).any() and urls.Cascade(keys, keys[:0]).holds(keys).all()
 
 
-def test_membership_beyond_broadcast(spark):
-    universe = spark.range(3000).select(F.xxhash64("id").alias("key"), (F.col("id") % 7 == 0).alias("listed"))
-    rows = universe.select("key", F.col("listed").alias("want"))
-    for limit in (16 << 20, 0):
-        assert urls.membership(rows, universe, shard_keys=500, broadcast_bytes=limit).where("want <> listed").count() == 0
+def test_membership_of_hot_keys(spark):
+    """A third of all rows has one key; shards are small and are answered in several tasks."""
+    rows = spark.range(6000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("given"), (F.col("id") * 2).alias("shard"))
+    rows = rows.withColumn("want", F.col("k") % 7 == 0).withColumn("key", urls.key_of(F.col("k")))
+    universe = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("want").alias("listed"))
+    for parameters in ({"shard_keys": 500, "task_rows": 300}, {}):
+        told = urls.membership(rows, universe, **parameters)
+        assert told.columns == ["k", "given", "shard", "want", "listed"]
+        assert told.count() == 6000 and told.where("want <> listed or shard <> given * 2").count() == 0
 
 
 # 10
