@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 #: Kinds in the order of their spans. Those of BASE are always kept; the others are what checksums and context add.
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("iban", "card_short", "ssn", "phone_local")
+ADDED = ("iban", "card_short", "ssn", "phone_local", "access_key", "secret")
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
@@ -28,12 +28,14 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "access_key": r"(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])[A-Za-z0-9]{16,64}+(?![A-Za-z0-9])",
     "phone_local": r"(?<![0-9+().-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9-])",
 }
 #: What a text must hold for a kind's pattern to be tried at all.
-NEEDS = {"email": "@", "phone": "+", "ssn": "-"}
+NEEDS = {"email": "@", "phone": "+", "ssn": "-", "access_key": "IA"}
 #: Score of a span before context, what context adds, and the least score of a span that is kept, by kind.
-SCORES = {"email": (0.9, 0.1), "ip": (0.7, 0.2), "card": (0.9, 0.1), "phone": (0.8, 0.2), "iban": (0.8, 0.2), "card_short": (0.4, 0.4), "ssn": (0.4, 0.4), "phone_local": (0.4, 0.4)}
+SCORES = {"email": (0.9, 0.1), "ip": (0.7, 0.2), "card": (0.9, 0.1), "phone": (0.8, 0.2), "iban": (0.8, 0.2), "card_short": (0.4, 0.4), "ssn": (0.4, 0.4), "phone_local": (0.4, 0.4), "access_key": (0.8, 0.2), "secret": (0.4, 0.4)}
 LEAST = 0.6
 #: Words that speak for a kind, looked for within CONTEXT characters before and after a span.
 CONTEXT = 60
@@ -44,6 +46,8 @@ CONTEXT_WORDS = {
     "phone": r"(?i)\b(?:phone|tel|call|mobile|fax|telefon|t[ée]l[ée]phone|tel[ée]fono)\b",
     "iban": r"(?i)\b(?:iban|account|bank|konto|compte|cuenta)\b",
     "ssn": r"(?i)\b(?:ssn|social security)\b",
+    "access_key": r"(?i)\b(?:key|access|secret|aws)\b",
+    "secret": r"(?i)\b(?:password|passwd|pwd|passphrase|token|secret|credentials?|bearer|api[_-]?key)\b",
 }
 CONTEXT_WORDS |= {"card_short": CONTEXT_WORDS["card"], "phone_local": CONTEXT_WORDS["phone"]}
 
@@ -146,6 +150,8 @@ def confirmed(kind: str, span: Column) -> Column:
         "iban": lambda: mod97(span["found"]),
         "ssn": lambda: ~span["found"].rlike("^(?:000|666|9)|-00-|-0000$"),
         "phone_local": lambda: F.lit(True),
+        "access_key": lambda: F.lit(True),
+        "secret": lambda: ~span["found"].rlike("^A[KS]IA[A-Z0-9]{16}$"),
     }[kind]()
 
 

@@ -47,7 +47,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(documents(spark, sf_dir))
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = pii.joined(F.filter("found", lambda s: s["kind_order"] < len(pii.BASE)))
-    return found.select("doc_id", *[count(k) for k in pii.BASE], F.sha2(base, 256).alias("base_sha256"), pii.joined(F.col("found")).alias("spans"))
+    return found.select("doc_id", *[count(k) for k in pii.BASE], F.sha2(base, 256).alias("base_sha256"), pii.joined(F.col("found")).alias("spans"), F.size("found").cast("long").alias("n_spans"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
