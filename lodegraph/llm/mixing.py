@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, join_counted, materialize
 
 
 def word_count(text: Column) -> Column:
@@ -140,9 +140,13 @@ def mixed_documents(df: DataFrame, **parameters) -> DataFrame:
     """The documents of the mix in whole copies: each row of ``df`` as often as ``copies`` of :func:`mix` says.
 
     Rows are known by a hash of all their columns; those that agree in all of them get the rounded mean of their copies.
-    Texts are shuffled once, to meet their copies, unless the plan is small enough to be broadcast.
+    Texts are shuffled once, to meet their copies, unless the plan is small enough to be broadcast; rows that agree in a
+    thousandth of all are never shuffled. Columns may have any names.
     """
-    keyed = df.withColumn("_row", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
-    plan = mix(keyed, id_column="_row", **parameters).groupBy("doc_id").agg(F.round(F.avg("copies")).cast("int").alias("_copies"))
-    joined = keyed.join(plan.where("_copies > 0").withColumnRenamed("doc_id", "_row"), "_row")
-    return joined.select(*df.columns, F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).drop("_copy")
+    given = df.columns
+    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in given]).alias("given"), F.xxhash64(*[F.col(f"`{c}`") for c in given]).alias("row"))
+    columns = {name: parameters.pop(f"{name}_column", name) for name in ("text", "source")}
+    plan = mix(keyed.select("row", *[F.col(f"given.`{c}`").alias(name) for name, c in columns.items()]), id_column="row", **parameters)
+    plan = plan.groupBy(F.col("doc_id").alias("row")).agg(F.round(F.avg("copies")).cast("int").alias("copies"), F.count(F.lit(1)).alias("n"))
+    joined = join_counted(keyed, materialize(plan.where("copies > 0"), "mix-plan"), "row", "n")
+    return joined.select("given", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select("given.*")

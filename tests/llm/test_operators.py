@@ -403,6 +403,48 @@ def test_mixing(docs, odd, empty):
     assert mixing.mixed_documents(odd).columns == odd.columns
 
 
+def plain_seats(votes, seats):
+    """Sainte-Lague, seat by seat; of equal quotients the smaller name."""
+    won = dict.fromkeys(votes, 0)
+    for _ in range(seats):
+        best = min((p for p in votes if votes[p]), key=lambda p: (-votes[p] / (2 * won[p] + 1), p), default=None)
+        if best is not None:
+            won[best] += 1
+    return won
+
+
+def test_mixing_token_by_token(docs):
+    """Which tokens are taken, block by block, from the seats dealt one after another."""
+    r = random.Random(8)
+    texts = [prose(i, r.randint(0, 90)) for i in range(150)]
+    sources = ["hot" if i % 3 == 0 else f"s{i % 5}" for i in range(150)]
+    frame = docs(texts, sources)
+    block, seed = 16, 11
+    out = {x["doc_id"]: x for x in mixing.mix(frame, shard_tokens=400).collect()}
+    draws = dict(map(tuple, frame.select("doc_id", F.xxhash64(F.lit(seed), "doc_id", mixing.word_count(F.col("text")))).collect()))
+    sizes = collections.Counter()
+    for t, s in zip(texts, sources):
+        sizes[s] += len(t.split())
+    targets, names = plain_targets(sizes), sorted(sizes)
+    by_source = plain_seats({i: targets[s] for i, s in enumerate(names)}, round(sum(targets.values()) / block))
+    for rank, source in enumerate(names):
+        mine = collections.defaultdict(list)
+        for i, s in enumerate(sources):
+            if s == source:
+                mine[out[i]["shard"]].append(i)
+        quotas = plain_seats({k: sum(out[i]["size"] for i in ids) for k, ids in mine.items()}, by_source[rank])
+        for shard, ids in mine.items():
+            stream = [i for i in sorted(ids, key=lambda i: (draws[i], i)) for _ in range(out[i]["size"])]
+            n = -(-len(stream) // block)
+            quota = min(quotas[shard], 3 * n)
+            begin = frame.select(F.pmod(F.xxhash64(F.lit(seed + 2), F.lit(rank), F.lit(shard).cast("bigint")), F.lit(max(n, 1)))).first()[0]
+            taken = collections.Counter()
+            for turn in range(quota):
+                at = (begin + turn) % n
+                taken.update(stream[at * block : (at + 1) * block])
+            assert {i: out[i]["taken"] for i in ids} == {i: taken[i] for i in ids}
+
+
 def test_highest_quotients(spark):
     r = random.Random(4)
     for n, seats in ((1, 5), (4, 1), (5, 2), (9, 100), (12, 7), (6, 0)):
@@ -563,6 +605,38 @@ def test_quality(docs, odd, empty):
     assert quality.judge(odd).count() == 10 and quality.judge(empty).count() == 0
 
 
+def test_quality_against_plain_expectation_maximisation(docs):
+    r = random.Random(16)
+    texts = []
+    for i in range(160):
+        body = ". ".join(prose(i * 31 + k, r.randint(5, 16)).capitalize() for k in range(7))
+        texts.append(body if i % 4 else body.upper() if i % 8 else re.sub("e", "# ", body))
+    out = {x["doc_id"]: x for x in quality.judge(docs(texts)).collect()}
+    said = [quality.unpacked(np.array([quality.votes(quality.measure(t.encode())[1])]))[0].tolist() for t in texts]
+    taught = [v for i, v in enumerate(said) if not out[i]["base_failed"]]
+    n, prior, good, bad = len(quality.RULES), 0.8, [0.9] * len(quality.RULES), [0.4] * len(quality.RULES)
+
+    def posterior(v):
+        yes, no = prior, 1 - prior
+        for j, x in enumerate(v):
+            yes *= {0: 1, 1: 1 - good[j], 2: good[j]}[x]
+            no *= {0: 1, 1: bad[j], 2: 1 - bad[j]}[x]
+        return yes / (yes + no)
+
+    for _ in range(200):
+        p = [posterior(v) for v in taught]
+        clip = lambda x, low: min(max(x, low), 0.9999)
+        good, bad = (
+            [clip((sum(w for w, v in zip(ws, taught) if v[j] == right) + centre * 20) / (sum(w for w, v in zip(ws, taught) if v[j]) + 20), low) for j in range(n)]
+            for ws, right, centre, low in ((p, 2, 0.9, 0.6), ([1 - x for x in p], 1, 0.4, 0.02))
+        )
+        prior = (sum(p) + 0.8 * 20) / (len(p) + 20)
+    assert len(taught) > 100
+    for i, v in enumerate(said):
+        assert out[i]["posterior"] == pytest.approx(posterior(v), abs=1e-9)
+        assert out[i]["kept"] == (not out[i]["base_failed"] and posterior(v) >= 0.5)
+
+
 def test_quality_model_finds_accuracies():
     r = np.random.default_rng(2)
     truth = r.random(20_000) < 0.7
@@ -768,19 +842,36 @@ def test_pipeline_stages(docs, spark, tmp_path):
     frame.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, int(60 <= i < 90)) for i in range(90)], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     kept = frame
+    model = toxicity.train(frame, spark.read.parquet(f"{tmp_path}/labels.parquet").where(toxicity.id_crc() % 3 != 1))
     for name, stage in corpus_pipeline.STAGES:
         before, kept = kept, stage(spark, kept, str(tmp_path)).cache()
-        ids = {x["doc_id"] for x in kept.collect()}
+        had = {x["doc_id"]: x["text"] for x in before.collect()}
+        have = {x["doc_id"]: x["text"] for x in kept.collect()} if name != "bpe" else {}
         if name != "bpe":
             assert kept.columns == frame.columns
         if name == "toxicity":
-            assert ids == set(range(len(texts))) - set(range(60, 90))
+            assert have == {i: t for i, t in had.items() if model.score(t or "") < 0.7}
+            assert set(have) == set(range(len(texts))) - set(range(60, 90))
         if name == "line_dedup":
-            assert set(range(60)) <= ids and kept.where(F.col("text").contains(passage)).count() == 1
+            sites, first = collections.defaultdict(set), {}
+            for i, t in sorted(had.items()):
+                for k, line in enumerate((t or "").split("\n")):
+                    sites[line].add(i % 4)
+                    first.setdefault(line, (i, k))
+            cleaned = {i: t and "\n".join(x for k, x in enumerate(t.split("\n")) if not x.strip() or len(sites[x]) < 3 or first[x] == (i, k)) for i, t in had.items()}
+            assert have == {i: t for i, t in cleaned.items() if t == had[i] or t.strip()}
+            assert sum(passage in (t or "") for t in have.values()) == 1
         if name == "simhash":
-            assert set(range(60)) <= ids and not ids & set(range(96, 101))
+            order = sorted(had)
+            assert set(have) == {order[i] for i in plain_near_copies([had[i] or "" for i in order])} and not set(have) & set(range(96, 101))
+        if name == "mixing":
+            row = F.xxhash64(*before.columns)  # what the copies are drawn by
+            told = collections.Counter(x["row"] for x in kept.select(row.alias("row")).collect())
+            plan = mixing.mix(before.withColumn("doc_id", row)).select("doc_id", "copies").collect()
+            assert told == {i: n for i, n in plan if n} and max(told.values()) <= 3
         if name == "bpe":
-            assert before.count() == kept.count() and set(kept.columns) >= {"doc_id", "n_tokens", "ids"}
+            _, other = library()
+            assert sorted((x["doc_id"], tuple(x["ids"])) for x in kept.collect()) == sorted((x["doc_id"], tuple(other.encode_ordinary(x["text"] or ""))) for x in before.collect())
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == kept.count()
     del r
 
