@@ -207,26 +207,70 @@ def structure(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
-# --- trees: rows of node_id, parent_id, type, start_row, start_col, end_row, end_col ---
+# --- trees: rows of file_path, node_id, parent_id, type, start_row, start_col, end_row, end_col; ids differ between files ---
 
+#: Rows of text under which a node is known.
+ROWS = 64
 
-def tree_paths(tree: DataFrame, max_depth: int = 200) -> DataFrame:
+
+def tree_paths(tree: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``ancestor``, ``node``, ``distance``, the node itself at 0."""
     down = tree.where("parent_id is not null").select(F.col("parent_id").alias("src"), F.col("node_id").alias("dst"))
     return reach(down, tree.select(F.col("node_id").alias("root")), max_depth).select(F.col("root").alias("ancestor"), "node", F.col("depth").alias("distance"))
 
 
 def tree_depths(tree: DataFrame) -> DataFrame:
-    return tree_paths(tree).groupBy(F.col("node").alias("node_id")).agg(F.max("distance").alias("depth"))
+    """Every node's distance from its root, level by level from the roots."""
+    down = tree.where("parent_id is not null").select(F.col("parent_id").alias("src"), F.col("node_id").alias("dst"))
+    found = reach(down, tree.where("parent_id is null").select(F.col("node_id").alias("root")))
+    return found.select(F.col("node").alias("node_id"), "depth")
+
+
+def nodes_of_type(tree: DataFrame, *types: str) -> DataFrame:
+    """The nodes of the types, in the order of the text."""
+    return tree.where(F.col("type").isin(*types)).orderBy("start_row", "start_col", F.desc("end_row"), F.desc("end_col"))
+
+
+def descends(tree: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``pairs`` (``node``, ``ancestor``) with ``is_descendant``; a node does not descend from itself."""
+    up = tree.where("parent_id is not null").select(F.col("node_id").alias("src"), F.col("parent_id").alias("dst"))
+    above = reach(up, pairs.select(F.col("node").alias("root")).distinct()).where("depth > 0").select(F.col("root").alias("node"), F.col("node").alias("ancestor"), F.lit(True).alias("is_descendant"))
+    return pairs.join(above, ["node", "ancestor"], "left").select("node", "ancestor", F.coalesce("is_descendant", F.lit(False)).alias("is_descendant"))
+
+
+def children_by_field(tree: DataFrame, field: str) -> DataFrame:
+    """``parent_id`` and ``node_id`` of the children that stand in a field of their parents (column ``field``), the first
+    of each."""
+    order = F.struct("start_row", "start_col", "node_id")
+    return tree.where((F.col("field") == field) & F.col("parent_id").isNotNull()).groupBy("parent_id").agg(F.min_by("node_id", order).alias("node_id"))
+
+
+def node_range(start_row: Column, start_col: Column, end_row: Column, end_col: Column) -> Column:
+    """Lines from 1 and columns from 0, as ranges are shown."""
+    return F.struct((start_row + 1).alias("start_line"), start_col.alias("start_column"), (end_row + 1).alias("end_line"), end_col.alias("end_column"))
+
+
+def serialise(tree: DataFrame) -> DataFrame:
+    """A row a node in reading order: ``node_id``, ``depth`` and ``line``, indented by two spaces a level: its type, with its text
+    where it has no children (column ``text``, if there is one)."""
+    leaves = tree.join(tree.select(F.col("parent_id").alias("node_id")).distinct(), "node_id", "left_anti").select("node_id", F.lit(True).alias("leaf"))
+    rows = tree.join(tree_depths(tree), "node_id").join(leaves, "node_id", "left")
+    text = F.when(F.col("leaf") & F.col("text").isNotNull(), F.concat(F.lit(' "'), F.col("text"), F.lit('"'))) if "text" in tree.columns else F.lit(None).cast("string")
+    line = F.concat(F.repeat(F.lit("  "), F.col("depth")), F.col("type"), F.coalesce(text, F.lit("")))
+    return rows.select("node_id", "depth", line.alias("line"), "start_row", "start_col", "end_row", "end_col").orderBy("start_row", "start_col", "depth").select("node_id", "depth", "line")
 
 
 def nodes_at(tree: DataFrame, points: DataFrame) -> DataFrame:
-    """The innermost node that holds each point (``row``, ``col``): the one that spans least."""
+    """The innermost node that holds each point (``file_path``, ``row``, ``col``): the one that spans least. Points meet
+    the nodes of their own file, by its rows: a node is known under each block of ROWS rows that it reaches into, so one
+    that spans a whole file costs a row a block and no point meets nodes that are elsewhere."""
+    block = lambda row: F.floor(row / ROWS)
+    spans = tree.select("*", F.explode(F.sequence(block(F.col("start_row")), block(F.col("end_row")))).alias("block"))
     before = F.struct(F.col("start_row"), F.col("start_col")) <= F.struct(F.col("row").alias("start_row"), F.col("col").alias("start_col"))
     after = F.struct(F.col("row").alias("end_row"), F.col("col").alias("end_col")) <= F.struct(F.col("end_row"), F.col("end_col"))
-    held = points.join(tree, before & after)
+    held = points.withColumn("block", block(F.col("row"))).join(spans, ["file_path", "block"]).where(before & after)
     order = F.struct(F.col("end_row") - F.col("start_row"), F.col("end_col") - F.col("start_col"), "node_id")
-    return held.groupBy("row", "col").agg(F.min_by("node_id", order).alias("node_id"))
+    return held.groupBy("file_path", "row", "col").agg(F.min_by("node_id", order).alias("node_id"))
 
 
 def context_lines(content: Column, line: Column, around: int = 2) -> Column:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .community import components
-from .iterate import reach
+from .iterate import cut, reach
 
 
 def parents_of(edges: DataFrame) -> DataFrame:
@@ -15,13 +16,13 @@ def parents_of(edges: DataFrame) -> DataFrame:
     return edges.where("kind = 'EXTENDS'").select(F.col("source_id").alias("child"), F.col("target_id").alias("parent"), "ord")
 
 
-def ancestors(edges: DataFrame, starts: DataFrame, max_depth: int = 64) -> DataFrame:
+def ancestors(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``root``, ``node``, ``depth``: each ancestor once, at its least depth. Interfaces are no ancestors."""
     up = parents_of(edges).select(F.col("child").alias("src"), F.col("parent").alias("dst"))
     return reach(up, starts, max_depth).where("depth > 0")
 
 
-def descendants(edges: DataFrame, starts: DataFrame, max_depth: int = 64) -> DataFrame:
+def descendants(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
     down = parents_of(edges).select(F.col("parent").alias("src"), F.col("child").alias("dst"))
     return reach(down, starts, max_depth).where("depth > 0")
 
@@ -53,42 +54,34 @@ def inheritance_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.select("id", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("kind", F.when(F.col("i"), "interface").otherwise("class")).alias("kind"))
 
 
-def c3(start: str, parents: dict[str, list[str]]) -> tuple[list[str], bool]:
-    """The C3 linearisation of a class, and whether it is consistent; else its ancestors in post-order, itself last."""
-    made: dict[str, list[str] | None] = {}
-
-    def merged(lists: list[list[str]]) -> list[str] | None:
-        out: list[str] = []
-        lists = [list(x) for x in lists if x]
-        while lists:
-            tails = {c for x in lists for c in x[1:]}
-            head = next((x[0] for x in lists if x[0] not in tails), None)
-            if head is None:
-                return None
-            out.append(head)
-            lists = [rest for x in lists if (rest := x[1:] if x[0] == head else x)]
-        return out
-
-    # without recursion: chains may be long
-    open_now, stack = {start}, [(start, iter(parents.get(start, [])))]
-    while stack:
-        node, more = stack[-1]
-        child = next((p for p in more if p not in made), None)
-        if child is not None:
-            if child in open_now:  # a cycle
-                made[start] = None
-                break
-            open_now.add(child)
-            stack.append((child, iter(parents.get(child, []))))
-            continue
-        above = parents.get(node, [])
-        parts = [made[p] for p in above]
-        rest = merged([*parts, above]) if None not in parts else None
-        made[node] = [node, *rest] if rest is not None else None
-        open_now.discard(node)
-        stack.pop()
-    if made[start] is not None:
-        return made[start], True
+def merged(lists: list[list[str]]) -> list[str] | None:
+    """The C3 merge of linearisations; None if they contradict each other. Takes time in proportion to their lengths."""
+    left = Counter(c for x in lists for c in x[1:])  # in how many places a class stands behind others
+    at = [0] * len(lists)
+    out: list[str] = []
+    while any(a < len(x) for a, x in zip(at, lists)):
+        head = next((x[a] for a, x in zip(at, lists) if a < len(x) and not left[x[a]]), None)
+        if head is None:
+            return None
+        out.append(head)
+        for i, x in enumerate(lists):
+            if at[i] < len(x) and x[at[i]] == head:
+                at[i] += 1
+                if at[i] < len(x):
+                    left[x[at[i]]] -= 1
+    return out
+
+
+def linearised(node: str, above: list[list[str] | None], parents: list[str]) -> list[str] | None:
+    """A class's linearisation from those of its parents, in order; None if there is none."""
+    if any(x is None for x in above):
+        return None
+    rest = merged([*above, parents])
+    return None if rest is None else [node, *rest]
+
+
+def post_order(start: str, parents: dict[str, list[str]]) -> list[str]:
+    """The class's ancestors, each after its own, itself last."""
     order, met, walk = [], {start}, [(start, iter(parents.get(start, [])))]
     while walk:
         node, more = walk[-1]
@@ -99,27 +92,55 @@ def c3(start: str, parents: dict[str, list[str]]) -> tuple[list[str], bool]:
         else:
             met.add(child)
             walk.append((child, iter(parents.get(child, []))))
-    return order, False
+    return order
 
 
 def linearisations(edges: DataFrame, classes: DataFrame) -> DataFrame:
-    """``id``, ``linearization`` and ``consistent`` for each class of ``classes`` (column ``id``); a class without
-    parents is its own. Each connected hierarchy is worked through by itself; the order of parents is that of their edges.
-    """
-    up = parents_of(edges)
-    both = up.select(F.col("child").alias("a"), F.col("parent").alias("b"), F.lit(1.0).alias("w")).unionAll(up.select(F.col("parent").alias("a"), F.col("child").alias("b"), F.lit(1.0).alias("w")))
-    groups = components(both, 1).select(F.col("node").alias("id"), F.col("component").alias("grp"))
-    order = F.array_sort(F.collect_list(F.struct("ord", "parent")))
-    known = up.groupBy(F.col("child").alias("id")).agg(F.transform(order, lambda e: e["parent"]).alias("parents"))
-    asked = classes.select("id", F.lit(True).alias("asked")).distinct()
-    rows = known.join(asked, "id", "full").join(groups, "id", "left").select("id", "parents", F.coalesce("asked", F.lit(False)).alias("asked"), F.coalesce("grp", "id").alias("grp"))
+    """``id``, ``linearization`` and ``consistent`` for each class of ``classes`` (column ``id``): its C3 order, and
+    where there is none, as parents contradict each other or a class descends from itself, its ancestors in post-order. A
+    class without parents is its own. The order of parents is that of their edges.
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        parents = {i: list(p) for i, p in zip(frame["id"], frame["parents"]) if p is not None}
-        out = [(i, *c3(i, parents)) for i, wanted in zip(frame["id"], frame["asked"]) if wanted]
-        return pd.DataFrame(out, columns=["id", "linearization", "consistent"])
-
-    return rows.groupBy("grp").applyInPandas(run, "id string, linearization array<string>, consistent boolean")
+    Level by level from the roots: a class is worked out once, as soon as all its parents are, from their lists alone.
+    Only a class without a C3 order meets the edges of all its ancestors.
+    """
+    up = cut(parents_of(edges).groupBy("child", "parent").agg(F.min("ord").alias("ord")))
+    asked = classes.select("id").distinct()
+    # what the asked classes descend from: one start that leads to all of them
+    every = up.select(F.col("child").alias("src"), F.col("parent").alias("dst")).unionAll(asked.select(F.lit("").alias("src"), F.col("id").alias("dst")))
+    needed = cut(reach(every, asked.sparkSession.createDataFrame([("",)], "root string")).where("depth > 0").select(F.col("node").alias("id")))
+    left = cut(up.join(needed.withColumnRenamed("id", "child"), "child", "left_semi"))
+    made = cut(needed.join(left.select(F.col("child").alias("id")).distinct(), "id", "left_anti").select("id", F.array("id").alias("linearization")))
+    new, lists = made, made
+
+    @F.pandas_udf("array<string>")
+    def work(node: pd.Series, above: pd.Series, parents: pd.Series) -> pd.Series:
+        return pd.Series([linearised(n, [None if x is None else list(x) for x in a], list(p)) for n, a, p in zip(node, above, parents)])
+
+    while not new.isEmpty():
+        given = left.join(lists.select(F.col("id").alias("parent"), "linearization", F.lit(True).alias("known")), "parent", "left")
+        ready = given.groupBy("child").agg(
+            F.count(F.lit(1)).alias("n"), F.count("known").alias("n_known"), F.array_sort(F.collect_list(F.when(F.col("known"), F.struct("ord", "parent", "linearization")))).alias("above"),
+        ).where("n = n_known")
+        new = cut(ready.select(F.col("child").alias("id"), work("child", F.col("above.linearization"), F.col("above.parent")).alias("linearization")))
+        left = cut(left.join(new.select(F.col("id").alias("child")), "child", "left_anti"))
+        lists = lists.unionByName(new)
+    # what is left descends from itself or from such a class
+    odd = lists.where("linearization is null").select("id").unionAll(left.select(F.col("child").alias("id")).distinct())
+    odd = cut(odd.join(asked, "id", "left_semi"))
+    told = lists.where("linearization is not null").join(asked, "id", "left_semi").withColumn("consistent", F.lit(True))
+    if odd.isEmpty():
+        return told.select("id", "linearization", "consistent")
+    above = reach(up.select(F.col("child").alias("src"), F.col("parent").alias("dst")), odd.select(F.col("id").alias("root"))).select("root", F.col("node").alias("child"))
+
+    def walk(frame: pd.DataFrame) -> pd.DataFrame:
+        parents: dict[str, list[str]] = {}
+        for child, parent in frame.sort_values(["ord", "parent"])[["child", "parent"]].itertuples(index=False):
+            parents.setdefault(child, []).append(parent)
+        start = frame["root"].iloc[0]
+        return pd.DataFrame({"id": [start], "linearization": [post_order(start, parents)], "consistent": [False]})
+
+    found = above.join(up, "child").groupBy("root").applyInPandas(walk, "id string, linearization array<string>, consistent boolean")
+    return told.select("id", "linearization", "consistent").unionByName(found)
 
 
 def method_conflicts(linear: DataFrame, methods: DataFrame) -> DataFrame:
@@ -146,14 +167,16 @@ def find_symbols(asked: DataFrame, symbols: DataFrame, imports: DataFrame | None
     tries = whole.select("name", "file_path", F.lit(0).alias("try"), F.col("name").alias("wanted"))
     last = F.substring_index("name", ".", -1)
     tries = tries.unionAll(whole.where(F.col("name").contains(".")).select("name", "file_path", F.lit(1), last))
-    found = tries.join(symbols.select(F.col("name").alias("wanted"), F.col("file_path").alias("in_file"), "id", "ord"), "wanted")
+    # the first of each name, and of each name and file, before they meet what is asked: no group is joined with a group
+    order = F.struct("ord", "id")
+    by_file = symbols.groupBy(F.col("name").alias("wanted"), F.col("file_path").alias("in_file")).agg(F.min(order).alias("first"))
+    by_name = symbols.groupBy(F.col("name").alias("wanted")).agg(F.min(order).alias("first"))
+    found = tries.withColumn("in_file", F.col("file_path")).join(by_file, ["wanted", "in_file"]).select("name", "file_path", "try", F.lit(0).alias("tier"), "first")
     if imports is not None:
-        links = imports.select(F.col("from_file").alias("file_path"), F.col("to_file").alias("in_file"), F.lit(True).alias("linked")).distinct()
-        found = found.join(links, ["file_path", "in_file"], "left")
-    else:
-        found = found.withColumn("linked", F.lit(None).cast("boolean"))
-    tier = F.when(F.col("file_path") == F.col("in_file"), 0).when(F.col("linked"), 1).otherwise(2)
-    best = found.groupBy("name", "file_path").agg(F.min_by("id", F.struct("try", tier, "ord", "id")).alias("id"))
+        links = imports.select(F.col("from_file").alias("file_path"), F.col("to_file").alias("in_file")).distinct()
+        found = found.unionByName(tries.join(links, "file_path").join(by_file, ["wanted", "in_file"]).select("name", "file_path", "try", F.lit(1).alias("tier"), "first"))
+    found = found.unionByName(tries.join(by_name, "wanted").select("name", "file_path", "try", F.lit(2).alias("tier"), "first"))
+    best = found.groupBy("name", "file_path").agg(F.min(F.struct("try", "tier", "first"))["first"]["id"].alias("id"))
     return whole.join(best, ["name", "file_path"], "left").select("name", "file_path", "id")
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import itertools
+import functools
 import tempfile
 import uuid
 
@@ -15,9 +15,12 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that driver and executors share; a temporary one only where the cluster names none."""
+    """The checkpoint folder that driver and executors share, as ``spark.checkpoint.dir`` names it. Where that is unset, a
+    temporary folder of this machine will do if executors run here too; on a cluster it is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lodegraph-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -57,23 +60,34 @@ def steps(edges: DataFrame, direction: str = "out") -> DataFrame:
     return {"out": lambda: along, "in": lambda: against, "both": lambda: along.union(against)}[direction]()
 
 
-def reach(pairs: DataFrame, starts: DataFrame, max_depth: int | None) -> DataFrame:
-    """``root``, ``node`` and ``depth``: what each start reaches in at most ``max_depth`` steps (None: in any number), at its least depth; the
-    start itself at 0. ``pairs`` has ``src`` and ``dst``, ``starts`` has ``root``.
+def reach(pairs: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """``root``, ``node`` and ``depth``: what each start reaches in at most ``max_depth`` steps (None: in any number), at
+    its least depth; the start itself at 0. ``pairs`` has ``src`` and ``dst``, ``starts`` has ``root``.
 
-    Level by level for all starts at once. A node that a start has met is never expanded again (an anti-join), so a round
-    costs what is new; rounds end when nothing is. Only that one bit comes to the driver.
+    Level by level for all starts at once, 64 of them a row: a row stands for a node and a block of starts, and its bits
+    say which of them have met the node. So an edge is followed once for a block and not for each start, and what meets
+    at a node is joined by OR, before rows are shuffled too. A node that a start has met is never expanded for it again;
+    rounds end when no bit is new. Only that comes to the driver.
     """
     pairs = cut(pairs.where("src <> dst").distinct())
-    seen = starts.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct()
-    front = seen = cut(seen)
-    for depth in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
-        found = front.select("root", F.col("node").alias("src")).join(pairs, "src").select("root", F.col("dst").alias("node")).distinct()
-        front = cut(found.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
-        if front.isEmpty():
+    one = F.lit(1).cast("bigint")
+    number = F.monotonically_increasing_id()  # counted through in each partition: blocks are full but for the last
+    roots = cut(starts.select("root").distinct().withColumn("n", number)).select("root", F.shiftright("n", 6).alias("block"), F.col("n").bitwiseAND(63).cast("int").alias("bit"))
+    first = F.bit_or(F.call_function("shiftleft", one, F.col("bit")))
+    level = cut(roots.groupBy(F.col("root").alias("node"), "block").agg(first.alias("new")).withColumn("seen", F.col("new")))
+    levels = [level]
+    while max_depth is None or len(levels) <= max_depth:
+        front = level.where("new <> 0").select(F.col("node").alias("src"), "block", "new")
+        found = front.join(pairs, "src").groupBy(F.col("dst").alias("node"), "block").agg(F.bit_or("new").alias("found"))
+        both = level.select("node", "block", "seen").join(found, ["node", "block"], "full")
+        seen, met = (F.coalesce(c, F.lit(0).cast("bigint")) for c in ("seen", "found"))
+        level = cut(both.select("node", "block", met.bitwiseAND(F.bitwise_not(seen)).alias("new"), seen.bitwiseOR(met).alias("seen")))
+        if level.where("new <> 0").isEmpty():
             break
-        seen = seen.unionByName(front)
-    return seen
+        levels.append(level)
+    told = [table.where("new <> 0").select("node", "block", "new", F.lit(depth).alias("depth")) for depth, table in enumerate(levels)]
+    every = functools.reduce(DataFrame.unionByName, told)
+    return every.join(roots, "block").where(F.expr("shiftright(new, bit) & 1 = 1")).select("root", "node", "depth")
 
 
 def first_by(df: DataFrame, keys: list[str], order: Column) -> DataFrame:

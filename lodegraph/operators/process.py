@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,24 +120,55 @@ def ranked(found: DataFrame, entries: DataFrame) -> DataFrame:
     return joined.withColumn("rank1", F.row_number().over(Window.orderBy(F.desc(F.size("trace")), "entry_rank", "place")))
 
 
+#: Ids in a row by which a trace is looked for in others, and how many characters of the ids at its ends, as many as they have.
+INNER, ENDS = 4, (24, 8, 2, 1)
+
+
 def drop_contained(traces_ranked: DataFrame) -> DataFrame:
     """Without traces whose joined text lies within that of an earlier, so at least as long, trace.
 
-    Containment is transitive, so it does not matter whether the earlier trace is kept itself. Candidates are the traces
-    that share the first node of the shorter one: a contained text begins at the beginning or inside of an id, and ids
-    whose tail is another id are looked up by all their tails.
+    Containment is transitive, so it does not matter whether the earlier trace is kept itself. Within the joined text of
+    another, a trace of two ids and more begins with the end of an id, goes on with whole ids, and ends with the beginning
+    of one. So it is looked for by the end of its first id, up to INNER whole ones, and the beginning of the next, all
+    three together; every trace is known by all such pieces of its own. A trace of one id is looked for by its beginning,
+    at every place of every id. Only traces that share a piece are compared.
     """
-    keyed = traces_ranked.withColumn("key", F.concat_ws("->", "trace"))
-    first = keyed.select(F.col("trace")[0].alias("head"), "key", "rank1")
-    heads = first.select("head").distinct()
-    nodes = keyed.select("rank1", F.explode(F.array_distinct("trace")).alias("node")).distinct()
-    distinct_nodes = nodes.select("node").distinct()
-    tails = distinct_nodes.select("node", F.explode(F.transform(F.sequence(F.lit(1), F.length("node")), lambda i: F.substr(F.col("node"), i))).alias("head"))
-    tails = tails.join(heads, "head", "left_semi")
-    holders = nodes.join(tails, "node").select("head", F.col("rank1").alias("by")).distinct()
-    pairs = first.join(holders, "head").where(F.col("by") < F.col("rank1"))
-    held = pairs.join(keyed.select(F.col("rank1").alias("by"), F.col("key").alias("long")), "by").where(F.col("long").contains(F.col("key")))
-    return traces_ranked.join(held.select("rank1").distinct(), "rank1", "left_anti")
+    keyed = traces_ranked.select("rank1", F.concat_ws("->", "trace").alias("text"))
+    keyed = keyed.select("rank1", "text", F.split("text", "->").alias("ids"))
+    length = lambda size, *of: functools.reduce(operator.and_, (F.length(c) >= size for c in of))
+
+    def piece(ids: Column, at: Column, inner: Column, size: int) -> Column:
+        """The hash of the end of the id at a place (from 1), the whole ids after it, and the beginning of the next."""
+        before, after = F.get(ids, at - 1), F.get(ids, at + inner)
+        return F.xxhash64(inner, F.lit(size), F.right(before, F.lit(size)), F.array_join(F.slice(ids, at + 1, inner), "->"), F.left(after, F.lit(size)))
+
+    n = F.size("ids")
+    inner = F.least(n - 2, F.lit(INNER))
+    several = keyed.where(n > 1)
+    own = F.lit(None).cast("bigint")
+    for size in reversed(ENDS):
+        own = F.when(length(size, F.get("ids", F.lit(0)), F.get("ids", inner + 1)), piece(F.col("ids"), F.lit(1), inner, size)).otherwise(own)
+    bare = F.xxhash64(inner, F.lit(0), F.array_join(F.slice("ids", F.lit(2), inner), "->"))  # an end without characters
+    asked = several.select("rank1", "text", F.coalesce(own, bare).alias("piece"))
+    places = several.select("rank1", "ids", F.explode(F.sequence(F.lit(1), n - 1)).alias("at"))
+    places = places.select("rank1", "ids", "at", F.explode(F.sequence(F.lit(0), F.least(F.size("ids") - F.col("at") - 1, F.lit(INNER)))).alias("inner"))
+    before, after = F.get("ids", F.col("at") - 1), F.get("ids", F.col("at") + F.col("inner"))
+    made = [F.when(length(size, before, after), piece(F.col("ids"), F.col("at"), F.col("inner"), size)) for size in ENDS]
+    made.append(F.xxhash64("inner", F.lit(0), F.array_join(F.slice("ids", F.col("at") + 1, F.col("inner")), "->")))
+    sought = asked.select("piece").distinct()
+    holders = places.select(F.col("rank1").alias("by"), F.explode(F.array_compact(F.array(*made))).alias("piece")).join(sought, "piece", "left_semi").distinct()
+    pairs = asked.join(holders, "piece").where(F.col("by") < F.col("rank1")).select("rank1", "text", "by")
+    # traces of one id, or of none
+    begun = lambda text: functools.reduce(lambda other, size: F.when(F.length(text) >= size, F.concat(F.lit(f"{size}:"), F.left(text, F.lit(size)))).otherwise(other), reversed(ENDS), F.lit(""))
+    single = keyed.where(n <= 1).select("rank1", "text", begun(F.col("text")).alias("piece"))
+    nodes = keyed.select(F.col("rank1").alias("by"), F.explode(F.array_distinct("ids")).alias("id"))
+    tails = nodes.select("id").distinct().select("id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("id"), F.lit(1))), lambda i: F.substr(F.col("id"), i))).alias("tail"))
+    parts = F.array_compact(F.array(*[F.when(F.length("tail") >= size, F.concat(F.lit(f"{size}:"), F.left("tail", F.lit(size)))) for size in ENDS], F.lit("")))
+    tails = tails.select("id", F.explode(parts).alias("piece")).distinct().join(single.select("piece").distinct(), "piece", "left_semi")
+    in_ids = single.join(tails, "piece").where(F.col("id").contains(F.col("text"))).join(nodes, "id").where(F.col("by") < F.col("rank1")).select("rank1", "text", "by")
+    held = pairs.join(keyed.select(F.col("rank1").alias("by"), F.col("text").alias("long")), "by").where(F.col("long").contains(F.col("text")))
+    gone = held.select("rank1").unionAll(in_ids.select("rank1")).distinct()
+    return traces_ranked.join(gone, "rank1", "left_anti")
 
 
 def longest_by_ends(traces_ranked: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -49,32 +50,42 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 512) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 512, at_once: int = 16) -> DataFrame:
     """The ``k`` nearest by cosine for each query vector: ``query``, ``doc``, ``score``, ``rank``; exact.
 
-    The query set is broadcast in blocks of at most ``block`` and multiplied with each batch of vectors, of which only
-    every batch's ``k`` best are passed on.
+    Queries, in any number, are gone through in order: each pass over the vectors takes ``at_once`` blocks of ``block`` of
+    them, which the driver holds and sends, and multiplies a block with each batch of vectors, of which only every batch's
+    ``k`` best are passed on. Rankings of more than one pass are written as they come.
     """
-    asked = queries.select("query", "vector").orderBy("query").limit(block + 1).collect()
-    if len(asked) > block:
-        raise ValueError(f"at most {block} queries at once")
-    names = np.array([r["query"] for r in asked], np.int64)
-    wanted = np.array([r["vector"] for r in asked], np.float64)
-    wanted /= np.maximum(np.linalg.norm(wanted, axis=1, keepdims=True), 1e-300)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            if not len(frame):
-                continue
-            held = np.stack(frame["vector"].to_numpy()).astype(np.float64)
-            held /= np.maximum(np.linalg.norm(held, axis=1, keepdims=True), 1e-300)
-            score = np.round(wanted @ held.T, 6)
-            ids = frame["doc"].to_numpy(np.int64)
-            for i, name in enumerate(names):
-                best = np.lexsort((ids, -score[i]))[:k]
-                yield pd.DataFrame({"query": name, "doc": ids[best], "score": score[i][best]})
-
-    return top(vectors.select("doc", "vector").mapInPandas(run, "query bigint, doc bigint, score double"), k)
+    def one_pass(rows: list) -> DataFrame:
+        names = np.array([r["query"] for r in rows], np.int64)
+        wanted = np.array([r["vector"] for r in rows], np.float64)
+        wanted /= np.maximum(np.linalg.norm(wanted, axis=1, keepdims=True), 1e-300)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in batches:
+                if not len(frame):
+                    continue
+                held = np.stack(frame["vector"].to_numpy()).astype(np.float64)
+                held /= np.maximum(np.linalg.norm(held, axis=1, keepdims=True), 1e-300)
+                ids = frame["doc"].to_numpy(np.int64)
+                for lo in range(0, len(names), block):
+                    score = np.round(wanted[lo : lo + block] @ held.T, 6)
+                    best = [np.lexsort((ids, -row))[:k] for row in score]
+                    yield pd.DataFrame({"query": np.repeat(names[lo : lo + block], list(map(len, best))), "doc": ids[np.concatenate(best)], "score": np.concatenate([row[b] for row, b in zip(score, best)])})
+
+        return top(vectors.select("doc", "vector").mapInPandas(run, "query bigint, doc bigint, score double"), k)
+
+    asked = cut(queries.select("query", "vector").orderBy("query")).orderBy("query").toLocalIterator()
+    passes = iter(lambda: list(itertools.islice(asked, block * at_once)), [])
+    first = next(passes, [])
+    if not first:
+        return top(vectors.select(F.lit(0).cast("bigint").alias("query"), F.col("doc").cast("bigint").alias("doc"), F.lit(0.0).alias("score")).limit(0), k)
+    out = one_pass(first)
+    for number, rows in enumerate(passes):
+        out = (cut(out) if not number else out).unionByName(cut(one_pass(rows)))
+    return out
 
 
 def fuse(rankings: list[DataFrame], k: int = 10) -> DataFrame:

@@ -57,29 +57,29 @@ def context(nodes: DataFrame, edges: DataFrame, starts: DataFrame, depth: int =
     return out
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, directed: bool = True, max_depth: int | None = 10) -> DataFrame:
-    """``pairs`` (``src``, ``dst``) with ``length`` (edges, -1 if there is none within ``max_depth``, which None leaves open) and
-    ``path`` (node ids with both ends; empty if there is none). From a node to itself the length is 0.
-
-    Of several shortest paths the one with the smallest sequence of ids. Levels first, for all sources at once; then, from
-    each target back, only nodes on shortest paths are looked at.
+def shortest_paths(edges: DataFrame, pairs: DataFrame, directed: bool = True, max_depth: int | None = None) -> DataFrame:
+    """``pairs`` (``src``, ``dst``) with ``length`` (edges, -1 if there is none, or none within ``max_depth``
+    where that is given) and ``path`` (node ids with both ends; empty if there is none). From a node to itself the length
+    is 0.
+
+    Of several shortest paths the one with the smallest sequence of ids. How far every node is from the targets is found
+    first, level by level for all targets at once; then each pair walks from its source to the smallest of the next
+    nodes that are a step nearer. So paths are made for the pairs only, and grow by a node a round.
     """
     ways = cut(steps(edges, "out" if directed else "both").where("src <> dst").distinct())
-    reached = cut(reach(ways, pairs.select(F.col("src").alias("root")).distinct(), max_depth))
-    ends = pairs.join(reached.select(F.col("root").alias("src"), F.col("node").alias("dst"), "depth"), ["src", "dst"])
-    # best[(root, node)]: the smallest path to a node is the smallest among its predecessors' ones, plus itself
-    best = reached.where("depth = 0").select("root", "node", F.array("node").alias("path"))
-    deepest = ends.agg(F.max("depth")).first()[0] or 0
-    everything = best
-    for depth in range(1, deepest + 1):
-        level = reached.where(F.col("depth") == depth).select("root", "node")
-        grown = best.select("root", F.col("node").alias("src"), "path").join(ways, "src").select("root", F.col("dst").alias("node"), "path")
-        grown = grown.join(level, ["root", "node"], "left_semi").groupBy("root", "node").agg(F.min("path").alias("path"))
-        best = cut(grown.select("root", "node", F.concat("path", F.array("node")).alias("path")))
-        everything = everything.unionByName(best)
-    found = ends.join(everything.select(F.col("root").alias("src"), F.col("node").alias("dst"), "path"), ["src", "dst"])
-    told = pairs.join(found, ["src", "dst"], "left")
-    return told.select("src", "dst", F.coalesce("depth", F.lit(-1)).alias("length"), F.coalesce("path", F.array().cast("array<string>")).alias("path"))
+    back = ways.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    away = cut(reach(back, pairs.select(F.col("dst").alias("root")).distinct(), max_depth).withColumnsRenamed({"root": "dst", "node": "at"}))
+    ends = cut(pairs.select("src", "dst").distinct().join(away.withColumnsRenamed({"at": "src", "depth": "length"}), ["src", "dst"]))
+    live = ends.select("src", "dst", F.col("src").alias("at"), F.array("src").alias("path"), F.col("length").alias("left"))
+    done = live.where("left = 0").select("src", "dst", "path")
+    for _ in range(ends.agg(F.max("length")).first()[0] or 0):
+        onward = live.where("left > 0").join(ways.withColumnsRenamed({"src": "at", "dst": "next"}), "at")
+        nearer = away.select("dst", F.col("at").alias("next"), (F.col("depth") + 1).alias("left"))
+        best = onward.join(nearer, ["dst", "next", "left"]).groupBy("src", "dst").agg(F.min("next").alias("next"), F.first("path").alias("path"), F.first("left").alias("left"))
+        live = cut(best.select("src", "dst", F.col("next").alias("at"), F.concat("path", F.array("next")).alias("path"), (F.col("left") - 1).alias("left")))
+        done = done.unionByName(live.where("left = 0").select("src", "dst", "path"))
+    found = pairs.join(ends, ["src", "dst"], "left").join(done, ["src", "dst"], "left")
+    return found.select("src", "dst", F.coalesce("length", F.lit(-1)).alias("length"), F.coalesce("path", F.array().cast("array<string>")).alias("path"))
 
 
 def all_paths(edges: DataFrame, pairs: DataFrame, max_edges: int = 5) -> DataFrame:

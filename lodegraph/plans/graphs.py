@@ -79,38 +79,48 @@ def context_360(fx):
     return traverse.context(fx.fx_nodes, fx.fx_calls, roots(fx), 2)
 
 
-PAIRS = "fx_pairs AS (SELECT a.root AS src, b.root AS dst FROM fx_roots a, fx_roots b UNION SELECT root, 'Function:none' FROM fx_roots)"
+#: Each start is paired with itself and with the starts so many places on: pairs grow with the nodes, not their square.
+PLACES_ON = (0, 1, 2, 3, 5, 8, 13, 21, 34, 55)
+PAIRS = f"""fx_pairs AS (SELECT a.id AS src, b.id AS dst FROM fx_nodes a JOIN (SELECT unnest({list(PLACES_ON)}) AS k) v ON a.ord % 100 = 0 JOIN fx_nodes b ON b.ord = a.ord + 100 * k
+   UNION SELECT root, 'Function:none' FROM fx_roots)"""
 
 
 def pairs(fx):
-    """Stated pairs: each root with each, and with a node that is not there."""
-    start = roots(fx)
-    every = start.select(F.col("root").alias("src")).join(start.select(F.col("root").alias("dst")), F.lit(True))
-    return every.unionAll(start.select(F.col("root").alias("src"), F.lit("Function:none").alias("dst")))
+    """Stated pairs: each start with itself, with starts some places on, and with a node that is not there."""
+    starts = fx.fx_nodes.where("ord % 100 = 0").select(F.col("id").alias("src"), "ord")
+    on = starts.select("src", "ord", F.explode(F.array(*map(F.lit, PLACES_ON))).alias("k")).select("src", (F.col("ord") + 100 * F.col("k")).alias("ord"))
+    return on.join(starts.withColumnRenamed("src", "dst"), "ord").select("src", "dst").unionAll(starts.select("src", F.lit("Function:none").alias("dst")))
 
 
-SHORTEST = f"""{ROOTS}, {walk_sql(OUT, 3)}, {PAIRS},
- grown AS (SELECT src, dst, src AS tip, [src] AS path FROM fx_pairs UNION ALL SELECT src, dst, b, list_append(path, b) FROM grown JOIN ways ON a = tip WHERE tip <> dst AND NOT list_contains(path, b) AND len(path) <= 3),
- best AS (SELECT src, dst, min(struct_pack(n := len(path), p := path)) AS m FROM grown WHERE tip = dst GROUP BY src, dst)"""
+def away_sql(name: str, ways: str) -> str:
+    """How far every node is from each target (dst) of the pairs over ``ways`` (a, b), in any number of steps."""
+    return f"""{name}(dst, node, depth) USING KEY (dst, node) AS (SELECT DISTINCT dst, dst, 0 FROM fx_pairs UNION
+   SELECT x.dst, w.a, min(x.depth) + 1 FROM {name} x JOIN {ways} w ON w.b = x.node LEFT JOIN recurring.{name} r ON r.dst = x.dst AND r.node = w.a WHERE r.node IS NULL GROUP BY x.dst, w.a)"""
 
 
-@query("SELECT p.src, p.dst, CAST(coalesce(len(m.p) - 1, -1) AS INT) AS length, coalesce(array_to_string(m.p, ' > '), '') AS path FROM fx_pairs p LEFT JOIN best ON best.src = p.src AND best.dst = p.dst", "fx_calls", extra=SHORTEST)
+CALLED = "called AS (SELECT DISTINCT source_id AS a, target_id AS b FROM fx_calls WHERE source_id <> target_id)"
+SHORTEST = f"""{ROOTS}, {PAIRS}, {CALLED}, {away_sql("away", "called")},
+ walked(src, dst, tip, path, near) AS (SELECT p.src, p.dst, p.src, [p.src], y.depth FROM fx_pairs p JOIN away y ON y.dst = p.dst AND y.node = p.src
+   UNION ALL SELECT k.src, k.dst, min(w.b), list_append(any_value(k.path), min(w.b)), any_value(k.near) - 1 FROM walked k JOIN called w ON w.a = k.tip JOIN away y ON y.dst = k.dst AND y.node = w.b AND y.depth = k.near - 1 WHERE k.near > 0 GROUP BY k.src, k.dst)"""
+
+
+@query("SELECT p.src, p.dst, CAST(coalesce(len(k.path) - 1, -1) AS INT) AS length, coalesce(array_to_string(k.path, ' > '), '') AS path FROM fx_pairs p LEFT JOIN walked k ON k.src = p.src AND k.dst = p.dst AND k.near = 0", "fx_calls", extra=SHORTEST)
 def shortest_path_nodes(fx):
-    return traverse.shortest_paths(fx.fx_calls, pairs(fx), True, None).select("src", "dst", "length", F.array_join("path", " > ").alias("path"))
+    return traverse.shortest_paths(fx.fx_calls, pairs(fx)).select("src", "dst", "length", F.array_join("path", " > ").alias("path"))
 
 
-@query("SELECT p.src, p.dst, CAST(coalesce(r.depth, -1) AS INT) AS length FROM fx_pairs p LEFT JOIN both_ways r ON r.root = p.src AND r.node = p.dst", "fx_calls",
-       extra=f"""{ROOTS}, {walk_sql(OUT, 3)}, {PAIRS}, two AS (SELECT source_id AS a, target_id AS b FROM fx_calls UNION SELECT target_id, source_id FROM fx_calls),
-       walk2 AS (SELECT root, root AS node, 0 AS depth FROM fx_roots UNION SELECT root, b, depth + 1 FROM walk2 JOIN two ON a = node WHERE depth < 3), both_ways AS (SELECT root, node, min(depth) AS depth FROM walk2 GROUP BY root, node)""")
+@query("SELECT p.src, p.dst, CAST(coalesce(y.depth, -1) AS INT) AS length FROM fx_pairs p LEFT JOIN away y ON y.node = p.src AND y.dst = p.dst", "fx_calls",
+       extra=f"""{ROOTS}, {PAIRS}, {CALLED}, two AS (SELECT a, b FROM called UNION SELECT b, a FROM called), {away_sql("away", "two")}""")
 def shortest_path_undirected(fx):
-    return traverse.shortest_paths(fx.fx_calls, pairs(fx), False, None).select("src", "dst", "length")
+    return traverse.shortest_paths(fx.fx_calls, pairs(fx), False).select("src", "dst", "length")
 
 
 @query("SELECT src, dst, array_to_string(path, ' > ') AS path FROM grown WHERE tip = dst AND len(path) > 1", "fx_calls",
-       extra=f"""{ROOTS}, {walk_sql(OUT, 3)}, {PAIRS}, steps AS (SELECT source_id AS a, target_id AS b FROM fx_calls),
-       grown AS (SELECT src, dst, src AS tip, [src] AS path FROM fx_pairs WHERE src <> dst UNION ALL SELECT src, dst, b, list_append(path, b) FROM grown JOIN steps ON a = tip WHERE tip <> dst AND NOT list_contains(path, b) AND len(path) <= 3)""")
+       extra=f"""{ROOTS}, {PAIRS}, {CALLED}, {away_sql("away", "called")}, steps AS (SELECT source_id AS a, target_id AS b FROM fx_calls),
+       grown AS (SELECT src, dst, src AS tip, [src] AS path FROM fx_pairs WHERE src <> dst UNION ALL SELECT g.src, g.dst, s.b, list_append(g.path, s.b) FROM grown g JOIN steps s ON s.a = g.tip JOIN away y ON y.dst = g.dst AND y.node = s.b
+         WHERE g.tip <> g.dst AND NOT list_contains(g.path, s.b) AND len(g.path) + y.depth <= 5)""")
 def all_simple_paths(fx):
-    return traverse.all_paths(fx.fx_calls, pairs(fx), 3).select("src", "dst", F.array_join("path", " > ").alias("path"))
+    return traverse.all_paths(fx.fx_calls, pairs(fx)).select("src", "dst", F.array_join("path", " > ").alias("path"))
 
 
 # --- communities ---

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -10,11 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..operators.iterate import cut
 from .ignore import IgnorePatterns, is_binary, pattern_lines
 
 MAX_FILE_SIZE = 1 << 20
 WHOLE_UNDER, MAX_LINES = 64 << 10, 10_001
-MAX_HIDDEN = 256 << 20
+#: Bytes of hidden files that the driver holds at once.
+BATCH = 32 << 20
 
 
 @dataclass
@@ -61,10 +64,10 @@ def ignore_rules(spark: SparkSession, root: str, options: WalkOptions) -> Ignore
     return rules
 
 
-def hidden_files(spark: SparkSession, root: str, options: WalkOptions, rules: IgnorePatterns) -> list[tuple]:
+def hidden_files(spark: SparkSession, root: str, options: WalkOptions, rules: IgnorePatterns) -> Iterator[list[tuple]]:
     """Files that Spark's sources never list, as their name or a folder of theirs begins with ``_`` or ``.`` - package
-    files and test folders among them: (path, size, modified_at, content). Folders are listed by the driver, without going
-    into ignored ones; contents beyond MAX_HIDDEN bytes in all are refused rather than gathered.
+    files and test folders among them: (path, size, modified_at, content), in batches of about BATCH bytes, however much
+    there is. Folders are listed by the driver, as Spark's own sources are, without going into ignored ones.
     """
     system, top = _file_system(spark, root)
     prefix = top.toString().rstrip("/") + "/"
@@ -81,12 +84,14 @@ def hidden_files(spark: SparkSession, root: str, options: WalkOptions, rules: Ig
             elif unseen:
                 size, content = status.getLen(), None
                 if options.read_content and size <= options.max_file_size:
-                    held += size
-                    if held > MAX_HIDDEN:
-                        raise ValueError(f"over {MAX_HIDDEN} bytes in files whose names Spark skips: walk the tree in parts")
                     content = bytearray(_bytes(spark, system, status.getPath()))
+                    held += size
                 out.append((path, size, datetime.fromtimestamp(status.getModificationTime() / 1000, timezone.utc), content))
-    return out
+                if held > BATCH or len(out) >= 10_000:
+                    yield out
+                    out, held = [], 0
+    if out:
+        yield out
 
 
 def walk(spark: SparkSession, root: str, options: WalkOptions | None = None) -> DataFrame:
@@ -103,8 +108,10 @@ def walk(spark: SparkSession, root: str, options: WalkOptions | None = None) ->
     relative = F.regexp_replace(plain, "^" + _quoted(_scheme_free(top.toString().rstrip("/"))) + "/", "")
     listed = files.select(relative.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"), "content")
     more = hidden_files(spark, root, options, rules)
-    if more:
-        listed = listed.unionByName(spark.createDataFrame(more, "path string, size bigint, modified_at timestamp, content binary"))
+    batch = next(more, None)
+    while batch:
+        made, batch = spark.createDataFrame(batch, "path string, size bigint, modified_at timestamp, content binary"), next(more, None)
+        listed = listed.unionByName(cut(made))
     return of_files(listed, options, rules)
 
 

@@ -41,7 +41,7 @@ class Engine:
     def impact(self, target: str, direction: str = "downstream", max_depth: int = 5) -> DataFrame:
         return traverse.impact(self.graph.nodes, self.graph.edges, self._roots(target).select(F.col("id").alias("root")), direction, max_depth)
 
-    def find_path(self, source: str, target: str, max_depth: int = 10) -> DataFrame:
+    def find_path(self, source: str, target: str, max_depth: int | None = None) -> DataFrame:
         a, b = (self._roots(s).select(F.col("id").alias(n)) for s, n in ((source, "src"), (target, "dst")))
         return traverse.shortest_paths(self.graph.edges, a.join(b, F.lit(True)), True, max_depth)
 

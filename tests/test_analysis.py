@@ -72,14 +72,18 @@ def test_traces_against_a_queue(spark, seed):
         assert [x["trace"] for x in got if x["entry"] == n] == plain_traces(n, near)
 
 
-def test_dedup_by_substring(spark):
+@pytest.mark.parametrize("names", [["a", "ba", "b", "ab"], ["Function:part/1", "Function:part/12", "Method:part/12", "part/1", "art", "n:p"]])
+def test_dedup_by_substring(spark, names):
     r = random.Random(4)
-    made = sorted({tuple(r.choice(["a", "ba", "b", "ab"]) for _ in range(r.randint(1, 5))) for _ in range(60)}, key=lambda t: (-len(t), t))
+    made = {tuple(r.choice(names) for _ in range(r.randint(1, 9))) for _ in range(150)}
+    made |= {t[i:j] for t in list(made)[:40] for i, j in [sorted(r.sample(range(len(t) + 1), 2))]} | {("art/1",), ("nothing",)}
+    made = sorted(made, key=lambda t: (-len(t), t))
     frame = spark.createDataFrame([(list(t), i) for i, t in enumerate(made)], "trace array<string>, rank1 int")
     kept = []
     for t in made:
         if not any("->".join(t) in "->".join(k) for k in kept):
             kept.append(t)
+    assert len(kept) < len(made) - 30
     assert sorted(tuple(x["trace"]) for x in process.drop_contained(frame).collect()) == sorted(kept)
 
 
@@ -103,7 +107,7 @@ def test_inheritance(spark):
     assert {r["id"]: r["kind"] for r in heritage.inheritance_nodes(nodes_of(spark, []), edges).collect()}["Pet"] == "interface"
 
 
-def test_c3():
+def test_c3(spark):
     class O: ...  # noqa: E742
     class A(O): ...
     class B(O): ...
@@ -112,11 +116,36 @@ def test_c3():
     class E(C, D): ...
 
     parents = {k.__name__: [b.__name__ for b in k.__bases__ if b is not object] for k in (A, B, C, D, E)}
-    assert heritage.c3("E", parents) == ([k.__name__ for k in E.__mro__ if k is not object], True)
-    assert heritage.c3("X", {"X": ["P", "Q"], "P": ["R", "S"], "Q": ["S", "R"]}) == (["R", "S", "P", "Q", "X"], False)
-    assert heritage.c3("X", {"X": ["Y"], "Y": ["X"]})[1] is False and heritage.c3("U", {}) == (["U"], True)
-    long = {str(i): [str(i + 1)] for i in range(3000)}
-    assert len(heritage.c3("0", long)[0]) == 3001
+    parents |= {"X": ["P", "Q"], "P": ["R", "S"], "Q": ["S", "R"], "XX": ["X"], "Y": ["Z"], "Z": ["Y", "A"], "YY": ["Y"]}
+    long = {f"l{i}": [f"l{i + 1}"] for i in range(40)}
+    edges = edges_of(spark, [(c, p, "EXTENDS", 1.0) for c, ps in (parents | long).items() for p in ps])
+    asked = spark.createDataFrame([(i,) for i in (*parents, "U", "l0")], "id string")
+    out = {r["id"]: (r["linearization"], r["consistent"]) for r in heritage.linearisations(edges, asked).collect()}
+    for k in (A, B, C, D, E):
+        assert out[k.__name__] == ([c.__name__ for c in k.__mro__ if c is not object], True)
+    assert out["X"] == (["R", "S", "P", "Q", "X"], False) and out["XX"] == (["R", "S", "P", "Q", "X", "XX"], False)
+    assert out["Y"] == (["O", "A", "Z", "Y"], False) and out["YY"] == (["O", "A", "Z", "Y", "YY"], False)
+    assert out["U"] == (["U"], True) and out["l0"] == ([f"l{i}" for i in range(41)], True) and set(out) == {*parents, "U", "l0"}
+
+
+def test_merge_of_linearisations():
+    """Against the merge as it is usually written."""
+
+    def plain(lists):
+        out, lists = [], [list(x) for x in lists if x]
+        while lists:
+            head = next((x[0] for x in lists if not any(x[0] in y[1:] for y in lists)), None)
+            if head is None:
+                return None
+            out.append(head)
+            lists = [rest for x in lists if (rest := x[1:] if x[0] == head else x)]
+        return out
+
+    r = random.Random(5)
+    for _ in range(2000):
+        lists = [r.sample("abcdef", r.randint(0, 5)) for _ in range(r.randint(0, 4))]
+        assert heritage.merged(lists) == plain(lists)
+    assert heritage.merged([[str(i) for i in range(50_000)], ["0"]]) == [str(i) for i in range(50_000)]
 
 
 def test_linearisations_and_conflicts(spark):
@@ -144,3 +173,25 @@ def test_call_resolution(spark):
     assert [tuple(r) for r in scored] == [(0.8, "high"), (0.48, "low")]
     assert calls.call_stats(calls.resolve(sites, nodes)).first()["resolved"] == 2
     assert calls.call_edges(calls.resolve(sites, nodes)).count() == 2
+
+
+def test_names_on_a_third_of_all_rows(spark, monkeypatch):
+    """Calls and symbols of one name, against trying every candidate; and no product of the two on the way."""
+    r = random.Random(7)
+    symbols = [(f"Method:src/f{i % 40}.ts:Type{i}.get", "Method", "get", f"src/f{i % 40}.ts", 1, True) for i in range(300)]
+    symbols += [(f"Function:src/f{i % 40}.ts:fn{i}", "Function", f"fn{i % 350}", f"src/f{i % 40}.ts", 1, True) for i in range(600)]
+    nodes = nodes_of(spark, symbols)
+    types = [None, "Type7", "Type299", "Type300", "Type1.get", "get", "s/f3", "f3.ts:Type3.get", "zz", "M", "fn5"]
+    rows = [(str(i), "m", f"src/f{r.randint(0, 45)}.ts", "get" if i % 3 else r.choice(["fn1", "fn349", "none", "fn5"]), "member", "x", r.choice(types)) for i in range(900)]
+    sites = spark.createDataFrame(rows, "site string, source_id string, file_path string, called_name string, call_form string, receiver string, receiver_type string")
+    out = {x["site"]: (x["target_id"], x["n_candidates"]) for x in calls.resolve(sites, nodes).collect()}
+    for site, _, _, name, _, _, kind in rows:
+        have = [i for i, _, n, *_ in symbols if n == name]
+        fit = [i for i in have if kind and (kind in i or name == kind)]
+        assert out[site] == (fit[0] if len(fit) == 1 else have[0] if len(have) == 1 else None, len(have)), (name, kind)
+    imports = [(f"src/f{a}.ts", f"src/f{b}.ts") for a in range(46) for b in r.sample(range(40), 2)]
+    links = spark.createDataFrame(imports, "from_file string, to_file string")
+    found = {(x["name"], x["file_path"]): x["id"] for x in heritage.find_symbols(sites.select(F.col("called_name").alias("name"), "file_path"), nodes, links).collect()}
+    for _, _, path, name, *_ in rows:
+        tier = lambda f: 0 if f == path else 1 if (path, f) in imports else 2  # noqa: B023, E731
+        assert found[name, path] == min(((tier(s[3]), o, s[0]) for o, s in enumerate(symbols) if s[2] == name), default=(0, 0, None))[2]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodegraph import graph as G
 from lodegraph.functions import paths, text
-from lodegraph.operators import traverse
+from lodegraph.operators import heritage, traverse
 
 NODE = "id string, kind string, name string, file_path string, start_line int, end_line int, language string, is_exported boolean, ord bigint"
 EDGE = "id string, source_id string, target_id string, kind string, confidence double, ord bigint"
@@ -134,16 +134,38 @@ def test_text_and_paths(spark):
     assert get(paths.suffixes(F.lit("a/b/c"))) == ["a/b/c", "b/c", "c"] and get(paths.prefixes(F.lit("a/b"))) == ["a", "a/b"]
 
 
-def test_shortest_path_queries_have_no_bound(spark, monkeypatch):
-    from types import SimpleNamespace
+def test_paths_and_ancestors_have_no_bound(spark):
+    names = [f"n{i:03d}" for i in range(121)]
+    calls = edges_of(spark, [(a, b, "CALLS", 1.0) for a, b in zip(names, names[1:])])
+    pairs = spark.createDataFrame([("n000", "n120"), ("n120", "n000"), ("n000", "n000"), ("n000", "none")], "src string, dst string")
+    found = {(r["src"], r["dst"]): (r["length"], r["path"]) for r in traverse.shortest_paths(calls, pairs.limit(3)).collect()}
+    assert found == {("n000", "n120"): (120, names), ("n120", "n000"): (-1, []), ("n000", "n000"): (0, ["n000"])}
+    up = edges_of(spark, [(a, b, "EXTENDS", 1.0) for a, b in zip(names, names[1:])])
+    above = heritage.ancestors(up, spark.createDataFrame([("n000",)], "root string"))
+    assert {r["node"]: r["depth"] for r in above.collect()} == {n: i for i, n in enumerate(names) if i}
 
-    from lodegraph.plans import graphs
 
-    names = [f"n{i:02d}" for i in range(13)]
-    ends = spark.createDataFrame([(names[0],), (names[12],)], "root string")
-    fx = SimpleNamespace(fx_calls=edges_of(spark, [(a, b, "CALLS", 1.0) for a, b in zip(names, names[1:])]))
-    monkeypatch.setattr(graphs, "roots", lambda fx: ends)
-    found = {(r["src"], r["dst"]): (r["length"], r["path"]) for r in graphs.shortest_path_nodes(fx).collect()}
-    both = {(r["src"], r["dst"]): r["length"] for r in graphs.shortest_path_undirected(fx).collect()}
-    assert found["n00", "n12"] == (12, " > ".join(names)) and found["n12", "n00"] == (-1, "") and found["n00", "n00"] == (0, "n00")
-    assert both["n00", "n12"] == both["n12", "n00"] == 12 and both["n00", "Function:none"] == -1
+def test_shortest_paths_against_plain_search(spark):
+    r = random.Random(9)
+    names = [f"n{i:02d}" for i in range(25)]
+    links = sorted({(r.choice(names), r.choice(names)) for _ in range(50)})
+    edges = edges_of(spark, [(a, b, "CALLS", 1.0) for a, b in links])
+    asked = [(a, b) for a in names for b in names[:9]]
+    for directed in (True, False):
+        near = defaultdict(set)
+        for a, b in links:
+            near[a].add(b)
+            if not directed:
+                near[b].add(a)
+        best = {}
+        for a in names:
+            level = {a: [a]}
+            while level:
+                for n, path in level.items():
+                    best[a, n] = path
+                grown = sorted((path + [m], m) for n, path in level.items() for m in near[n] if (a, m) not in best)
+                level = {}
+                for path, m in grown:
+                    level.setdefault(m, path)
+        out = traverse.shortest_paths(edges, spark.createDataFrame(asked, "src string, dst string"), directed).collect()
+        assert {(x["src"], x["dst"]): (x["length"], x["path"]) for x in out} == {p: (len(best[p]) - 1, best[p]) if p in best else (-1, []) for p in asked}

@@ -1,6 +1,7 @@
 """Sources, languages, imports, extraction, ingestion, tools, storage and streams."""
 
 import json
+import random
 import time
 
 import pytest
@@ -136,10 +137,40 @@ def test_storage(spark, built, tmp_path):
 
 
 def test_trees(spark):
-    rows = [("r", None, "program", 0, 0, 9, 0), ("f", "r", "function", 1, 0, 5, 0), ("c", "f", "call", 2, 2, 2, 9)]
-    tree = spark.createDataFrame(rows, "node_id string, parent_id string, type string, start_row int, start_col int, end_row int, end_col int")
-    assert {r["node_id"]: r["depth"] for r in extract.tree_depths(tree).collect()} == {"r": 0, "f": 1, "c": 2}
-    assert {(r["row"], r["node_id"]) for r in extract.nodes_at(tree, spark.createDataFrame([(2, 4), (3, 0), (8, 0)], "row int, col int")).collect()} == {(2, "c"), (3, "f"), (8, "r")}
+    rows = [("r", None, "program", 0, 0, 900, 0, None, None), ("f", "r", "function", 1, 0, 500, 0, None, "body"), ("c", "f", "call", 2, 2, 2, 9, "g(x)", "value"), ("d", "f", "call", 300, 0, 300, 5, "h()", "value")]
+    rows += [("o", None, "program", 0, 0, 5, 0, None, None)]
+    rows = [("b.ts" if r[0] == "o" else "a.ts", *r) for r in rows]
+    tree = spark.createDataFrame(rows, "file_path string, node_id string, parent_id string, type string, start_row int, start_col int, end_row int, end_col int, text string, field string")
+    assert {r["node_id"]: r["depth"] for r in extract.tree_depths(tree).collect()} == {"r": 0, "f": 1, "c": 2, "d": 2, "o": 0}
+    points = spark.createDataFrame([("a.ts", 2, 4), ("a.ts", 3, 0), ("a.ts", 800, 0), ("a.ts", 300, 1), ("b.ts", 2, 4), ("c.ts", 2, 4)], "file_path string, row int, col int")
+    assert {tuple(r) for r in extract.nodes_at(tree, points).collect()} == {("a.ts", 2, 4, "c"), ("a.ts", 3, 0, "f"), ("a.ts", 800, 0, "r"), ("a.ts", 300, 1, "d"), ("b.ts", 2, 4, "o")}
+    mine = tree.where("file_path = 'a.ts'")
+    assert [r["node_id"] for r in extract.nodes_of_type(mine, "call").collect()] == ["c", "d"]
+    pairs = spark.createDataFrame([("c", "r"), ("r", "c"), ("c", "c"), ("c", "o")], "node string, ancestor string")
+    assert {(r["node"], r["ancestor"]): r["is_descendant"] for r in extract.descends(tree, pairs).collect()} == {("c", "r"): True, ("r", "c"): False, ("c", "c"): False, ("c", "o"): False}
+    assert [tuple(r) for r in extract.children_by_field(tree, "value").collect()] == [("f", "c")]
+    assert [r["line"] for r in extract.serialise(mine).collect()] == ["program", "  function", '    call "g(x)"', '    call "h()"']
+    assert tuple(tree.where("node_id = 'c'").select(extract.node_range(F.col("start_row"), F.col("start_col"), F.col("end_row"), F.col("end_col")).alias("r")).first()["r"]) == (3, 2, 3, 9)
+    deep = spark.createDataFrame([("a.ts", str(i), str(i - 1) if i else None) for i in range(60)], "file_path string, node_id string, parent_id string")
+    assert extract.tree_depths(deep).agg(F.max("depth")).first()[0] == 59
+
+
+def test_many_queries(spark):
+    r = random.Random(2)
+    vectors = spark.createDataFrame([(i, [r.gauss(0, 1) for _ in range(8)]) for i in range(600)], "doc bigint, vector array<double>")
+    queries = vectors.withColumnRenamed("doc", "query")
+    whole = search.nearest(vectors, queries, 3)
+    assert whole.count() == 1800 and whole.where("rank = 1 and query = doc").count() == 600
+    parts = search.nearest(vectors, queries, 3, block=50, at_once=3)
+    assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, whole.collect()))
+    assert search.nearest(vectors, queries.limit(0), 3).count() == 0
+
+
+def test_hidden_files_in_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(walk, "BATCH", 100)
+    for i in range(7):
+        (tmp_path / f"_h{i}.py").write_text("x" * 60)
+    assert walk.walk(spark, str(tmp_path)).where("status = 'read' and length(content) = 60").count() == 7
 
 
 def test_search(spark):
