@@ -17,6 +17,11 @@ CTES = {
         CASE WHEN p_partkey % 3 = 0 THEN 'typescript' WHEN p_partkey % 3 = 1 THEN 'python' ELSE 'go' END AS language,
         CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE p_partkey % 2 = 0 END AS is_exported, p_partkey AS ord
  FROM part""",
+    "fx_named": """
+ SELECT id, kind, CASE ord % 12 WHEN 0 THEN concat('handle', upper(substr(name, 1, 1)), substr(name, 2)) WHEN 1 THEN 'getOrder' WHEN 2 THEN 'Main' WHEN 3 THEN 'Log' WHEN 4 THEN 'orderService' WHEN 5 THEN '_private'
+          WHEN 6 THEN 'parseOrder' WHEN 7 THEN 'viewUtils' ELSE name END AS name,
+        CASE ord % 5 WHEN 0 THEN replace(file_path, 'src/', 'src/pages/') WHEN 1 THEN concat(file_path, '/views.py') WHEN 2 THEN CASE WHEN ord % 3 = 0 THEN replace(file_path, 'src/', 'src/__tests__/') ELSE file_path END ELSE file_path END AS file_path,
+        start_line, end_line, language, is_exported, ord FROM fx_nodes""",
     "fx_seq": """
  SELECT l_partkey AS s,
         lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) AS d, l_discount
@@ -45,7 +50,7 @@ CTES = {
    SELECT source_id AS a, target_id AS b, confidence AS w FROM fx_sparse UNION ALL SELECT target_id, source_id, confidence FROM fx_sparse) AS u GROUP BY a, b""",
     "fx_sparse": """
  SELECT c.source_id, c.target_id, c.confidence FROM fx_calls c JOIN fx_nodes a ON a.id = c.source_id JOIN fx_nodes b ON b.id = c.target_id
- WHERE c.confidence >= 1.0 AND a.kind <> 'Class' AND b.kind <> 'Class'""",
+ WHERE a.kind <> 'Class' AND b.kind <> 'Class'""",
     "fx_groups": """
  SELECT n.id AS node, concat('g', p_brand) AS component FROM fx_nodes n JOIN part ON p_partkey = n.ord WHERE n.kind <> 'Class'""",
     "fx_sites": """
@@ -54,14 +59,13 @@ CTES = {
         CASE WHEN a.ord % 4 = 1 THEN b.name END AS receiver, CASE WHEN a.ord % 4 = 1 AND a.ord % 3 = 0 THEN b.id END AS receiver_type
  FROM fx_calls c JOIN fx_nodes a ON a.id = c.source_id JOIN fx_nodes b ON b.id = c.target_id""",
     "fx_imports": """
- SELECT DISTINCT a.file_path AS from_file, b.file_path AS to_file FROM fx_calls c JOIN fx_nodes a ON a.id = c.source_id JOIN fx_nodes b ON b.id = c.target_id
- WHERE a.language = 'typescript'""",
+ SELECT DISTINCT a.file_path AS from_file, b.file_path AS to_file FROM fx_calls c JOIN fx_nodes a ON a.id = c.source_id JOIN fx_nodes b ON b.id = c.target_id""",
     "fx_paths": """
  SELECT path, row_number() OVER (ORDER BY path) AS ord FROM (
    SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^?#]*)', 1) AS path FROM pages WHERE regexp_extract(url, '^[a-z]+://([^?#]*)', 1) <> '') AS u""",
 }
 NEEDS = {
-    "fx_calls": ["fx_nodes", "fx_seq"], "fx_extends": ["fx_ext"], "fx_member": ["fx_nodes"], "fx_edges": ["fx_calls", "fx_extends", "fx_member"], "fx_sparse": ["fx_calls"],
+    "fx_named": ["fx_nodes"], "fx_calls": ["fx_nodes", "fx_seq"], "fx_extends": ["fx_ext"], "fx_member": ["fx_nodes"], "fx_edges": ["fx_calls", "fx_extends", "fx_member"], "fx_sparse": ["fx_calls"],
     "fx_weights": ["fx_sparse"], "fx_groups": ["fx_nodes"], "fx_sites": ["fx_calls"], "fx_imports": ["fx_calls"],
 }
 TABLES = ("part", "lineitem", "pages", "documents", "events", "benchmark", "embeddings", "conversations", "customer", "supplier", "nation", "region", "orders", "labels")

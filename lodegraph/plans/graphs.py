@@ -127,15 +127,16 @@ def all_simple_paths(fx):
 
 
 def weights(fx):
-    return community.call_weights(fx.fx_nodes, fx.fx_calls, 1.0)
+    return community.call_weights(fx.fx_nodes, fx.fx_calls)
 
 
 def groups(fx):
     return fx.fx_groups
 
 
-LABELS = """ids AS (SELECT DISTINCT a AS node FROM fx_weights), lab AS (SELECT node, node AS seen FROM ids UNION SELECT lab.node, w.b FROM lab JOIN fx_weights w ON w.a = lab.seen),
- comp AS (SELECT node, min(seen) AS component FROM lab GROUP BY node)"""
+#: The least label among the neighbours, until none gets lower.
+LABELS = """comp(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM fx_weights UNION
+  SELECT r.node, min(c.component) FROM comp c JOIN fx_weights w ON w.b = c.node JOIN recurring.comp r ON r.node = w.a WHERE c.component < r.component GROUP BY r.node)"""
 
 
 @query("SELECT a, b, round(w, 4) AS w FROM fx_weights", "fx_weights")
@@ -225,21 +226,26 @@ def community_members(fx):
 
 # --- processes ---
 
-SCORES = """deg AS (SELECT n.id, n.kind, n.name, n.file_path, n.is_exported, n.ord, (SELECT count(*) FROM fx_calls WHERE source_id = n.id) AS o, (SELECT count(*) FROM fx_calls WHERE target_id = n.id) AS i FROM fx_nodes n),
+def _matches(column: str, patterns: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"regexp_matches({column}, '{p}')" for p in patterns) + ")"
+
+
+SCORES = f"""deg AS (SELECT n.*, coalesce(o.n, 0) AS o, coalesce(i.n, 0) AS i FROM fx_named n LEFT JOIN (SELECT source_id, count(*) AS n FROM fx_calls GROUP BY source_id) o ON o.source_id = n.id
+   LEFT JOIN (SELECT target_id, count(*) AS n FROM fx_calls GROUP BY target_id) i ON i.target_id = n.id),
  scores AS (SELECT *, CASE WHEN o = 0 THEN 0.0::DOUBLE ELSE o / CAST(i + 1 AS DOUBLE) * CASE WHEN coalesce(is_exported, false) THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END
-   * CASE WHEN regexp_matches(name, '^(get|set|is|has|can|should|will|did)[A-Z]|^_|Helper$|Util$|Utils$|^(to|from)[A-Z]') OR regexp_matches(name, '(?i)^(format|parse|validate|convert|transform)') THEN 0.3::DOUBLE
-       WHEN regexp_matches(name, '(?i)^(main|init|bootstrap|start|run|setup|configure)$') OR regexp_matches(name, '^(handle|on|process|execute|perform|dispatch|trigger|emit|use|do)[A-Z]|Handler$|Controller$|^app$|^view_|Service$') THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END END AS score FROM deg),
- entries AS (SELECT id, ord, score, row_number() OVER (ORDER BY score DESC, ord) AS rank FROM scores WHERE kind IN ('Function', 'Method') AND score > 0 ORDER BY score DESC, ord LIMIT 200)"""
+   * CASE WHEN {_matches("name", process.HELPER_NAMES)} THEN 0.3::DOUBLE WHEN {_matches("name", process.ENTRY_NAMES)} THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END
+   * CASE WHEN contains(file_path, '/pages/') OR contains(file_path, '/app/') OR ends_with(file_path, 'views.py') THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END END AS score FROM deg),
+ entries AS (SELECT id, name, ord, score, row_number() OVER (ORDER BY score DESC, ord) AS rank FROM scores WHERE kind IN ('Function', 'Method') AND score > 0 AND NOT {_matches("file_path", process.TEST_PATHS)} ORDER BY score DESC, ord LIMIT 200)"""
 
 
-@query("SELECT id, o AS fan_out, i AS fan_in, round(score, 6) AS score FROM scores", "fx_calls", extra=SCORES)
+@query("SELECT id, o AS fan_out, i AS fan_in, round(score, 6) AS score FROM scores", "fx_calls", "fx_named", extra=SCORES)
 def entry_point_scores(fx):
-    return process.entry_scores(fx.fx_nodes, fx.fx_calls).select("id", "fan_out", "fan_in", F.round("score", 6).alias("score"))
+    return process.entry_scores(fx.fx_named, fx.fx_calls).select("id", "fan_out", "fan_in", F.round("score", 6).alias("score"))
 
 
-@query("SELECT id, rank, round(score, 6) AS score FROM entries", "fx_calls", extra=SCORES)
+@query("SELECT id, rank, round(score, 6) AS score FROM entries", "fx_calls", "fx_named", extra=SCORES)
 def entry_points(fx):
-    return process.entry_points(fx.fx_nodes, fx.fx_calls).select("id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+    return process.entry_points(fx.fx_named, fx.fx_calls).select("id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
 @query("SELECT source_id AS src, target_id AS dst, place FROM (SELECT source_id, target_id, row_number() OVER (PARTITION BY source_id ORDER BY ord, target_id) AS place FROM fx_calls WHERE confidence >= 0.5) AS u WHERE place <= 4", "fx_calls")
@@ -247,12 +253,22 @@ def first_callees(fx):
     return process.callees(fx.fx_calls).select("src", "dst", F.col("place").cast("long").alias("place"))
 
 
+#: The flows of an entry: level by level, each node once an entry, from the path that a queue would bring to it first.
+TRACES = f"""{SCORES},
+ firsts AS (SELECT src, dst, place FROM (SELECT source_id AS src, target_id AS dst, row_number() OVER (PARTITION BY source_id ORDER BY ord, target_id) AS place FROM fx_calls WHERE confidence >= 0.5) AS u WHERE place <= 4),
+ popped(entry, node, path, way, depth) USING KEY (entry, node) AS (SELECT id, id, [id], CAST([] AS BIGINT[]), 0 FROM entries WHERE rank <= 150 UNION
+   SELECT p.entry, f.dst, arg_min(list_append(p.path, f.dst), list_append(p.way, f.place)), min(list_append(p.way, f.place)), p.depth + 1 FROM popped p JOIN firsts f ON f.src = p.node
+   LEFT JOIN recurring.popped r ON r.entry = p.entry AND r.node = f.dst WHERE r.node IS NULL AND p.depth < 10 AND NOT list_contains(p.path, f.dst) GROUP BY p.entry, f.dst, p.depth),
+ ended AS (SELECT p.entry, p.path, p.depth, p.way FROM popped p LEFT JOIN firsts f ON f.src = p.node GROUP BY ALL HAVING p.depth = 10 OR count(*) FILTER (WHERE f.dst IS NOT NULL AND NOT list_contains(p.path, f.dst)) = 0),
+ traced AS (SELECT * FROM (SELECT entry, path, row_number() OVER (PARTITION BY entry ORDER BY depth, way) AS place FROM ended WHERE len(path) >= 3) AS u WHERE place <= 12)"""
+
+
 def _traces(fx):
-    best = process.entry_points(fx.fx_nodes, fx.fx_calls)
+    best = process.entry_points(fx.fx_named, fx.fx_calls)
     return process.ranked(process.traces(best.where("rank <= 150").select(F.col("id").alias("entry")), fx.fx_calls), best)
 
 
-@query()
+@query("SELECT entry, array_to_string(path, ' > ') AS trace, CAST(place AS INT) AS place FROM traced", "fx_calls", "fx_named", extra=TRACES)
 def call_traces(fx):
     return _traces(fx).select("entry", F.array_join("trace", " > ").alias("trace"), "place")
 
@@ -279,29 +295,53 @@ def trace_endpoints(fx):
     return process.longest_by_ends(_talks(fx)).select("conv_id", F.size("trace").cast("long").alias("n"))
 
 
+#: The flows that are kept: no part of an earlier one, the longest for each pair of ends, the 75 longest.
+PROCESSES = f"""{TRACES},
+ lined AS (SELECT t.entry, t.path, array_to_string(t.path, '->') AS k, len(t.path) AS n, row_number() OVER (ORDER BY len(t.path) DESC, e.rank, t.place) AS r FROM traced t JOIN entries e ON e.id = t.entry),
+ apart AS (SELECT * FROM lined a WHERE NOT EXISTS (SELECT 1 FROM lined b WHERE b.r < a.r AND contains(b.k, a.k))),
+ by_ends AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path[1], path[-1] ORDER BY n DESC, r) AS nth FROM apart) AS u WHERE nth = 1),
+ flows AS (SELECT path, n, CAST(row_number() OVER (ORDER BY n DESC, r) - 1 AS INT) AS idx FROM by_ends ORDER BY n DESC, r LIMIT 75),
+ own AS (SELECT source_id AS node, arg_max(target_id, (ord, target_id)) AS community FROM fx_member GROUP BY source_id),
+ touched AS (SELECT idx, list_sort(list(DISTINCT community)) AS communities FROM (SELECT idx, unnest(path) AS node FROM flows) AS u JOIN own USING (node) GROUP BY idx),
+ told AS (SELECT f.idx, f.path, f.n, a.name AS first_name, b.name AS last_name, coalesce(communities, []) AS communities, concat('proc_', CAST(f.idx AS STRING), '_', lower(substr(regexp_replace(a.name, '[^a-zA-Z0-9]', '_', 'g'), 1, 30))) AS id
+   FROM flows f JOIN fx_named a ON a.id = f.path[1] JOIN fx_named b ON b.id = f.path[-1] LEFT JOIN touched t ON t.idx = f.idx)"""
+FLOW = ("fx_calls", "fx_named", "fx_member")
+
+
 def _processes(fx):
-    return process.processes(fx.fx_nodes, fx.fx_calls, fx.fx_member.select(F.col("source_id").alias("node_id"), F.col("target_id").alias("community_id"), "ord"))
+    return process.processes(fx.fx_named, fx.fx_calls, fx.fx_member.select(F.col("source_id").alias("node_id"), F.col("target_id").alias("community_id"), "ord"))
 
 
-@query()
+@query(
+    """SELECT idx, id, concat(first_name, ' → ', last_name) AS label, concat(CASE WHEN len(communities) > 1 THEN '🌐' ELSE '📦' END, ' ', first_name, ' → ', last_name, ' (', CAST(n AS STRING), ' steps)') AS detail,
+       CASE WHEN len(communities) > 1 THEN 'cross_community' ELSE 'intra_community' END AS process_type, CAST(n AS INT) AS step_count, path[1] AS entry_id, path[-1] AS terminal_id, array_to_string(path, ' > ') AS trace, array_to_string(communities, ',') AS communities FROM told""",
+    *FLOW, extra=PROCESSES,
+)
 def processes(fx):
     return _processes(fx).select("idx", "id", "label", "detail", "process_type", "step_count", "entry_id", "terminal_id", F.array_join("trace", " > ").alias("trace"), F.array_join("communities", ",").alias("communities"))
 
 
-@query()
+@query("SELECT id, CAST(generate_subscripts(path, 1) AS INT) AS step, unnest(path) AS node_id FROM told", *FLOW, extra=PROCESSES)
 def process_steps(fx):
     return process.process_steps(_processes(fx))
 
 
-@query()
+@query(
+    """SELECT count(*) AS total, count(*) FILTER (WHERE len(communities) > 1) AS cross_community, floor(coalesce(avg(n), 0) * 10.0 + 0.5) / 10.0 AS avg_step_count, (SELECT count(DISTINCT target_id) FROM fx_calls) AS entry_points_found FROM told""",
+    *FLOW, extra=PROCESSES,
+)
 def process_stats(fx):
     return process.process_stats(_processes(fx), fx.fx_calls)
 
 
-@query()
+@query(
+    """SELECT concat('Process:', id) AS id, 'Process' AS kind, 0 AS step FROM told
+       UNION ALL SELECT concat(node, '->Process:', id, ':STEP_IN_PROCESS'), 'STEP_IN_PROCESS', CAST(min(step) AS INT) FROM (SELECT id, generate_subscripts(path, 1) AS step, unnest(path) AS node FROM told) AS u GROUP BY id, node""",
+    *FLOW, extra=PROCESSES,
+)
 def process_write_back(fx):
     nodes, edges = process.write_back(_processes(fx))
-    return nodes.select("id", "kind", F.lit(None).cast("int").alias("step")).unionAll(edges.select("id", "kind", "step"))
+    return nodes.select("id", "kind", F.lit(0).alias("step")).unionAll(edges.select("id", "kind", "step"))
 
 
 # --- inheritance ---
@@ -367,13 +407,32 @@ def mro_chains(fx):
     return heritage.linearisations(edges, edges.select(F.col("source_id").alias("id"))).select("id", F.array_join("linearization", " ").alias("linearization"))
 
 
-@query()
+#: C3, a step of every merge a round, for each class as soon as its parents' are done; where a merge finds no head, post-order.
+MRO = """ups AS (SELECT source_id AS id, list(target_id ORDER BY ord, target_id) AS ps FROM fx_extends GROUP BY source_id),
+ ids AS (SELECT source_id AS id FROM fx_extends UNION SELECT target_id FROM fx_extends),
+ mro(id, path, lists, state) USING KEY (id) AS (SELECT id, [id], CAST([] AS VARCHAR[][]), CASE WHEN ps IS NULL THEN 'done' ELSE 'waits' END FROM ids LEFT JOIN ups USING (id) UNION
+   SELECT n.id, n.path, n.lists, n.state FROM (
+     SELECT r.id, r.path, list_append(list(p.path ORDER BY list_position(u.ps, p.id)), any_value(u.ps)) AS lists, CASE WHEN bool_or(p.state = 'odd') THEN 'odd' ELSE 'merges' END AS state
+     FROM recurring.mro r JOIN ups u USING (id) JOIN recurring.mro p ON list_contains(u.ps, p.id) WHERE r.state = 'waits' GROUP BY r.id, r.path HAVING bool_and(p.state IN ('done', 'odd'))
+     UNION ALL SELECT id, CASE WHEN head IS NULL THEN path ELSE list_append(path, head) END, list_filter(list_transform(lists, lambda x: CASE WHEN x[1] = head THEN x[2:] ELSE x END), lambda x: len(x) > 0), CASE WHEN len(lists) = 0 THEN 'done' WHEN head IS NULL THEN 'odd' ELSE 'merges' END
+     FROM (SELECT id, path, lists, list_filter(list_transform(lists, lambda x: x[1]), lambda h: NOT list_contains(flatten(list_transform(lists, lambda x: x[2:])), h))[1] AS head FROM recurring.mro WHERE state = 'merges') AS m) AS n WHERE EXISTS (SELECT 1 FROM mro)),
+ dfs(id, stack, met, path) AS (SELECT id, [id], [id], CAST([] AS VARCHAR[]) FROM mro WHERE state = 'odd' UNION ALL
+   SELECT id, CASE WHEN next IS NULL THEN stack[:-2] ELSE list_append(stack, next) END, CASE WHEN next IS NULL THEN met ELSE list_append(met, next) END, CASE WHEN next IS NULL THEN list_append(path, stack[-1]) ELSE path END
+   FROM (SELECT d.*, list_filter(u.ps, lambda x: NOT list_contains(d.met, x))[1] AS next FROM dfs d LEFT JOIN ups u ON u.id = d.stack[-1] WHERE len(d.stack) > 0) AS n),
+ linear AS (SELECT id, path, true AS consistent FROM mro WHERE state = 'done' UNION ALL SELECT id, path, false FROM dfs WHERE len(stack) = 0)"""
+
+
+@query("SELECT id, array_to_string(path, ' ') AS linearization, consistent FROM linear WHERE id IN (SELECT id FROM ups)", "fx_extends", extra=MRO)
 def mro_linearization(fx):
     told = heritage.linearisations(fx.fx_extends, fx.fx_extends.select(F.col("source_id").alias("id")))
     return told.select("id", F.array_join("linearization", " ").alias("linearization"), "consistent")
 
 
-@query()
+@query(
+    """SELECT id, method, string_agg(owner, ' ' ORDER BY pos) AS sources, arg_min(owner, pos) AS resolved_to FROM (SELECT id, generate_subscripts(path, 1) AS pos, unnest(path) AS owner FROM linear WHERE id IN (SELECT id FROM ups)) AS l
+       JOIN (SELECT concat('Class:c', CAST(p_partkey AS STRING)) AS owner, concat('m', CAST(p_partkey % 40 AS STRING)) AS method FROM part) AS m USING (owner) GROUP BY id, method HAVING count(*) > 1""",
+    "fx_extends", extra=MRO,
+)
 def method_conflicts(fx):
     linear = heritage.linearisations(fx.fx_extends, classes(fx).withColumnRenamed("root", "id"))
     methods = fx.table("part").select(F.concat(F.lit("Class:c"), F.col("p_partkey").cast("string")).alias("owner"), F.concat(F.lit("m"), (F.col("p_partkey") % 40).cast("string")).alias("method"))

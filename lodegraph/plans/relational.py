@@ -254,12 +254,12 @@ def call_threshold(fx):
        LEFT JOIN env e ON e.file_path = sites.file_path AND e.v = receiver LEFT JOIN (SELECT DISTINCT name FROM fx_nodes WHERE kind = 'Class') c ON c.name = receiver""",
     "fx_sites",
     extra="""sites AS (SELECT site, file_path, CASE WHEN line % 4 = 0 THEN 'this' WHEN line % 4 = 1 THEN 'super' ELSE called_name END AS receiver, concat('C', CAST(line AS STRING)) AS enclosing_class FROM fx_sites),
-      env AS (SELECT file_path, name AS v, min(concat('T', CAST(ord AS STRING))) AS t FROM fx_nodes WHERE language = 'python' GROUP BY file_path, name)""",
+      env AS (SELECT file_path, name AS v, min(concat('T', CAST(ord AS STRING))) AS t FROM fx_nodes GROUP BY file_path, name)""",
 )
 def receiver_types(fx):
     name = F.when(F.col("line") % 4 == 0, "this").when(F.col("line") % 4 == 1, "super").otherwise(F.col("called_name"))
     sites = fx.fx_sites.select("site", "file_path", name.alias("receiver"), F.concat(F.lit("C"), F.col("line").cast("string")).alias("enclosing_class"))
-    env = fx.fx_nodes.where("language = 'python'").select("file_path", F.col("name").alias("var"), F.concat(F.lit("T"), F.col("ord").cast("string")).alias("type"))
+    env = fx.fx_nodes.select("file_path", F.col("name").alias("var"), F.concat(F.lit("T"), F.col("ord").cast("string")).alias("type"))
     return calls.receiver_types(sites, env, fx.fx_nodes).select("site", "receiver_type")
 
 
