@@ -10,6 +10,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _written: list[tuple[SparkSession, str]] = []
+_held: list[DataFrame] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,9 +46,33 @@ def materialize(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget_tables() -> None:
-    """Remove every table that :func:`materialize` wrote."""
-    while _written:
+def hold(df: DataFrame) -> DataFrame:
+    """Keep the rows on the executors' disks from when they are first worked out: for what is used several times but is
+    quickly made again, as far as a lost executor takes it along."""
+    _held.append(df.persist(StorageLevel.DISK_ONLY))
+    return _held[-1]
+
+
+def tables_now() -> tuple[int, int]:
+    """How many tables are written and held, for :func:`forget_tables`."""
+    return len(_written), len(_held)
+
+
+def forget_tables(since: tuple[int, int] = (0, 0), keep: int = 0) -> None:
+    """Remove the tables written and give back those held since then, but for the last ``keep`` written."""
+    while len(_held) > since[1]:
+        try:
+            _held.pop().unpersist()
+        except Exception:  # the session may have ended
+            break
+    kept = _written[len(_written) - keep :]
+    del _written[len(_written) - keep :]
+    _forget_written(since[0])
+    _written.extend(kept)
+
+
+def _forget_written(since: int) -> None:
+    while len(_written) > since:
         spark, path = _written.pop()
         try:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -64,19 +90,20 @@ HOT = 1000
 FEW = 100_000
 
 
-def join_counted(rows: DataFrame, small: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
+def join_counted(rows: DataFrame, small: DataFrame, key: str, count: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """``rows`` joined with ``small``, which has one row a key; its column ``count`` says how many of ``rows`` have that key.
 
     The few keys that hold much of the rows do not meet in one task: they are broadcast, and only the others shuffled.
-    ``how`` is inner or left_semi. The count does not come along.
+    ``how`` is inner or left_semi. The count does not come along. ``counts`` is a written table with the same counts, for
+    a ``small`` that is dear to work out.
     """
-    total = small.agg(F.sum(count)).first()[0] or 0
+    counts = small if counts is None else counts
+    total = counts.agg(F.sum(count)).first()[0] or 0
     many = F.col(count) > max(total // HOT, FEW)
-    hot = small.where(many).drop(count)
+    if counts.where(many).isEmpty():
+        return rows.join(small.drop(count), key, how)
     rest = rows.join(small.where(~many).drop(count), key, how)
-    if hot.isEmpty():
-        return rest
-    return rest.unionByName(rows.join(F.broadcast(hot), key, how))
+    return rest.unionByName(rows.join(F.broadcast(small.where(many).drop(count)), key, how))
 
 
 def id_crc(column: str = "doc_id") -> Column:

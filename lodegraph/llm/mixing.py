@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, join_counted, materialize
+from .common import WORD, hold, join_counted, materialize
 
 
 def word_count(text: Column) -> Column:
@@ -148,5 +148,5 @@ def mixed_documents(df: DataFrame, **parameters) -> DataFrame:
     columns = {name: parameters.pop(f"{name}_column", name) for name in ("text", "source")}
     plan = mix(keyed.select("row", *[F.col(f"given.`{c}`").alias(name) for name, c in columns.items()]), id_column="row", **parameters)
     plan = plan.groupBy(F.col("doc_id").alias("row")).agg(F.round(F.avg("copies")).cast("int").alias("copies"), F.count(F.lit(1)).alias("n"))
-    joined = join_counted(keyed, materialize(plan.where("copies > 0"), "mix-plan"), "row", "n")
+    joined = join_counted(keyed, hold(plan.where("copies > 0")), "row", "n")
     return joined.select("given", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select("given.*")

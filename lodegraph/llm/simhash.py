@@ -21,8 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_counted, lean_memory, materialize, utf8_texts
-from .components import components
+from .common import hold, join_counted, lean_memory, materialize, utf8_texts
+from .components import components, smallest_reachable
 
 BITS = 64
 #: Fingerprints whose variants are held at once: about 70 MB of values.
@@ -137,24 +137,6 @@ def meetings(values: np.ndarray, flips: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(found_a), np.concatenate(found_b)
 
 
-def smallest_reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each of n places the smallest place that links lead to."""
-    label = np.arange(n)
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        while not np.array_equal(hop := new[new], new):
-            new = hop
-        if np.array_equal(new, label):
-            break
-        label = new
-        open_links = label[a] != label[b]
-        a, b = a[open_links], b[open_links]
-    return label
-
-
 def links(distinct: DataFrame, distance: int = 4, blocks: int | None = None) -> DataFrame:
     """Links (``a``, ``b``) that connect the fingerprints of ``distinct`` (column ``fp``) within the distance: not all
     pairs, but a path for each of them. ``blocks`` by default grows with their number so that a bucket's mean stays
@@ -204,7 +186,7 @@ def near_duplicates(df: DataFrame, distance: int = 4, words: int = 4, seed: int
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least", "n")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("n_alike"))
     named = rooted.select("fp", "root", "n").join(named, "root").select("fp", "component_id", "n_alike", "n")
-    out = join_counted(made, materialize(named, "simhash-named"), "fp", "n")
+    out = join_counted(made, named, "fp", "n", counts=distinct)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_alike")
 
 
@@ -218,7 +200,8 @@ def keep_first(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     known = keyed.select(F.struct(F.col(f"given.`{id_column}`").alias("id"), "row").alias("id"), F.col(f"given.`{text_column}`").alias("text"))
     groups = group(known, id_column="id", text_column="text", **parameters)
     first = groups.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id.row").alias("row")).agg(F.count(F.lit(1)).alias("n"))
-    first = materialize(first, "simhash-first")
+    first = hold(first)
+    first.count()  # so that its size is known
     once = keyed.join(first.where("n = 1").select("row"), "row", "left_semi")
     again = keyed.join(first.where("n > 1").select("row"), "row", "left_semi").dropDuplicates(["row"])
     return once.select("given.*").unionByName(again.select("given.*"))

@@ -710,7 +710,7 @@ def test_ball_hashing_loses_no_link(spark, blocks, monkeypatch):
     for part in ([0, 1], None):
         if part:
             a, b = simhash.meetings(np.array(prints, np.uint64), simhash.ball(2**64 - 1, 2))
-            root = simhash.smallest_reachable(len(prints), a, b)
+            root = components.smallest_reachable(len(prints), a, b)
             got = {i: int(root[i]) for i in range(len(prints))}
         else:
             found = components.components(simhash.links(spark.createDataFrame([(s,) for s in signed], "fp bigint"), 4, blocks)).collect()
@@ -721,7 +721,9 @@ def test_ball_hashing_loses_no_link(spark, blocks, monkeypatch):
         assert got == plain_components(list(range(len(prints))), prints)
 
 
-def test_components_of_a_long_path(spark):
+@pytest.mark.parametrize("in_one_task", [0, 60, 1 << 20])
+def test_components_of_a_long_path(spark, monkeypatch, in_one_task):
+    monkeypatch.setattr(components, "IN_ONE_TASK", in_one_task)
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "a bigint, b bigint")
     out = components.components(edges).collect()
     assert len({x["root"] for x in out if x["node"] <= 200}) == 1 and len({x["root"] for x in out}) == 2 and len(out) == 203
