@@ -168,6 +168,16 @@ def community_cohesion(fx):
     return community.cohesion(weights(fx), groups(fx)).select("component", "size", F.round("cohesion", 6).alias("cohesion"))
 
 
+@query(
+    """SELECT count(*) AS communities, CAST(sum(size) AS BIGINT) AS nodes, round(avg(c), 6) AS average_cohesion FROM (
+       SELECT count(DISTINCT g.node) AS size, CASE WHEN count(DISTINCT g.node) < 2 OR count(w.b) = 0 THEN 1.0 ELSE count(*) FILTER (WHERE h.component = g.component) / CAST(count(w.b) AS DOUBLE) END AS c
+       FROM fx_groups g LEFT JOIN fx_weights w ON w.a = g.node LEFT JOIN fx_groups h ON h.node = w.b GROUP BY g.component) AS u""",
+    "fx_weights", "fx_groups",
+)
+def community_totals(fx):
+    return community.totals(weights(fx), groups(fx)).select("communities", "nodes", F.round("average_cohesion", 6).alias("average_cohesion"))
+
+
 @query(
     """SELECT component, size, round(i, 4) AS internal, round(e, 4) AS external, round(CASE WHEN size > 1 THEN 2 * i / (size * (size - 1)) ELSE 0 END, 6) AS density, round(i / (i + e + 1), 6) AS cohesion FROM (
        SELECT g.component, count(DISTINCT g.node) AS size, coalesce(sum(w.w / 2) FILTER (WHERE h.component = g.component), 0) AS i, coalesce(sum(w.w) FILTER (WHERE h.component <> g.component), 0) AS e
