@@ -182,17 +182,23 @@ def find_symbols(asked: DataFrame, symbols: DataFrame, imports: DataFrame | None
 
 
 def class_clause(line: Column, language: Column) -> dict[str, Column]:
-    """From a declaration line its ``name``, the names it ``extends`` and ``implements`` (arrays)."""
-    strip = lambda names: F.filter(F.transform(names, lambda n: F.trim(F.regexp_replace(F.regexp_replace(n, r"<.*", ""), r"\(.*", ""))), lambda n: n.rlike(r"^[A-Za-z_][\w.]*$"))
+    """From a declaration, over however many lines, its ``name``, the names it ``extends`` and ``implements``
+    (arrays), without what stands in brackets; bases after a colon or ``<`` are extended."""
+    for inner in (r"<[^<>]*>",) * 4:  # generic parameters, from the inside
+        line = F.regexp_replace(line, inner, "")
+    strip = lambda names: F.filter(F.transform(names, lambda n: F.trim(F.regexp_replace(n, r"\(.*|\b(?:public|protected|private|virtual)\s", ""))), lambda n: n.rlike(r"^[A-Za-z_$][\w$.\\]*$"))
     listed = lambda text: strip(F.split(text, ","))
     name = F.regexp_extract(line, r"\b(?:class|interface|trait|protocol|struct)\s+([A-Za-z_]\w*)", 1)
     python = F.regexp_extract(line, r"\bclass\s+\w+\s*\(([^)]*)\)", 1)
     extends = F.regexp_extract(line, r"\bextends\s+([^{]+?)(?:\bimplements\b|\{|$)", 1)
     implements = F.regexp_extract(line, r"\bimplements\s+([^{]+?)(?:\{|$)", 1)
+    bases = F.regexp_extract(F.regexp_replace(line, r"\([^()]*\)", ""), r"\b(?:class|interface|protocol|struct|record|object)\s+[\w$]+\s*:\s*([^{]+?)(?:\bwhere\b|\{|$)", 1)
+    base = F.regexp_extract(line, r"^\s*class\s+[\w:]+\s*<\s*([\w:]+)", 1)
     nothing = F.array().cast("array<string>")
     return {
         "name": F.when(name != "", name),
-        "extends": F.when((language == "python") & (python != ""), listed(python)).when(extends != "", listed(extends)).otherwise(nothing),
+        "extends": F.when((language == "python") & (python != ""), listed(python)).when((language == "ruby") & (base != ""), F.array(F.replace(base, F.lit("::"), F.lit("."))))
+        .when(language.isin("csharp", "kotlin", "swift", "cpp") & (bases != ""), listed(bases)).when(extends != "", listed(extends)).otherwise(nothing),
         "implements": F.when(implements != "", listed(implements)).otherwise(nothing),
     }
 
