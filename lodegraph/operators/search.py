@@ -96,6 +96,25 @@ def fuse(rankings: list[DataFrame], k: int = 10) -> DataFrame:
     return top(every.groupBy("query", "doc").agg(F.round(F.sum(1.0 / (RRF + F.col("rank"))), 9).alias("score")), k)
 
 
+def by_process(hits: DataFrame, flows: DataFrame, k: int | None = None) -> DataFrame:
+    """Hits (``query``, ``doc``, ``score``) under the processes that they are steps of: ``query``, ``process``, ``label``,
+    ``process_type``, ``step_count``, ``process_score`` (the sum over its hits), ``process_rank``, ``doc``, ``step`` (the first, if
+    it is several) and ``score``. A hit in several processes stands under each; those in none stand under a null process
+    that is last. ``flows`` is what ``process.processes`` gives; ``k`` keeps the first processes of each query.
+    """
+    steps = flows.select(F.col("id").alias("process"), "label", "process_type", "step_count", F.posexplode("trace").alias("at", "doc"))
+    steps = steps.groupBy("process", "doc").agg(F.min("at").alias("at"), *[F.first(c).alias(c) for c in ("label", "process_type", "step_count")])
+    placed = hits.select("query", "doc", "score").join(steps, "doc", "left")
+    groups = placed.groupBy("query", "process").agg(F.round(F.sum("score"), 9).alias("process_score"))
+    order = Window.partitionBy("query").orderBy(F.col("process").isNull(), F.desc("process_score"), "process")
+    groups = groups.withColumn("process_rank", F.row_number().over(order))
+    if k is not None:
+        groups = groups.where(F.col("process_rank") <= k)
+    named = groups.withColumnsRenamed({"query": "_query", "process": "_process"})
+    joined = placed.join(named, (F.col("query") == F.col("_query")) & F.col("process").eqNullSafe(F.col("_process")))
+    return joined.select("query", "process", "label", "process_type", "step_count", "process_score", "process_rank", "doc", (F.col("at") + 1).alias("step"), "score")
+
+
 def changed_symbols(changes: DataFrame, nodes: DataFrame) -> DataFrame:
     """Symbols whose lines meet a changed range (``file_path``, ``first``, ``last``)."""
     spans = nodes.select("id", "file_path", "start_line", "end_line")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..operators import extract, imports, search
+from ..operators import extract, imports, search, types
 from ..plans import ingest
 from ..sources import walk
 from ..streaming import incremental
@@ -72,6 +72,52 @@ def relative_paths(fx):
     return fx.fx_paths.select("path", imports.relative_target(written, F.lit("a/main.ts")).alias("target"))
 
 
+#: Variables of parts, a file for each thousand: of ten in a row the first is declared, the second a call's result, and the others
+#: follow from the one before. The fifth is declared later on, too.
+BOUND = """bound AS (SELECT p_partkey AS n, p_partkey // 1000 AS f FROM part),
+ owned AS (SELECT o % 40 AS o, m, (o * 7 + m * 3) % 40 AS t FROM (SELECT DISTINCT s_suppkey % 40 AS o FROM supplier) AS s, range(7) AS r(m) WHERE (o + m) % 11 <> 0),
+ env AS (SELECT f, n, CASE n % 10 WHEN 2 THEN n % 30 ELSE n % 40 END AS t FROM bound WHERE n % 10 IN (1, 5) OR (n % 10 = 2 AND n % 30 % 5 <> 0)
+  UNION ALL SELECT b.f, b.n, CASE WHEN b.n % 10 = 0 THEN e.t ELSE w.t END FROM env e JOIN bound b ON b.f = e.f AND b.n = e.n + 1 LEFT JOIN owned w ON w.o = e.t AND w.m = b.n % 7
+  WHERE b.n % 10 NOT IN (1, 2, 5) AND (b.n % 10 = 0 OR w.t IS NOT NULL))"""
+
+
+@query("SELECT concat('f', CAST(f AS STRING)) AS file_path, concat('v', CAST(n AS STRING)) AS var, concat('T', CAST(t AS STRING)) AS type FROM env", extra=BOUND)
+def type_propagation(fx):
+    """Types follow along chains of fields, calls and aliases until nothing new is known."""
+    n = F.col("p_partkey")
+    text = lambda prefix, number: F.concat(F.lit(prefix), number.cast("string"))
+    last = n % 10
+    how = F.when(last == 1, "declared").when(last == 2, "called").when(last == 0, "alias").otherwise("member")
+    base = F.when(~last.isin(1, 2), text("v", n - 1))
+    member = F.when(last == 2, text("fn", n % 30)).when(~last.isin(0, 1), text("m", n % 7))
+    kind = F.when(last == 1, text("T", n % 40))
+    each = fx.table("part").select(text("f", F.floor(n / 1000)).alias("file_path"), F.lit(0).cast("long").alias("ord"), text("v", n).alias("var"), how.alias("how"), base.alias("base"), member.alias("member"), kind.alias("type"), n.alias("n"))
+    later = each.where("n % 10 = 5").select("file_path", F.lit(1).cast("long").alias("ord"), "var", F.lit("declared").alias("how"), F.lit(None).cast("string").alias("base"), F.lit(None).cast("string").alias("member"), text("T", F.col("n") % 40).alias("type"))
+    o, m = F.col("o"), F.col("m")
+    owners = fx.table("supplier").select((F.col("s_suppkey") % 40).alias("o")).distinct().select("o", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("m")).where((o + m) % 11 != 0)
+    known = owners.select(text("T", o).alias("owner"), text("m", m).alias("member"), text("T", (o * 7 + m * 3) % 40).alias("type"))
+    functions = fx.table("part").select((n % 30).alias("k")).distinct().where("k % 5 <> 0").select(F.lit("").alias("owner"), text("fn", F.col("k")).alias("member"), text("T", F.col("k")).alias("type"))
+    return types.propagate(each.drop("n").unionByName(later), known.unionByName(functions))
+
+
+@query(
+    """SELECT p.query, p.process, p.step_count, g.process_score, g.process_rank, p.doc, p.step, p.score FROM placed p JOIN
+       (SELECT *, row_number() OVER (PARTITION BY query ORDER BY process IS NULL, process_score DESC, process) AS process_rank FROM (SELECT query, process, round(sum(score), 9) AS process_score FROM placed GROUP BY ALL) AS u) AS g
+       ON p.query = g.query AND p.process IS NOT DISTINCT FROM g.process""",
+    extra="""steps AS (SELECT l_orderkey AS o, l_partkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS step, count(*) OVER (PARTITION BY l_orderkey) AS step_count FROM lineitem),
+ firsts AS (SELECT concat('proc_', CAST(o AS STRING)) AS process, k, min(step) AS step, any_value(step_count) AS step_count FROM steps GROUP BY o, k),
+ placed AS (SELECT p_partkey % 7 AS query, process, step_count, p_partkey AS doc, step, 1.0::DOUBLE / (60 + p_partkey % 50) AS score FROM part LEFT JOIN firsts ON k = p_partkey)""",
+)
+def search_by_process(fx):
+    """Hits grouped by the process that they are steps of: orders stand for processes, and their parts for steps."""
+    lines = fx.table("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("lines"))
+    flows = lines.select(F.concat(F.lit("proc_"), F.col("l_orderkey").cast("string")).alias("id"), F.lit("").alias("label"), F.lit("").alias("process_type"), F.size("lines").cast("long").alias("step_count"), F.col("lines.l_partkey").alias("trace"))
+    n = F.col("p_partkey")
+    hits = fx.table("part").select((n % 7).alias("query"), n.alias("doc"), (1.0 / (60 + n % 50)).alias("score"))
+    found = search.by_process(hits, flows)
+    return found.select("query", "process", "step_count", "process_score", F.col("process_rank").cast("long").alias("process_rank"), "doc", F.col("step").cast("long").alias("step"), "score")
+
+
 #: A document's words become names, as far as they are letters: what a source defines, calls and imports hangs on its text.
 WORDS_OF = "words AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: len(w) > 3)[1:3] AS w FROM documents), made AS (SELECT doc_id, w[1] AS a, w[2] AS b FROM words WHERE len(w) >= 2)"
 

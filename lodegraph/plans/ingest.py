@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import edge_id
 from ..graph import Graph
-from ..operators import calls, community, extract, heritage, imports, process
+from ..operators import calls, community, extract, heritage, imports, process, types
 from ..operators.iterate import cut
 from ..sources.language import detect
 
@@ -32,8 +32,7 @@ def build(files: DataFrame, aliases: list[tuple[str, str]] | None = None, on_pro
     sites = cut(extract.call_sites(code, found))
     owner = found.select(F.col("id").alias("source_id"), F.col("parent_id"))
     owners = owner.join(found.where("kind = 'Class'").select(F.col("id").alias("parent_id"), F.col("name").alias("enclosing_class")), "parent_id", "left").select("source_id", "enclosing_class")
-    empty_env = sites.select("file_path", F.lit("").alias("var"), F.lit("").alias("type")).limit(0)
-    typed = calls.receiver_types(sites.join(owners, "source_id", "left"), empty_env, found)
+    typed = calls.receiver_types(sites.join(owners, "source_id", "left"), types.type_env(code), found)
     call_edges = calls.call_edges(calls.resolve(typed, found, links))
     tell("calls", 0.7)
     clause = heritage.class_clause(F.col("declaration"), F.col("language"))
