@@ -110,6 +110,8 @@ def traces(entries: DataFrame, calls: DataFrame, max_depth: int = 10, branching:
         seen = met if seen is None else seen.unionByName(met)
         if depth == max_depth:
             break
+    if done is None:  # there are no entries
+        return entries.select("entry", F.array("entry").alias("trace"), F.lit(1).alias("place")).limit(0)
     order = Window.partitionBy("entry").orderBy("depth", "way")
     return done.withColumn("place", F.row_number().over(order)).where(F.col("place") <= 3 * branching).select("entry", "trace", "place")
 

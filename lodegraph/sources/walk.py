@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,6 +30,7 @@ class WalkOptions:
     use_gitignore: bool = True
     ignore_file: str = ".gitignore"
     more_ignores: tuple[str, ...] = ()
+    follow_symlinks: bool = False
 
 
 def first_lines(text: Column, size: Column) -> Column:
@@ -51,6 +53,12 @@ def _bytes(spark: SparkSession, system, where) -> bytes:
         stream.close()
 
 
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text, None if there is no such file."""
+    system, where = _file_system(spark, path)
+    return _bytes(spark, system, where).decode(errors="replace") if system.exists(where) else None
+
+
 def ignore_rules(spark: SparkSession, root: str, options: WalkOptions) -> IgnorePatterns:
     """The defaults, the root's ignore files and more patterns."""
     rules = IgnorePatterns()
@@ -64,7 +72,22 @@ def ignore_rules(spark: SparkSession, root: str, options: WalkOptions) -> Ignore
     return rules
 
 
-def hidden_files(spark: SparkSession, root: str, options: WalkOptions, rules: IgnorePatterns) -> Iterator[list[tuple]]:
+def links(top: str, rules: IgnorePatterns, follow: bool) -> list[str]:
+    """The symbolic links below a local root that are not to be followed: those to folders always, those to files unless
+    ``follow``. Other file systems have none. Only links come to the driver, and no ignored folder is gone into."""
+    if not top.startswith("file:"):
+        return []
+    top, out = _scheme_free(top).rstrip("/"), []
+    for folder, folders, names in os.walk(top):
+        prefix = folder.removeprefix(top).lstrip("/")
+        path = lambda name: f"{prefix}/{name}" if prefix else name  # noqa: B023, E731
+        out += [path(n) for n in folders if os.path.islink(f"{folder}/{n}")]
+        out += [path(n) for n in names if os.path.islink(f"{folder}/{n}") and not (follow and os.path.isfile(f"{folder}/{n}"))]
+        folders[:] = [n for n in folders if not rules.ignores_path(path(n))]
+    return out
+
+
+def hidden_files(spark: SparkSession, root: str, options: WalkOptions, rules: IgnorePatterns, left_out: frozenset[str] = frozenset()) -> Iterator[list[tuple]]:
     """Files that Spark's sources never list, as their name or a folder of theirs begins with ``_`` or ``.`` - package
     files and test folders among them: (path, size, modified_at, content), in batches of about BATCH bytes, however much
     there is. Folders are listed by the driver, as Spark's own sources are, without going into ignored ones.
@@ -76,7 +99,7 @@ def hidden_files(spark: SparkSession, root: str, options: WalkOptions, rules: Ig
         folder, hidden = open_now.pop()
         for status in system.listStatus(folder):
             path = status.getPath().toString().removeprefix(prefix)
-            if rules.ignores_path(path):
+            if path in left_out or rules.ignores_path(path):
                 continue
             unseen = hidden or status.getPath().getName().startswith(("_", "."))
             if status.isDirectory():
@@ -107,7 +130,12 @@ def walk(spark: SparkSession, root: str, options: WalkOptions | None = None) ->
     plain = F.regexp_replace(F.col("path"), "^[a-z]+:/*(?=/)", "")
     relative = F.regexp_replace(plain, "^" + _quoted(_scheme_free(top.toString().rstrip("/"))) + "/", "")
     listed = files.select(relative.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"), "content")
-    more = hidden_files(spark, root, options, rules)
+    left_out = links(top.toString(), rules, options.follow_symlinks)
+    if left_out:
+        known = spark.createDataFrame([(p,) for p in left_out], "above string")
+        below = listed.select("path", F.explode(paths.prefixes(F.col("path"))).alias("above")).join(known, "above", "left_semi").select("path").distinct()
+        listed = listed.join(below, "path", "left_anti")
+    more = hidden_files(spark, root, options, rules, frozenset(left_out))
     batch = next(more, None)
     while batch:
         made, batch = spark.createDataFrame(batch, "path string, size bigint, modified_at timestamp, content binary"), next(more, None)

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodegraph.graph import Graph
-from lodegraph.operators import extract, imports, search
+from lodegraph import commands
+from lodegraph.operators import community, extract, heritage, imports, search, types
 from lodegraph.plans import ingest
 from lodegraph.sources import ignore, language, store, walk
 from lodegraph.streaming import incremental
@@ -192,3 +193,138 @@ def test_changes_as_a_stream(spark, built, tmp_path):
     made = store.load(spark, f"{tmp_path}/out/v0")
     assert [(r["id"], r["name"]) for r in made.nodes.collect()] == [("n1", "b")]
     assert isinstance(made, Graph)
+
+
+SCRIPT = """import {
+  a,
+  b,
+} from './x'
+// import q from 'no'
+export * from "./y"
+export class Repo<T extends Base>
+  extends Store<Map<string, T>>
+  implements Closeable, Flushable {
+  async find(
+    id: string,
+    opts: { deep: boolean },
+  ): Promise<{ a: number }> {
+    if (x(
+       1)) {
+    }
+    return this.load(parse(id, "a,b(c)"), () => 1).then(f);
+  }
+}
+"""
+
+
+def test_declarations_and_calls_over_lines():
+    found = extract.scan_symbols(SCRIPT, "typescript")
+    assert [r[:4] + r[5:6] + r[7:] for r in found] == [("Class", "Repo", 7, 19, -1, None), ("Method", "find", 10, 18, 0, 2)]
+    assert [(r[0], r[3], r[4]) for r in extract.scan_calls(SCRIPT, "typescript")] == [(14, "x", 1), (17, "load", 2), (17, "parse", 2), (17, "then", 1)]
+    assert extract.scan_imports(SCRIPT, "typescript") == [("./x", 1), ("./y", 6)]
+    python = 'import os, sys as s\nclass A(\n    B,\n):\n    """def no(): f(x)"""\n    def m(\n        self,\n        x=g(1),\n    ):\n        return h(i(x))  # j(x)\n'
+    assert [r[:2] + r[7:] for r in extract.scan_symbols(python, "python")] == [("Class", "A", 1), ("Method", "m", 2)]
+    assert [r[3] for r in extract.scan_calls(python, "python")] == ["g", "h", "i"] and extract.scan_imports(python, "python") == [("os", 1), ("sys", 1)]
+    braces = extract.scan_symbols("pub struct P;\nimpl P {\n    pub fn go<'a>(&self, x: &'a str) -> u8 {\n        P::new(x)\n    }\n}\n", "rust")
+    assert [r[:4] + r[5:6] for r in braces] == [("Class", "P", 1, 1, -1), ("Method", "go", 3, 5, -1)]
+    assert extract.scan_symbols("", "python") == extract.scan_calls("", "go") == extract.scan_imports("", "javascript") == []
+
+
+@pytest.mark.parametrize("text", ["foo(\n" * 60_000, "a.b()" + ".c(1)" * 60_000, "f(" * 100_000, "'" * 200_000, "import {" + "a, " * 60_000, "import a\n" * 60_000, "a." * 100_000, "import" + "\n" * 200_000, "a = " * 60_000, "class A {\n x() {\n" * 10_000])
+def test_scans_are_linear(text):
+    began = time.time()
+    for scan in (extract.scan_symbols, extract.scan_calls, extract.scan_imports, types.scan_bindings, types.scan_members):
+        scan(text, "typescript")
+    assert time.time() - began < 20
+
+
+def test_clauses(spark):
+    rows = [("export class Repo<T extends Base> extends Store<Map<string, T>> implements Closeable, Flushable {", "typescript"), ("class A(B, c.D):", "python"), ("class A : Base(x), I {", "kotlin"), ("class A : public B, private C {", "cpp"), ("class A < M::B", "ruby"), ("class A {", "java")]
+    made = spark.createDataFrame(rows, "line string, language string")
+    clause = heritage.class_clause(F.col("line"), F.col("language"))
+    out = [(r["e"], r["i"]) for r in made.select(clause["extends"].alias("e"), clause["implements"].alias("i")).collect()]
+    assert out == [(["Store"], ["Closeable", "Flushable"]), (["B", "c.D"], []), (["Base", "I"], []), (["B", "C"], []), (["M.B"], []), ([], [])]
+
+
+TYPED = [
+    ("a.ts", "export class City {\n  save(): void {}\n}\nexport class Address {\n  getCity(): City { return new City() }\n}\nexport class User {\n  private address: Address;\n}\nexport function getUser(): User { return load() }\nexport class Other {\n  save() {}\n}\n"),
+    ("b.ts", "function main() {\n  const user = getUser()\n  const addr = user.address\n  const city = addr.getCity()\n  let again = city\n  again.save()\n}\n"),
+]
+
+
+def test_types_propagate(spark):
+    files = spark.createDataFrame([(p, c, "typescript") for p, c in TYPED], "path string, content string, language string")
+    env = {(r["file_path"], r["var"]): r["type"] for r in types.type_env(files).collect()}
+    assert {v: t for (p, v), t in env.items() if p == "b.ts"} == {"user": "User", "addr": "Address", "city": "City", "again": "City"}
+    graph = ingest.build(files.select("path", "content"))
+    calls = {(r["source_id"], r["target_id"]) for r in graph.edges.where("kind = 'CALLS'").collect()}
+    assert ("Function:b.ts:main", "Function:a.ts:getUser") in calls
+    schema = "file_path string, ord bigint, var string, how string, base string, member string, type string"
+    chain = [("f", 0, "v0", "declared", None, None, "T")] + [("f", i, f"v{i}", "alias", f"v{i - 1}", None, None) for i in range(1, 40)] + [("f", 99, "x", "alias", "y", None, None), ("f", 99, "y", "alias", "x", None, None), (None, 0, None, "alias", None, None, None)]
+    none = spark.createDataFrame([], "owner string, member string, type string")
+    assert types.propagate(spark.createDataFrame(chain, schema), none).where("type = 'T'").count() == 40
+    assert types.propagate(spark.createDataFrame([], schema), none).count() == 0
+    known = spark.createDataFrame([("A", "m", "X"), ("B", "m", "Y"), ("B", "k", "Z")], "owner string, member string, type string")
+    above = spark.createDataFrame([("A", "B", 1)], "name string, above string, distance int")
+    assert {tuple(r) for r in types.inherited(known, above).where("owner = 'A'").collect()} == {("A", "m", "X"), ("A", "k", "Z")}
+
+
+def test_hits_by_process(spark):
+    flows = spark.createDataFrame([("p1", "L", "intra_community", 3, ["a", "b", "a"]), ("p2", "M", "cross_community", 1, ["b"])], "id string, label string, process_type string, step_count int, trace array<string>")
+    hits = spark.createDataFrame([(1, "a", 0.5), (1, "b", 0.25), (1, "z", 9.0)], "query bigint, doc string, score double")
+    found = {(r["process"], r["process_rank"], r["doc"], r["step"]) for r in search.by_process(hits, flows).collect()}
+    assert found == {("p1", 1, "a", 1), ("p1", 1, "b", 2), ("p2", 2, "b", 1), (None, 3, "z", None)}
+    assert search.by_process(hits, flows, 1).count() == 2 and search.by_process(hits, flows.limit(0)).count() == 3
+
+
+def test_links_are_left_out(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.py").write_text("x = 1\n")
+    (tmp_path / "link.py").symlink_to(tmp_path / "d" / "a.py")
+    (tmp_path / "e").symlink_to(tmp_path / "d")
+    paths = lambda **options: {r["path"] for r in walk.walk(spark, str(tmp_path), walk.WalkOptions(**options)).collect()}
+    assert paths() == {"d/a.py"} and paths(follow_symlinks=True) == {"d/a.py", "link.py"}
+
+
+def test_packages(spark):
+    files = [("node_modules/x/package.json", '{"main": "./lib/x.js"}'), ("node_modules/x/lib/x.js", ""), ("node_modules/y/index.js", ""), ("node_modules/y/package.json", '{"main": "gone.js"}'), ("node_modules/z/other.js", "")]
+    known = imports.packages_of(spark.createDataFrame(files, "path string, content string"))
+    assert {tuple(r) for r in known.collect()} == {("x", "lib/x.js"), ("y", "index.js"), ("z", "")}
+    asked = spark.createDataFrame([("x", "src/a.ts", "typescript"), ("z/deep", "src/a.ts", "typescript"), ("w", "src/a.ts", "typescript")], "import_path string, file_path string, language string")
+    listed = spark.createDataFrame([("src/a.ts", 0)], "path string, ord bigint")
+    assert {r["import_path"]: (r["resolved_path"], r["method"]) for r in imports.resolve_imports(asked, listed, None, known).collect()} == {"x": ("node_modules/x/lib/x.js", "package"), "z/deep": ("node_modules/z/deep", "package"), "w": (None, "unresolved")}
+
+
+def test_commands(spark, tree, tmp_path):
+    home = str(tmp_path / "home")
+    assert commands.status(spark, tree, home) is None and commands.list_repositories(spark, home).count() == 0
+    assert commands.respond(spark, tree, home, "/api/stats")[0] == 500 and commands.respond(spark, tree, home, "/nothing")[0] == 404
+    made = commands.analyze(spark, tree, home, skills=True)
+    assert made["fresh"] and made["version"] is None and made["stats"]["nodes"] > 4
+    assert commands.respond(spark, tree, home, "/api/stats") == (200, made["stats"]) and commands.respond(spark, tree, home, "/health")[0] == 200
+    assert commands.list_repositories(spark, home).first()["nodes"] == made["stats"]["nodes"]
+    assert commands.open_index(spark, tree, home).call("list_repos").first()["node_count"] == made["stats"]["nodes"]
+    assert commands.status(spark, tree, home)["up_to_date"] is False
+    assert commands.clean(spark, home, tree) == [made["index"]] and commands.status(spark, tree, home) is None
+
+
+def test_current_version(spark, tmp_path):
+    git = tmp_path / ".git"
+    (git / "refs" / "heads").mkdir(parents=True)
+    (git / "HEAD").write_text("ref: refs/heads/main\n")
+    assert commands.current_version(spark, str(tmp_path)) is None
+    (git / "packed-refs").write_text("# pack-refs\nabc refs/heads/main\n")
+    assert commands.current_version(spark, str(tmp_path)) == "abc"
+    (git / "refs" / "heads" / "main").write_text("def\n")
+    assert commands.current_version(spark, str(tmp_path)) == "def"
+
+
+def test_clusters_settle(spark):
+    size = 5
+    rows = [(b * size + i, b * size + j) for b in range(8) for i in range(size) for j in range(size) if i < j] + [(b * size, (b + 1) * size) for b in range(7)]
+    both = [(str(a), str(b), 1.0) for a, b in rows] + [(str(b), str(a), 1.0) for a, b in rows]
+    found = community.clusters(spark.createDataFrame(both, "a string, b string, w double"))
+    groups: dict[str, set[int]] = {}
+    for r in found.collect():
+        groups.setdefault(r["component"], set()).add(int(r["node"]) // size)
+    assert found.count() == 40 and max(map(len, groups.values())) <= 2
