@@ -201,15 +201,28 @@ def change_impact(fx):
 
 
 @query(
-    "SELECT file_path, count(*) AS graph_edits, CAST(0 AS INT) AS text_edits FROM (SELECT n.file_path FROM fx_calls c JOIN fx_nodes n ON n.id = c.source_id WHERE c.target_id = (SELECT id FROM busiest) UNION ALL SELECT file_path FROM fx_nodes WHERE id = (SELECT id FROM busiest)) AS u GROUP BY file_path",
+    """SELECT file_path, coalesce(g, 0) AS graph_edits, CAST(coalesce(t, 0) AS INT) AS text_edits FROM
+       (SELECT file_path, count(*) AS g FROM (SELECT n.file_path FROM fx_calls c JOIN fx_nodes n ON n.id = c.source_id WHERE c.target_id = (SELECT id FROM busiest) UNION ALL SELECT file_path FROM fx_nodes WHERE id = (SELECT id FROM busiest)) AS u GROUP BY file_path) AS a
+       FULL JOIN (SELECT file_path, count(*) AS t FROM fx_nodes WHERE name = (SELECT name FROM fx_nodes WHERE id = (SELECT id FROM busiest)) GROUP BY file_path) AS b USING (file_path)""",
     "fx_calls", extra="busiest AS (SELECT target_id AS id FROM fx_calls GROUP BY target_id ORDER BY count(*) DESC, target_id LIMIT 1)",
 )
 def rename_preview(fx):
+    """The most called symbol, in files that have the names of their symbols as text."""
     best = fx.fx_calls.groupBy("target_id").count().orderBy(F.desc("count"), "target_id").first()[0]
-    files = fx.table("documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"))
+    files = fx.fx_nodes.groupBy(F.col("file_path").alias("path")).agg(F.array_join(F.collect_list("name"), "(x); ").alias("content"))
     return search.rename_preview(fx.fx_nodes, fx.fx_calls, files, best)
 
 
+@query("SELECT target_id AS id, 'area' AS label, count(*) AS size FROM fx_member GROUP BY target_id", "fx_member")
+def community_tool(fx):
+    """All communities, as the tool of that name lists them."""
+    from ..tools import Engine
+
+    graph = graph_of(fx)
+    groups = fx.fx_member.select(F.col("target_id").alias("id")).distinct().select("id", F.lit("Community").alias("kind"), F.lit("area").alias("name"))
+    return Engine(graph.add_nodes(groups)).call("community", list_all=True)
+
+
 @query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def event_windows(fx):
     return incremental.windowed_counts(fx.table("events")).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", "total")

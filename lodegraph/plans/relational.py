@@ -381,6 +381,7 @@ def event_props(fx):
 
 @query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM events")
 def step_numbering(fx):
-    from pyspark.sql import Window
-
-    return fx.table("events").select("user_id", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("step"))
+    """A user's events as the trace of a process, its steps numbered."""
+    each = fx.table("events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id")))["event_id"].alias("trace"))
+    steps = process.process_steps(each.withColumnRenamed("user_id", "id"))
+    return steps.select(F.col("id").alias("user_id"), F.col("node_id").alias("event_id"), F.col("step").cast("long").alias("step"))
