@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import time
 from collections.abc import Callable
 
@@ -35,9 +36,7 @@ def build(files: DataFrame, aliases: list[tuple[str, str]] | None = None, on_pro
     typed = calls.receiver_types(sites.join(owners, "source_id", "left"), types.type_env(code), found)
     call_edges = calls.call_edges(calls.resolve(typed, found, links))
     tell("calls", 0.7)
-    clause = heritage.class_clause(F.col("declaration"), F.col("language"))
-    classes = found.where(F.col("kind").isin("Class", "Interface")).select("id", "file_path", (F.col("kind") == "Interface").alias("is_interface"), clause["extends"].alias("extends"), clause["implements"].alias("implements"))
-    inherits = heritage.heritage_edges(classes, found, links)
+    inherits = heritage.heritage_edges(clauses_of(found), found, links)
     tell("heritage", 0.9)
     nodes = file_nodes.unionByName(found.drop("parent_id", "indent", "declaration", "parameter_count"), allowMissingColumns=True)
     edges = contains
@@ -46,6 +45,58 @@ def build(files: DataFrame, aliases: list[tuple[str, str]] | None = None, on_pro
     return Graph.of(nodes, edges)
 
 
+def clauses_of(found: DataFrame) -> DataFrame:
+    """What the classes and interfaces among extracted symbols extend and implement."""
+    clause = heritage.class_clause(F.col("declaration"), F.col("language"))
+    kinds = found.where(F.col("kind").isin("Class", "Interface"))
+    return kinds.select("id", "file_path", (F.col("kind") == "Interface").alias("is_interface"), clause["extends"].alias("extends"), clause["implements"].alias("implements"))
+
+
+class Heritage:
+    """Inheritance over files that come bit by bit. Symbols and imports may be added from elsewhere; parents are looked
+    for among all that has been added when the edges are asked for, whatever came first."""
+
+    def __init__(self) -> None:
+        self._symbols: list[DataFrame] = []
+        self._imports: list[DataFrame] = []
+        self._clauses: list[DataFrame] = []
+
+    def add_symbols(self, symbols: DataFrame) -> Heritage:
+        """``id``, ``kind``, ``name``, ``file_path``, ``ord``."""
+        self._symbols.append(symbols.select("id", "kind", "name", "file_path", F.col("ord").cast("long").alias("ord")))
+        return self
+
+    def add_imports(self, links: DataFrame) -> Heritage:
+        """``from_file``, ``to_file``."""
+        self._imports.append(links.select("from_file", "to_file"))
+        return self
+
+    def add_files(self, files: DataFrame) -> Heritage:
+        """``path``, ``content``, ``language``: their symbols, and what their classes extend."""
+        found = cut(extract.symbols(files))
+        self._clauses.append(clauses_of(found))
+        return self.add_symbols(found)
+
+    def edges(self) -> DataFrame:
+        if not self._clauses:
+            raise ValueError("no files have been added")
+        every = lambda frames: functools.reduce(DataFrame.unionByName, frames) if frames else None
+        return heritage.heritage_edges(every(self._clauses), every(self._symbols), every(self._imports))
+
+    def linearisations(self, classes: DataFrame | None = None) -> DataFrame:
+        """Of the classes asked for (``id``), else of all that extend something."""
+        found = cut(self.edges())
+        return heritage.linearisations(found, classes if classes is not None else found.where("kind = 'EXTENDS'").select(F.col("source_id").alias("id")).distinct())
+
+    def graph(self) -> tuple[DataFrame, DataFrame]:
+        """Classes and interfaces, and the edges between them."""
+        found = cut(self.edges())
+        return heritage.inheritance_nodes(functools.reduce(DataFrame.unionByName, self._symbols), found), found
+
+    def stats(self) -> DataFrame:
+        return heritage.heritage_stats(self.edges())
+
+
 def analyse(graph: Graph, on_progress: Progress | None = None) -> tuple[Graph, DataFrame, DataFrame]:
     """The graph with communities and processes written back; the memberships; the processes."""
     tell = on_progress or (lambda phase, done: None)

@@ -328,3 +328,19 @@ def test_clusters_settle(spark):
     for r in found.collect():
         groups.setdefault(r["component"], set()).add(int(r["node"]) // size)
     assert found.count() == 40 and max(map(len, groups.values())) <= 2
+
+
+def test_inheritance_bit_by_bit(spark):
+    files = lambda *rows: spark.createDataFrame([(p, c, "python") for p, c in rows], "path string, content string, language string")
+    with pytest.raises(ValueError):
+        ingest.Heritage().edges()
+    made = ingest.Heritage().add_files(files(("c.py", "class C(A,\n        B):\n    pass\n")))
+    assert made.edges().count() == 0
+    made.add_files(files(("a.py", "class A:\n    pass\n"), ("b.py", "class B(A0):\n    pass\n")))
+    made.add_symbols(spark.createDataFrame([("Class:x.py:A0", "Class", "A0", "x.py", 0)], "id string, kind string, name string, file_path string, ord int"))
+    made.add_imports(spark.createDataFrame([("c.py", "a.py")], "from_file string, to_file string"))
+    assert {(r["source_id"], r["target_id"]) for r in made.edges().collect()} == {("Class:c.py:C", "Class:a.py:A"), ("Class:c.py:C", "Class:b.py:B"), ("Class:b.py:B", "Class:x.py:A0")}
+    lists = {r["id"]: r["linearization"] for r in made.linearisations().collect()}
+    assert lists["Class:c.py:C"] == ["Class:c.py:C", "Class:a.py:A", "Class:b.py:B", "Class:x.py:A0"]
+    nodes, edges = made.graph()
+    assert nodes.count() == 4 and edges.count() == 3 and made.stats().first()["n"] == 3
