@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodegraph import graph as G
 from lodegraph.functions import paths, text
-from lodegraph.operators import heritage, traverse
+from lodegraph.operators import heritage, iterate, traverse
 
 NODE = "id string, kind string, name string, file_path string, start_line int, end_line int, language string, is_exported boolean, ord bigint"
 EDGE = "id string, source_id string, target_id string, kind string, confidence double, ord bigint"
@@ -169,3 +169,26 @@ def test_shortest_paths_against_plain_search(spark):
                     level.setdefault(m, path)
         out = traverse.shortest_paths(edges, spark.createDataFrame(asked, "src string, dst string"), directed).collect()
         assert {(x["src"], x["dst"]): (x["length"], x["path"]) for x in out} == {p: (len(best[p]) - 1, best[p]) if p in best else (-1, []) for p in asked}
+
+
+def chains(spark, count, length):
+    """Chains of nodes, the numbers of one after those of another."""
+    ids = [(f"Function:c{c:03}/{i}", "Function", c * length + i) for c in range(count) for i in range(length)]
+    nodes = spark.createDataFrame(ids, "id string, kind string, ord bigint")
+    edges = [(a[0], b[0]) for a, b in zip(ids, ids[1:]) if a[2] // length == b[2] // length]
+    return nodes, spark.createDataFrame(edges, "source_id string, target_id string")
+
+
+def test_reach_by_number_keeps_starts_together(spark, monkeypatch):
+    """Starts of a part of the graph share a block, so that a node has a row for its part's starts and none for others;
+    what is shuffled on the way is not kept."""
+    nodes, edges = chains(spark, 4, 64)
+    names = iterate.numbered(nodes)
+    ends = [names.select(F.col("id").alias(c), F.col("n").alias(n)) for c, n in (("source_id", "src"), ("target_id", "dst"))]
+    pairs = edges.join(ends[0], "source_id").join(ends[1], "target_id").select("src", "dst")
+    written, cut = [], iterate.cut
+    monkeypatch.setattr(iterate, "cut", lambda df: written.append(cut(df)) or written[-1])
+    told = iterate.reach(pairs, names.select(F.col("n").alias("root")), None, names)
+    want = {(f"Function:c{c:03}/{i}", f"Function:c{c:03}/{j}", j - i) for c in range(4) for i in range(64) for j in range(i, 64)}
+    assert {tuple(r) for r in told.collect()} == want
+    assert max(t.count() for t in written) == 4 * 64
