@@ -192,3 +192,14 @@ def test_reach_by_number_keeps_starts_together(spark, monkeypatch):
     want = {(f"Function:c{c:03}/{i}", f"Function:c{c:03}/{j}", j - i) for c in range(4) for i in range(64) for j in range(i, 64)}
     assert {tuple(r) for r in told.collect()} == want
     assert max(t.count() for t in written) == 4 * 64
+
+
+def test_by_depth_shuffles_no_reached_rows(spark):
+    nodes, edges = chains(spark, 2, 5)
+    names = iterate.numbered(nodes)
+    n = {r["id"]: r["n"] for r in names.collect()}
+    pairs = spark.createDataFrame([(n[a], n[b]) for a, b in edges.collect()], "src bigint, dst bigint")
+    told = traverse.by_depth(iterate.reach(pairs, names.select(F.col("n").alias("root")), 3, names, by_block=True))
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(root" not in plan
+    assert {(r["root"], r["depth"]): r["nodes"] for r in told.collect()}["Function:c001/1", 2] == ["Function:c001/3"]
