@@ -933,3 +933,17 @@ def test_pipeline_drops_short_lines(docs, spark):
     assert out[0] == texts[0] and set(out) == {0, 1, 2, 3}
     for i in range(1, 4):
         assert out[i].split("\n") == [f"own{i} line", *blank, "on two sites" if i < 2 else f"other{i}"]
+
+
+def test_near_copies_meet_by_fingerprint(docs, spark, monkeypatch):
+    """The stage's pairs come from op8's balls too: without any band, texts within 4 bits are found and then compared."""
+    from lodegraph.llm import minhash
+
+    draw = random.Random(3)
+    base = [f"w{draw.randrange(9999)}" for _ in range(400)]
+    texts = [" ".join(base), " ".join(base[:-1] + ["other"]), " ".join(f"v{draw.randrange(9999)}" for _ in range(300)), ""]
+    near = bin(simhash.fingerprint(texts[0].encode()) ^ simhash.fingerprint(texts[1].encode())).count("1")
+    assert 0 <= near <= 4
+    monkeypatch.setattr(minhash, "candidates", lambda distinct: spark.createDataFrame([], "a bigint, b bigint"))
+    told = {r["doc_id"]: r["component_id"] for r in minhash.near_copies(docs(texts)).collect()}
+    assert told == {0: 0, 1: 0, 2: 2, 3: 3}
