@@ -203,3 +203,12 @@ def test_by_depth_shuffles_no_reached_rows(spark):
     plan = told._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(root" not in plan
     assert {(r["root"], r["depth"]): r["nodes"] for r in told.collect()}["Function:c001/1", 2] == ["Function:c001/3"]
+
+
+@pytest.mark.parametrize("name", ["call_traces", "process_stats", "process_write_back"])
+def test_flows_read_calls_once(spark, name):
+    """The calls are a written table before the rounds begin: what is returned reads no line of the table below them."""
+    from lodegraph import catalog
+
+    told = catalog.queries()[name](spark, "/root/testdata/sf0.001")
+    assert not [f for f in told.inputFiles() if "lineitem" in f]
