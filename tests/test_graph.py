@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodegraph import graph as G
 from lodegraph.functions import paths, text
-from lodegraph.operators import heritage, iterate, traverse
+from lodegraph.operators import calls, heritage, iterate, traverse
 
 NODE = "id string, kind string, name string, file_path string, start_line int, end_line int, language string, is_exported boolean, ord bigint"
 EDGE = "id string, source_id string, target_id string, kind string, confidence double, ord bigint"
@@ -205,6 +205,16 @@ def test_by_depth_shuffles_no_reached_rows(spark):
     assert {(r["root"], r["depth"]): r["nodes"] for r in told.collect()}["Function:c001/1", 2] == ["Function:c001/3"]
 
 
+def test_sites_are_worked_out_once_for_types(spark):
+    """Types are looked up three ways; the sites below are read for them once, and once for the rows told."""
+    sites = spark.createDataFrame([("s1", "save", "f", "T"), ("s2", "load", "f", None)], "site string, called_name string, file_path string, receiver_type string")
+    symbols = spark.createDataFrame([("Method:T/save", "Method", "save"), ("Method:U/save", "Method", "save")], "id string, kind string, name string")
+    told = calls.resolve(sites, symbols)
+    plan = told._jdf.queryExecution().analyzed().toString()
+    assert plan.count("LogicalRDD [site") == 1
+    assert {r["site"]: r["target_id"] for r in told.collect()} == {"s1": "Method:T/save", "s2": None}
+
+
 @pytest.mark.parametrize("name", ["call_traces", "process_stats", "process_write_back"])
 def test_flows_read_calls_once(spark, name):
     """The calls are a written table before the rounds begin: what is returned reads no line of the table below them."""
