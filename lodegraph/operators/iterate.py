@@ -105,9 +105,20 @@ def reach(pairs: DataFrame, starts: DataFrame, max_depth: int | None = None, nam
     before it is shuffled, and ids come in at the end, before blocks become starts. ``by_block`` adds a column ``block``, by
     which the rows already lie together: what groups by it and ``root`` shuffles none of them.
     """
+    every, roots = met(pairs, starts, max_depth, names is not None)
+    if names is not None:
+        every = every.join(names.select(F.col("n").alias("node"), "id"), "node").select(F.col("id").alias("node"), "block", "new", "depth")
+        roots = roots.join(names.select(F.col("n").alias("root"), "id"), "root").select(F.col("id").alias("root"), "block", "bit")
+    every = every.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block") if by_block else every
+    return every.join(roots, "block").where(F.expr("shiftright(new, bit) & 1 = 1")).select("root", "node", "depth", *["block"] * by_block)
+
+
+def met(pairs: DataFrame, starts: DataFrame, max_depth: int | None, by_number: bool) -> tuple[DataFrame, DataFrame]:
+    """What :func:`reach` finds, in blocks: ``node``, ``block``, ``new`` (bits of the starts that first meet the node there)
+    and ``depth``; and the starts: ``root``, ``block``, ``bit``."""
     spark = pairs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    place = F.pmod(F.xxhash64("src"), F.lit(8 * parts)) if names is None else F.shiftright("src", WITHIN)
+    place = F.pmod(F.xxhash64("src"), F.lit(8 * parts)) if not by_number else F.shiftright("src", WITHIN)
     held = pairs.where("src <> dst").select(place.alias("place"), "src", "dst").repartition(parts, "place").distinct().sortWithinPartitions("place", "src")
     held = held.persist(StorageLevel.DISK_ONLY)
     one = F.lit(1).cast("bigint")
@@ -126,19 +137,15 @@ def reach(pairs: DataFrame, starts: DataFrame, max_depth: int | None = None, nam
             found = front.join(held, ["place", "src"]).groupBy(F.col("dst").alias("node"), "block").agg(F.bit_or("new").alias("found"))
             both = found.select("node", "block", none.alias("seen"), "found").unionAll(level.select("node", "block", "seen", none))
             both = both.groupBy("node", "block").agg(F.bit_or("seen").alias("seen"), F.bit_or("found").alias("found"))
-            seen, met = F.col("seen"), F.col("found")
-            level = cut(both.select("node", "block", met.bitwiseAND(F.bitwise_not(seen)).alias("new"), seen.bitwiseOR(met).alias("seen")))
+            seen, now = F.col("seen"), F.col("found")
+            level = cut(both.select("node", "block", now.bitwiseAND(F.bitwise_not(seen)).alias("new"), seen.bitwiseOR(now).alias("seen")))
             if level.where("new <> 0").isEmpty():
                 break
             levels.append(level)
     held.unpersist()
     told = [table.where("new <> 0").select("node", "block", "new", F.lit(depth).alias("depth")) for depth, table in enumerate(levels)]
     every = functools.reduce(DataFrame.unionByName, told)
-    if names is not None:
-        every = every.join(names.select(F.col("n").alias("node"), "id"), "node").select(F.col("id").alias("node"), "block", "new", "depth")
-        roots = roots.join(names.select(F.col("n").alias("root"), "id"), "root").select(F.col("id").alias("root"), "block", "bit")
-    every = every.repartition(parts, "block") if by_block else every
-    return every.join(roots, "block").where(F.expr("shiftright(new, bit) & 1 = 1")).select("root", "node", "depth", *["block"] * by_block)
+    return every, roots
 
 
 def first_by(df: DataFrame, keys: list[str], order: Column) -> DataFrame:

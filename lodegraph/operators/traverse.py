@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .iterate import cut, reach, steps
+from .iterate import cut, met, reach, steps
 
 
 def khop(edges: DataFrame, starts: DataFrame, hops: int, direction: str = "both", include_start: bool = False) -> DataFrame:
@@ -59,28 +59,39 @@ def context(nodes: DataFrame, edges: DataFrame, starts: DataFrame, depth: int =
     return out
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, directed: bool = True, max_depth: int | None = None) -> DataFrame:
+def shortest_paths(edges: DataFrame, pairs: DataFrame, directed: bool = True, max_depth: int | None = None, names: DataFrame | None = None) -> DataFrame:
     """``pairs`` (``src``, ``dst``) with ``length`` (edges, -1 if there is none, or none within ``max_depth``
     where that is given) and ``path`` (node ids with both ends; empty if there is none). From a node to itself the length
-    is 0.
+    is 0. With ``names`` (``id``, ``n``) edges hold numbers, and ``pairs`` and what is told are ids.
 
     Of several shortest paths the one with the smallest sequence of ids. How far every node is from the targets is found
     first, level by level for all targets at once; then each pair walks from its source to the smallest of the next
-    nodes that are a step nearer. So paths are made for the pairs only, and grow by a node a round.
+    nodes that are a step nearer. So paths are made for the pairs only, and grow by a node a round. Distances stay in
+    blocks of targets, and are looked up there for a pair's own target.
     """
     ways = cut(steps(edges, "out" if directed else "both").where("src <> dst").distinct())
     back = ways.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    away = cut(reach(back, pairs.select(F.col("dst").alias("root")).distinct(), max_depth).withColumnsRenamed({"root": "dst", "node": "at"}))
-    ends = cut(pairs.select("src", "dst").distinct().join(away.withColumnsRenamed({"at": "src", "depth": "length"}), ["src", "dst"]))
-    live = ends.select("src", "dst", F.col("src").alias("at"), F.array("src").alias("path"), F.col("length").alias("left"))
+    asked = pairs.select("src", "dst").distinct()
+    if names is None:
+        asked = cut(asked.select("src", "dst", F.col("src").alias("at"), F.col("dst").alias("to")))
+    else:
+        a, b = (names.select(F.col("id").alias(x), F.col("n").alias(y)) for x, y in (("src", "at"), ("dst", "to")))
+        asked = cut(asked.join(a, "src").join(b, "dst").select("src", "dst", "at", "to"))
+    away, targets = met(back, asked.select(F.col("to").alias("root")), max_depth, names is not None)
+    own = F.expr("shiftright(new, bit) & 1 = 1")
+    ends = asked.join(targets.withColumnRenamed("root", "to"), "to").join(away.withColumnRenamed("node", "at"), ["at", "block"]).where(own)
+    ends = cut(ends.select("src", "dst", "at", "block", "bit", F.col("depth").alias("length")))
+    live = ends.select("src", "dst", "at", F.array("src").alias("path"), F.col("length").alias("left"), "block", "bit")
     done = live.where("left = 0").select("src", "dst", "path")
     for _ in range(ends.agg(F.max("length")).first()[0] or 0):
-        onward = live.where("left > 0").join(ways.withColumnsRenamed({"src": "at", "dst": "next"}), "at")
-        nearer = away.select("dst", F.col("at").alias("next"), (F.col("depth") + 1).alias("left"))
-        best = onward.join(nearer, ["dst", "next", "left"]).groupBy("src", "dst").agg(F.min("next").alias("next"), F.first("path").alias("path"), F.first("left").alias("left"))
-        live = cut(best.select("src", "dst", F.col("next").alias("at"), F.concat("path", F.array("next")).alias("path"), (F.col("left") - 1).alias("left")))
+        onward = live.where("left > 0").join(ways.withColumnsRenamed({"src": "at", "dst": "next"}), "at").drop("at")
+        nearer = away.select(F.col("node").alias("next"), "block", "new", (F.col("depth") + 1).alias("left"))
+        onward = onward.join(nearer, ["next", "block", "left"]).where(own)
+        onward = onward.withColumn("id", F.col("next")) if names is None else onward.join(names.select(F.col("n").alias("next"), "id"), "next")
+        best = onward.groupBy("src", "dst", "left", "block", "bit").agg(F.min(F.struct("id", "next")).alias("best"), F.first("path").alias("path"))
+        live = cut(best.select("src", "dst", F.col("best.next").alias("at"), F.concat("path", F.array("best.id")).alias("path"), (F.col("left") - 1).alias("left"), "block", "bit"))
         done = done.unionByName(live.where("left = 0").select("src", "dst", "path"))
-    found = pairs.join(ends, ["src", "dst"], "left").join(done, ["src", "dst"], "left")
+    found = pairs.join(ends.select("src", "dst", "length"), ["src", "dst"], "left").join(done, ["src", "dst"], "left")
     return found.select("src", "dst", F.coalesce("length", F.lit(-1)).alias("length"), F.coalesce("path", F.array().cast("array<string>")).alias("path"))
 
 

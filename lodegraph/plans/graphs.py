@@ -102,6 +102,12 @@ def pairs(fx):
     return on.join(starts.withColumnRenamed("src", "dst"), "ord").select("src", "dst").unionAll(starts.select("src", F.lit("Function:none").alias("dst")))
 
 
+def pair_names(fx):
+    """The numbers of the nodes, and one for the node that is not there: a pair of it has a length too, if to itself."""
+    none = fx.spark.createDataFrame([("Function:none", -1)], "id string, n bigint")
+    return fx.numbers.select("id", "n").unionAll(none)
+
+
 def away_sql(name: str, ways: str) -> str:
     """How far every node is from each target (dst) of the pairs over ``ways`` (a, b), in any number of steps."""
     return f"""{name}(dst, node, depth) USING KEY (dst, node) AS (SELECT DISTINCT dst, dst, 0 FROM fx_pairs UNION
@@ -116,13 +122,13 @@ SHORTEST = f"""{ROOTS}, {PAIRS}, {CALLED}, {away_sql("away", "called")},
 
 @query("SELECT p.src, p.dst, CAST(coalesce(len(k.path) - 1, -1) AS INT) AS length, coalesce(array_to_string(k.path, ' > '), '') AS path FROM fx_pairs p LEFT JOIN walked k ON k.src = p.src AND k.dst = p.dst AND k.near = 0", "fx_calls", extra=SHORTEST)
 def shortest_path_nodes(fx):
-    return traverse.shortest_paths(fx.fx_calls, pairs(fx)).select("src", "dst", "length", F.array_join("path", " > ").alias("path"))
+    return traverse.shortest_paths(fx.numbered_calls, pairs(fx), names=pair_names(fx)).select("src", "dst", "length", F.array_join("path", " > ").alias("path"))
 
 
 @query("SELECT p.src, p.dst, CAST(coalesce(y.depth, -1) AS INT) AS length FROM fx_pairs p LEFT JOIN away y ON y.node = p.src AND y.dst = p.dst", "fx_calls",
        extra=f"""{ROOTS}, {PAIRS}, {CALLED}, two AS (SELECT a, b FROM called UNION SELECT b, a FROM called), {away_sql("away", "two")}""")
 def shortest_path_undirected(fx):
-    return traverse.shortest_paths(fx.fx_calls, pairs(fx), False).select("src", "dst", "length")
+    return traverse.shortest_paths(fx.numbered_calls, pairs(fx), False, names=pair_names(fx)).select("src", "dst", "length")
 
 
 @query("SELECT src, dst, array_to_string(path, ' > ') AS path FROM grown WHERE tip = dst AND len(path) > 1", "fx_calls",

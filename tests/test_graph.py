@@ -222,3 +222,17 @@ def test_flows_read_calls_once(spark, name):
 
     told = catalog.queries()[name](spark, "/root/testdata/sf0.001")
     assert not [f for f in told.inputFiles() if "lineitem" in f]
+
+
+def test_shortest_paths_keep_distances_in_blocks(spark, monkeypatch):
+    """How far nodes are from 64 targets is a row a node and level where targets are met, not one for each target."""
+    _, edges = chains(spark, 1, 70)
+    names = [f"Function:c000/{i}" for i in range(70)]
+    pairs = spark.createDataFrame([(names[0], n) for n in names[:8]] + [(n, n) for n in names[:64]], "src string, dst string").distinct()
+    hub = edges.unionAll(spark.createDataFrame([(n, names[0]) for n in names[1:]] , edges.schema))
+    written, cut = [], iterate.cut
+    for module in (iterate, traverse):
+        monkeypatch.setattr(module, "cut", lambda df: written.append(cut(df)) or written[-1])
+    told = {(r["src"], r["dst"]): (r["length"], r["path"]) for r in traverse.shortest_paths(hub, pairs, max_depth=3).collect()}
+    assert told[names[0], names[3]] == (3, names[:4]) and told[names[0], names[7]] == (-1, []) and told[names[5], names[5]] == (0, [names[5]])
+    assert max(t.count() for t in written) <= 2 * 70
