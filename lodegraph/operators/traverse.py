@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,26 +98,50 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, directed: bool = True, ma
     return found.select("src", "dst", F.coalesce("length", F.lit(-1)).alias("length"), F.coalesce("path", F.array().cast("array<string>")).alias("path"))
 
 
-def all_paths(edges: DataFrame, pairs: DataFrame, max_edges: int = 5) -> DataFrame:
+def all_paths(edges: DataFrame, pairs: DataFrame, max_edges: int = 5, names: DataFrame | None = None) -> DataFrame:
     """Every simple directed path from ``src`` to ``dst`` of 1 to ``max_edges`` edges, once for each choice among
     parallel edges: ``src``, ``dst``, ``path``. A path ends where it first meets its target. The wrappers that stop
-    short of their limit pass one less.
+    short of their limit pass one less. With ``names`` (``id``, ``n``) edges hold numbers, and ``pairs`` and what is told are ids.
 
-    A row stands for a path so far. Paths that cannot come to their target in the steps they have left are dropped, by the
-    targets' distances, worked out backwards first.
+    Paths grow from the sources and, backwards, from the targets, to half of the length each and once for all pairs of an
+    end; an edge from a head to a tail joins those of a pair. Heads and tails are known by number until then, so what is
+    shuffled in the middle are three numbers a row, and no row holds a path for one pair that others would hold again.
     """
-    ways = cut(steps(edges, "out"))
-    away = reach(ways.select(F.col("dst").alias("src"), F.col("src").alias("dst")), pairs.select(F.col("dst").alias("root")).distinct(), max_edges)
-    away = cut(away.select(F.col("root").alias("dst"), F.col("node").alias("at"), F.col("depth").alias("left")))
-    live = pairs.distinct().where("src <> dst").select("src", "dst", F.col("src").alias("at"), F.array("src").alias("path"))
-    done = None
-    for used in range(1, max_edges + 1):
-        grown = live.join(ways.withColumnsRenamed({"src": "at", "dst": "next"}), "at").where(~F.array_contains("path", F.col("next")))
-        grown = grown.select("src", "dst", F.col("next").alias("at"), F.concat("path", F.array("next")).alias("path"))
-        grown = cut(grown.join(away, ["dst", "at"]).where(F.col("left") <= max_edges - used).drop("left"))
-        hit = grown.where(F.col("at") == F.col("dst")).select("src", "dst", "path")
-        done = hit if done is None else done.unionByName(hit)
-        live = grown.where(F.col("at") != F.col("dst"))
-        if live.isEmpty():
-            break
-    return done
+    ways = steps(edges, "out").where("src <> dst")
+    ways = cut(ways) if names is None else ways
+    back = ways.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    asked = pairs.select("src", "dst").distinct().where("src <> dst")
+    if names is None:
+        asked = cut(asked.select("src", "dst", F.col("src").alias("start"), F.col("dst").alias("end")))
+    else:
+        a, b = (names.select(F.col("id").alias(x), F.col("n").alias(y)) for x, y in (("src", "start"), ("dst", "end")))
+        asked = cut(asked.join(a, "src").join(b, "dst").select("src", "dst", "start", "end"))
+
+    number = F.monotonically_increasing_id()
+
+    def grown(over: DataFrame, first: DataFrame, times: int, ahead: bool) -> list[DataFrame]:
+        """``first``, ``at``, ``path`` and a ``number`` of the simple paths of 0 to ``times`` edges from the rows of ``first``."""
+        level = cut(first.select("first", F.col("first").alias("at"), F.array("id").alias("path"), number.alias("number")))
+        levels = [level]
+        for _ in range(times):
+            on = level.join(over.withColumnsRenamed({"src": "at", "dst": "next"}), "at").drop("at")
+            on = on.withColumn("id", F.col("next")) if names is None else on.join(names.select(F.col("n").alias("next"), "id"), "next")
+            path = F.concat("path", F.array("id")) if ahead else F.concat(F.array("id"), "path")
+            level = cut(on.where(~F.array_contains("path", F.col("id"))).select("first", F.col("next").alias("at"), path.alias("path"), number.alias("number")))
+            levels.append(level)
+        return levels
+
+    behind = max_edges // 2
+    heads = grown(ways, asked.select(F.col("start").alias("first"), F.col("src").alias("id")).distinct(), max(0, max_edges - behind - 1), True)
+    tails = grown(back, asked.select(F.col("end").alias("first"), F.col("dst").alias("id")).distinct(), behind, False)
+    short = functools.reduce(DataFrame.unionByName, heads).join(asked.select(F.col("start").alias("first"), F.col("end").alias("at"), "src", "dst"), ["first", "at"]).select("src", "dst", "path")
+    if max_edges < 1:
+        return short.limit(0)
+    head = heads[-1].withColumnRenamed("number", "head")
+    tail = functools.reduce(DataFrame.unionByName, [t.withColumn("tail", F.col("number") * len(tails) + i).drop("number") for i, t in enumerate(tails)])
+    middle = head.select("head", F.col("first").alias("start"), "at").join(ways.withColumnsRenamed({"src": "at", "dst": "next"}), "at").where("next <> start").select("next", "start", "head")
+    wanted = tail.select(F.col("first").alias("end"), F.col("at").alias("next"), "tail").join(asked.select("start", "end"), "end").select("next", "start", "tail")
+    met_there = cut(middle.join(wanted, ["next", "start"]).select("head", "tail"))
+    told = met_there.join(head.select("head", "path"), "head").drop("head").join(tail.select("tail", F.col("path").alias("rest")), "tail")
+    told = told.where(~F.arrays_overlap("path", "rest"))
+    return told.select(F.get("path", F.lit(0)).alias("src"), F.element_at("rest", -1).alias("dst"), F.concat("path", "rest").alias("path")).unionByName(short)

@@ -136,7 +136,7 @@ def shortest_path_undirected(fx):
        grown AS (SELECT src, dst, src AS tip, [src] AS path FROM fx_pairs WHERE src <> dst UNION ALL SELECT g.src, g.dst, s.b, list_append(g.path, s.b) FROM grown g JOIN steps s ON s.a = g.tip JOIN away y ON y.dst = g.dst AND y.node = s.b
          WHERE g.tip <> g.dst AND NOT list_contains(g.path, s.b) AND len(g.path) + y.depth <= 5)""")
 def all_simple_paths(fx):
-    return traverse.all_paths(fx.fx_calls, pairs(fx)).select("src", "dst", F.array_join("path", " > ").alias("path"))
+    return traverse.all_paths(fx.numbered_calls, pairs(fx), names=fx.numbers).select("src", "dst", F.array_join("path", " > ").alias("path"))
 
 
 # --- communities ---

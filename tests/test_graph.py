@@ -236,3 +236,40 @@ def test_shortest_paths_keep_distances_in_blocks(spark, monkeypatch):
     told = {(r["src"], r["dst"]): (r["length"], r["path"]) for r in traverse.shortest_paths(hub, pairs, max_depth=3).collect()}
     assert told[names[0], names[3]] == (3, names[:4]) and told[names[0], names[7]] == (-1, []) and told[names[5], names[5]] == (0, [names[5]])
     assert max(t.count() for t in written) <= 2 * 70
+
+
+@pytest.mark.parametrize("limit", [0, 1, 2, 3, 4, 5])
+def test_all_paths_against_plain_search(spark, limit):
+    """Paths over cycles, parallel edges and an edge to itself, by id and by number."""
+    r = random.Random(limit)
+    names = [f"n{i}" for i in range(9)]
+    links = [(r.choice(names), r.choice(names)) for _ in range(24)] + [("n1", "n2")] * 2 + [("n3", "n3")]
+    asked = [("n1", "n2"), ("n1", "n2"), ("n2", "n1"), ("n4", "n4"), ("n0", "n8"), ("n0", "n7"), ("n5", "gone")]
+
+    def search(path, dst):
+        if path[-1] == dst:
+            return [tuple(path)]
+        return [p for a, b in links if a == path[-1] and b not in path and len(path) <= limit for p in search([*path, b], dst)]
+
+    want = sorted(p for a, b in set(asked) if a != b for p in search([a], b))
+    pairs = spark.createDataFrame(asked, "src string, dst string")
+    edges = edges_of(spark, [(a, b, "CALLS", 1.0) for a, b in links])
+    number = spark.createDataFrame([(n, 7 * i) for i, n in enumerate(names)], "id string, n bigint")
+    by_number = edges.select("source_id", "target_id").replace({n: str(7 * i) for i, n in enumerate(names)}).selectExpr("bigint(source_id) source_id", "bigint(target_id) target_id")
+    for told in (traverse.all_paths(edges, pairs, limit), traverse.all_paths(by_number, pairs, limit, names=number)):
+        rows = told.collect()
+        assert sorted(tuple(x["path"]) for x in rows) == want and all((x["path"][0], x["path"][-1]) == (x["src"], x["dst"]) for x in rows)
+
+
+def test_all_paths_grow_once_for_all_pairs(spark, monkeypatch):
+    """Sources that share their ways meet targets that nothing leads to: what is written holds no path for each pair, and
+    none beyond half of the length."""
+    wide = [[f"{x}{i}" for i in range(6)] for x in "abcd"]
+    links = [("s", m) for m in wide[0]] + [(m, n) for x, y in zip(wide, wide[1:]) for m in x for n in y] + [("d0", "t0")]
+    edges = edges_of(spark, [(a, b, "CALLS", 1.0) for a, b in links])
+    pairs = spark.createDataFrame([("s", x) for x in [f"d{i}" for i in range(6)] + ["t0"]], "src string, dst string")
+    written, cut = [], iterate.cut
+    monkeypatch.setattr(traverse, "cut", lambda df: written.append(cut(df)) or written[-1])
+    assert traverse.all_paths(edges, pairs).count() == 6 * 6**3 + 6**3
+    # ways, pairs, heads and tails; then a row of two numbers for each path
+    assert max(t.count() for t in written if "head" not in t.columns) <= len(links) + 7 * 6**2 and all(t.count() <= 7 * 6**3 for t in written)
