@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .imports import linked
 from .iterate import cut, reach
 
 
@@ -162,9 +163,11 @@ def find_symbols(asked: DataFrame, symbols: DataFrame, imports: DataFrame | None
     """``asked`` (``name``, ``file_path``) with ``id``: the first symbol of that name in the same file, else in an
     imported file, else anywhere; for a dotted name that is nowhere, the same with its last part; else null.
 
-    ``imports`` has ``from_file`` and ``to_file``.
+    ``imports`` has ``from_file`` and ``to_file``. Of the files that have a name, in order of its first symbol there, each
+    is the one for those importing files that have none before it, 64 of them at once: what is asked meets only these,
+    and neither the files a file imports nor all those that have a name.
     """
-    whole = asked.select("name", "file_path").distinct()
+    whole = cut(asked.select("name", "file_path").distinct())
     tries = whole.select("name", "file_path", F.lit(0).alias("try"), F.col("name").alias("wanted"))
     last = F.substring_index("name", ".", -1)
     tries = tries.unionAll(whole.where(F.col("name").contains(".")).select("name", "file_path", F.lit(1), last))
@@ -172,13 +175,24 @@ def find_symbols(asked: DataFrame, symbols: DataFrame, imports: DataFrame | None
     order = F.struct("ord", "id")
     by_file = symbols.groupBy(F.col("name").alias("wanted"), F.col("file_path").alias("in_file")).agg(F.min(order).alias("first"))
     by_name = symbols.groupBy(F.col("name").alias("wanted")).agg(F.min(order).alias("first"))
+    if imports is not None:
+        number = F.monotonically_increasing_id()
+        by_file = cut(by_file.repartitionByRange("first").sortWithinPartitions("first").withColumn("n", number))
+        names = cut(by_file.select("wanted").distinct().withColumn("k", number))
+        blocks, masks = linked(imports, whole.select("file_path"))
+        tried = by_file.join(names, "wanted").join(masks.withColumnRenamed("to_file", "in_file"), "in_file").select("k", "block", "n", "mask")
+        earlier = F.bit_or("mask").over(Window.partitionBy("k", "block").orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
+        new = F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce(earlier, F.lit(0).cast("bigint"))))
+        new = cut(tried.select("k", "block", "n", new.alias("new")).where("new <> 0"))
+        new = new.join(by_file.select("n", "first"), "n").join(names, "k").select("wanted", "block", "new", "first")
+        linked_to = tries.join(blocks, "file_path").join(new, ["wanted", "block"]).where(F.expr("shiftright(new, bit) & 1 = 1"))
+        linked_to = cut(linked_to.select("name", "file_path", "try", F.lit(1).alias("tier"), "first"))
     found = tries.withColumn("in_file", F.col("file_path")).join(by_file, ["wanted", "in_file"]).select("name", "file_path", "try", F.lit(0).alias("tier"), "first")
     if imports is not None:
-        links = imports.select(F.col("from_file").alias("file_path"), F.col("to_file").alias("in_file")).distinct()
-        found = found.unionByName(tries.join(links, "file_path").join(by_file, ["wanted", "in_file"]).select("name", "file_path", "try", F.lit(1).alias("tier"), "first"))
+        found = found.unionByName(linked_to)
     found = found.unionByName(tries.join(by_name, "wanted").select("name", "file_path", "try", F.lit(2).alias("tier"), "first"))
-    best = found.groupBy("name", "file_path").agg(F.min(F.struct("try", "tier", "first"))["first"]["id"].alias("id"))
-    return whole.join(best, ["name", "file_path"], "left").select("name", "file_path", "id")
+    best = found.groupBy(F.col("name").alias("_name"), F.col("file_path").alias("_path")).agg(F.min(F.struct("try", "tier", "first"))["first"]["id"].alias("id"))
+    return whole.join(best, (F.col("name") == F.col("_name")) & F.col("file_path").eqNullSafe(F.col("_path")), "left").select("name", "file_path", "id")
 
 
 def class_clause(line: Column, language: Column) -> dict[str, Column]:

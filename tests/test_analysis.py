@@ -195,3 +195,48 @@ def test_names_on_a_third_of_all_rows(spark, monkeypatch):
     for _, _, path, name, *_ in rows:
         tier = lambda f: 0 if f == path else 1 if (path, f) in imports else 2  # noqa: B023, E731
         assert found[name, path] == min(((tier(s[3]), o, s[0]) for o, s in enumerate(symbols) if s[2] == name), default=(0, 0, None))[2]
+
+
+def most_rows(df):
+    """Rows of the largest step of a plan, once it has run."""
+    df.collect()
+
+    def walk(plan):
+        told = plan.metrics().get("numOutputRows")
+        below = plan.children()
+        return max([told.get().value() if told.isDefined() else 0, *[walk(below.apply(i)) for i in range(below.size())]])
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+@pytest.fixture
+def steps_of(spark, monkeypatch):
+    """The rows of the largest step of each written table, as heritage, calls and imports write them."""
+    from lodegraph.operators import imports
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    seen = []
+    for module in (heritage, calls, imports):
+        monkeypatch.setattr(module, "cut", lambda df, cut=module.cut: seen.append(most_rows(df)) or cut(df))
+    yield seen
+    spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def dense(spark):
+    """40 names in each of 60 files, all files importing all, but for f59, which imports the last only."""
+    nodes = nodes_of(spark, [(f"Function:f{f}:n{n}", "Function", f"n{n}", f"f{f}", 1, True) for f in range(60) for n in range(40) if (f + n) % 3])
+    links = spark.createDataFrame([(f"f{a}", f"f{b}") for a in range(60) for b in range(60) if a < 59 or b == 58], "from_file string, to_file string")
+    return nodes, links
+
+
+def test_symbols_of_names_and_links_that_are_many(spark, steps_of):
+    """What is asked is not joined with a file's links, and the files of a name stand for all that link to them."""
+    nodes, links = dense(spark)
+    rows = [(f"n{n}", f"f{f}") for f in range(60) for n in range(40)] + [("x.n1", "f3"), ("n1", "elsewhere"), ("n1", None), ("none", "f1")]
+    told = heritage.find_symbols(spark.createDataFrame(rows, "name string, file_path string"), nodes, links)
+    steps_of.append(most_rows(told))
+    found = {(r["name"], r["file_path"]): r["id"] for r in told.collect()}
+    assert max(steps_of) < 4 * len(rows)
+    assert len(found) == len(rows) and found["n0", "f0"] == "Function:f1:n0" and found["n1", "f3"] == found["x.n1", "f3"] == "Function:f3:n1"
+    assert found["n2", "f0"] == "Function:f0:n2" and found["n3", "f0"] == "Function:f1:n3" and found["n1", "f59"] == "Function:f58:n1" and found["n4", "f59"] == "Function:f58:n4"
+    assert found["n0", "f57"] == "Function:f1:n0" and found["n1", "f2"] == found["n1", "elsewhere"] == found["n1", None] == "Function:f0:n1" and found["none", "f1"] is None
