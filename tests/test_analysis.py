@@ -197,12 +197,12 @@ def test_names_on_a_third_of_all_rows(spark, monkeypatch):
         assert found[name, path] == min(((tier(s[3]), o, s[0]) for o, s in enumerate(symbols) if s[2] == name), default=(0, 0, None))[2]
 
 
-def most_rows(df):
+def most_rows(df, metric="numOutputRows"):
     """Rows of the largest step of a plan, once it has run."""
     df.collect()
 
     def walk(plan):
-        told = plan.metrics().get("numOutputRows")
+        told = plan.metrics().get(metric)
         below = plan.children()
         return max([told.get().value() if told.isDefined() else 0, *[walk(below.apply(i)) for i in range(below.size())]])
 
@@ -240,3 +240,23 @@ def test_symbols_of_names_and_links_that_are_many(spark, steps_of):
     assert len(found) == len(rows) and found["n0", "f0"] == "Function:f1:n0" and found["n1", "f3"] == found["x.n1", "f3"] == "Function:f3:n1"
     assert found["n2", "f0"] == "Function:f0:n2" and found["n3", "f0"] == "Function:f1:n3" and found["n1", "f59"] == "Function:f58:n1" and found["n4", "f59"] == "Function:f58:n4"
     assert found["n0", "f57"] == "Function:f1:n0" and found["n1", "f2"] == found["n1", "elsewhere"] == found["n1", None] == "Function:f0:n1" and found["none", "f1"] is None
+
+
+def test_candidates_are_not_shuffled(spark, steps_of):
+    """Every site and callable of its name, tiers by file and import, over more files than a row has bits; the rows told
+    come from the last join."""
+    nodes, links = dense(spark)
+    files = [f"f{f}" for f in range(60)] + [f"g{f:04}" for f in range(600)] + [None]
+    links = links.unionAll(spark.createDataFrame([(f"g{i:04}", f"f{i % 60}") for i in range(600)], links.schema))
+    rows = [(f"{n}@{f}", f"n{n}", f) for f in files for n in (1, 7)] + [("none", "none", "f1")]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        told = calls.candidates(spark.createDataFrame(rows, "site string, called_name string, file_path string"), nodes, links)
+        assert most_rows(told, "shuffleRecordsWritten") < 5000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    have = {tuple(r) for r in links.collect()}
+    symbols = [(r["id"], r["name"], r["file_path"], r["ord"]) for r in nodes.collect()]
+    want = sorted((s, i, 0 if f == p else 1 if (f, p) in have else 2, o) for s, n, f in rows for i, m, p, o in symbols if m == n)
+    assert sorted(tuple(r) for r in told.select("site", "target_id", "tier", "target_ord").collect()) == want and len(want) > 50_000
+    assert calls.candidates(spark.createDataFrame(rows, "site string, called_name string, file_path string"), nodes).where("tier = 1").isEmpty()
