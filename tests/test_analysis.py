@@ -260,3 +260,41 @@ def test_candidates_are_not_shuffled(spark, steps_of):
     want = sorted((s, i, 0 if f == p else 1 if (f, p) in have else 2, o) for s, n, f in rows for i, m, p, o in symbols if m == n)
     assert sorted(tuple(r) for r in told.select("site", "target_id", "tier", "target_ord").collect()) == want and len(want) > 50_000
     assert calls.candidates(spark.createDataFrame(rows, "site string, called_name string, file_path string"), nodes).where("tier = 1").isEmpty()
+
+
+def linked_at_random(spark, seed):
+    """Weights both ways over five components, one of them an edge to itself, ids of many lengths."""
+    r = random.Random(seed)
+    links = [(f"g{g}/{r.randint(0, n)}", f"g{g}/{r.randint(0, n)}", r.choice([0.1, 0.55, 0.9, 1.0])) for g, n, m in ((0, 60, 200), (1, 12, 30), (2, 110, 130), (3, 1, 4)) for _ in range(m)] + [("self", "self", 1.0)]
+    rows = spark.createDataFrame(links + [(b, a, w) for a, b, w in links], "a string, b string, w double")
+    return rows.groupBy("a", "b").agg(F.sum("w").alias("w"))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_in_a_task_and_by_rounds(spark, monkeypatch, seed):
+    """A component's communities do not depend on where its rounds are worked out, nor on what ids are numbered by; in a
+    task they write no table a round."""
+    weights = linked_at_random(spark, seed)
+    names = weights.selectExpr("a AS id").distinct().selectExpr("id", "pmod(xxhash64(id), 1000000007) AS n")
+    a, b = (names.selectExpr(f"id AS {x}", f"n AS {y}") for x, y in (("a", "x"), ("b", "y")))
+    by_number = weights.join(a, "a").join(b, "b").selectExpr("x AS a", "y AS b", "w")
+    of = lambda df: sorted((r["node"], r["component"]) for r in df.collect())
+    written, cut = [], community.cut
+    monkeypatch.setattr(community, "cut", lambda df: written.append(1) or cut(df))
+    want = of(community.clusters(weights, min_size=1))
+    assert len(written) < 16 and ("self", "self") in want and len({c for _, c in want}) < len(want) / 2
+    assert of(community.clusters(by_number, min_size=1, names=names)) == want
+    assert of(community.clusters(by_number, names=names)) == [x for x in want if sum(c == x[1] for _, c in want) > 1]
+    monkeypatch.setattr(community, "WHOLE", 100)
+    assert of(community.clusters(weights, min_size=1)) == want
+    monkeypatch.setattr(community, "AT_ONCE", 40)
+    monkeypatch.setattr(community, "BUNDLE", 50)
+    monkeypatch.setattr(community, "WHOLE", 1000)
+    assert of(community.clusters(weights, min_size=1)) == want
+
+
+def test_turns_are_those_of_spark(spark):
+    import numpy as np
+
+    rows = spark.range(50).selectExpr("xxhash64(string(id)) AS seed", "xxhash64(string(id), 3007) AS told").collect()
+    assert community.turn_hash(np.array([r["seed"] for r in rows], np.int64), 3007).view(np.int64).tolist() == [r["told"] for r in rows]
