@@ -215,6 +215,15 @@ def test_sites_are_worked_out_once_for_types(spark):
     assert {r["site"]: r["target_id"] for r in told.collect()} == {"s1": "Method:T/save", "s2": None}
 
 
+@pytest.mark.parametrize("name", ["call_resolution", "call_resolution_stats", "call_confidence"])
+def test_sites_read_lines_once(spark, name):
+    """The calls are a written table before types are told: what is returned reads no line of the table below them."""
+    from lodegraph import catalog
+
+    told = catalog.queries()[name](spark, "/root/testdata/sf0.001")
+    assert not [f for f in told.inputFiles() if "lineitem" in f]
+
+
 @pytest.mark.parametrize("name", ["call_traces", "process_stats", "process_write_back"])
 def test_flows_read_calls_once(spark, name):
     """The calls are a written table before the rounds begin: what is returned reads no line of the table below them."""
