@@ -126,14 +126,36 @@ def flag() -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit"))
 
 
+def place(node: Column, parts: int, by_number: bool) -> Column:
+    """Where the edges of a node lie."""
+    return F.shiftright(node, WITHIN) if by_number else F.pmod(F.xxhash64(node), F.lit(8 * parts))
+
+
+def laid(pairs: DataFrame, by_number: bool) -> DataFrame:
+    """``src`` and ``dst`` with their ``place``, kept on disk by it. Who has many parallel edges makes them distinct first."""
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = pairs.where("src <> dst").select(place(F.col("src"), parts, by_number).alias("place"), "src", "dst")
+    return held.repartition(parts, "place").sortWithinPartitions("place", "src").persist(StorageLevel.DISK_ONLY)
+
+
+def along(rows: DataFrame, held: DataFrame, by_number: bool) -> DataFrame:
+    """``rows`` with ``next``, each that an edge leads to from their ``at``: they go to where the edges lie, see :func:`laid`."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.withColumn("place", place(F.col("at"), parts, by_number)).repartition(parts, "place")
+    return rows.join(held.withColumnsRenamed({"src": "at", "dst": "next"}), ["place", "at"]).drop("place")
+
+
+def stepped(front: DataFrame, held: DataFrame, by_number: bool) -> DataFrame:
+    """``node``, ``block`` and ``found``, the bits ``new`` of the nodes from which an edge leads there."""
+    on = along(front.select(F.col("node").alias("at"), "block", "new"), held, by_number)
+    return on.groupBy(F.col("next").alias("node"), "block").agg(F.bit_or("new").alias("found"))
+
+
 def met(pairs: DataFrame, starts: DataFrame, max_depth: int | None, by_number: bool) -> tuple[DataFrame, DataFrame]:
     """What :func:`reach` finds, in blocks: ``node``, ``block``, ``new`` (bits of the starts that first meet the node there)
     and ``depth``; and the starts: ``root``, ``block``, ``bit``."""
     spark = pairs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    place = F.pmod(F.xxhash64("src"), F.lit(8 * parts)) if not by_number else F.shiftright("src", WITHIN)
-    held = pairs.where("src <> dst").select(place.alias("place"), "src", "dst").repartition(parts, "place").distinct().sortWithinPartitions("place", "src")
-    held = held.persist(StorageLevel.DISK_ONLY)
+    held = laid(pairs if by_number else pairs.distinct(), by_number)
     roots = dealt(starts.select("root"))
     level = cut(roots.groupBy(F.col("root").alias("node"), "block").agg(F.bit_or(flag()).alias("new")).withColumn("seen", F.col("new")))
     levels = [level]
@@ -142,9 +164,7 @@ def met(pairs: DataFrame, starts: DataFrame, max_depth: int | None, by_number: b
         if max_depth is None or max_depth > 0:
             held.count()
         while max_depth is None or len(levels) <= max_depth:
-            front = level.where("new <> 0").select(F.col("node").alias("src"), "block", "new")
-            front = front.withColumn("place", place).repartition(parts, "place")
-            found = front.join(held, ["place", "src"]).groupBy(F.col("dst").alias("node"), "block").agg(F.bit_or("new").alias("found"))
+            found = stepped(level.where("new <> 0"), held, by_number)
             both = found.select("node", "block", none.alias("seen"), "found").unionAll(level.select("node", "block", "seen", none))
             both = both.groupBy("node", "block").agg(F.bit_or("seen").alias("seen"), F.bit_or("found").alias("found"))
             seen, now = F.col("seen"), F.col("found")

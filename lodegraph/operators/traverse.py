@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .iterate import cut, met, reach, steps
+from .iterate import along, cut, dealt, flag, laid, reach, settings, stepped, steps
 
 
 def khop(edges: DataFrame, starts: DataFrame, hops: int, direction: str = "both", include_start: bool = False) -> DataFrame:
@@ -66,35 +66,88 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, directed: bool = True, ma
     where that is given) and ``path`` (node ids with both ends; empty if there is none). From a node to itself the length
     is 0. With ``names`` (``id``, ``n``) edges hold numbers, and ``pairs`` and what is told are ids.
 
-    Of several shortest paths the one with the smallest sequence of ids. How far every node is from the targets is found
-    first, level by level for all targets at once; then each pair walks from its source to the smallest of the next
-    nodes that are a step nearer. So paths are made for the pairs only, and grow by a node a round. Distances stay in
-    blocks of targets, and are looked up there for a pair's own target.
+    Of several shortest paths the one with the smallest sequence of ids. Sources and targets are followed from both ends,
+    64 of them a row, always from the end with fewer rows: a pair is settled in the first round in which the nodes a step
+    beyond one end's last level are in the other's, and an end without an open pair, or without new nodes, is followed no
+    further. Nodes where ends meet lead back to those on shortest paths before them, and each pair walks from its source
+    to the smallest of the next nodes of these, and then of the target's levels. So no node's distance is worked out for
+    an end that has no use of it.
     """
-    ways = cut(steps(edges, "out" if directed else "both").where("src <> dst").distinct())
-    back = ways.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    by_number, none = names is not None, F.lit(0).cast("bigint")
     asked = pairs.select("src", "dst").distinct()
     if names is None:
         asked = cut(asked.select("src", "dst", F.col("src").alias("at"), F.col("dst").alias("to")))
     else:
         a, b = (names.select(F.col("id").alias(x), F.col("n").alias(y)) for x, y in (("src", "at"), ("dst", "to")))
         asked = cut(asked.join(a, "src").join(b, "dst").select("src", "dst", "at", "to"))
-    away, targets = met(back, asked.select(F.col("to").alias("root")), max_depth, names is not None)
-    away = cut(away)  # one table, however many levels: each round reads it
-    own = F.expr("shiftright(new, bit) & 1 = 1")
-    ends = asked.join(targets.withColumnRenamed("root", "to"), "to").join(away.withColumnRenamed("node", "at"), ["at", "block"]).where(own)
-    ends = cut(ends.select("src", "dst", "at", "block", "bit", F.col("depth").alias("length")))
-    live = ends.select("src", "dst", "at", F.array("src").alias("path"), F.col("length").alias("left"), "block", "bit")
-    done = live.where("left = 0").select("src", "dst", "path")
-    for _ in range(ends.agg(F.max("length")).first()[0] or 0):
-        onward = live.where("left > 0").join(ways.withColumnsRenamed({"src": "at", "dst": "next"}), "at").drop("at")
-        nearer = away.select(F.col("node").alias("next"), "block", "new", (F.col("depth") + 1).alias("left"))
-        onward = onward.join(nearer, ["next", "block", "left"]).where(own)
-        onward = onward.withColumn("id", F.col("next")) if names is None else onward.join(names.select(F.col("n").alias("next"), "id"), "next")
-        best = onward.groupBy("src", "dst", "left", "block", "bit").agg(F.min(F.struct("id", "next")).alias("best"), F.first("path").alias("path"))
-        live = cut(best.select("src", "dst", F.col("best.next").alias("at"), F.concat("path", F.array("best.id")).alias("path"), (F.col("left") - 1).alias("left"), "block", "bit"))
-        done = done.unionByName(live.where("left = 0").select("src", "dst", "path"))
-    found = pairs.join(ends.select("src", "dst", "length"), ["src", "dst"], "left").join(done, ["src", "dst"], "left")
+    parted = asked.where("at <> to")
+    ends = [dealt(parted.select(F.col(name).alias("root")).distinct()).toDF(name, block, bit) for name, block, bit in (("at", "sb", "sbit"), ("to", "tb", "tbit"))]
+    live = cut(parted.join(ends[0], "at").join(ends[1], "to"))
+    ways = steps(edges, "out" if directed else "both")
+    out = laid(ways if by_number else ways.distinct(), by_number)
+    held = [out, laid(out.select(F.col("dst").alias("src"), F.col("src").alias("dst")), by_number) if directed else out]
+    first = [e.toDF("node", "block", "bit").groupBy("node", "block").agg(F.bit_or(flag()).alias("new")) for e in ends]
+    levels = [[cut(level.withColumn("seen", F.col("new")))] for level in first]
+    counts = [level[0].count() for level in levels]
+    settled: list[tuple[int, int, DataFrame]] = []  # the length, how far from the source ends met, and where for which pair
+    own = lambda bits, bit: F.expr(f"shiftright({bits}, {bit}) & 1 = 1")
+    with settings(edges.sparkSession, spark_sql_requireAllClusterKeysForCoPartition="false", spark_sql_classic_shuffleDependency_fileCleanup_enabled="true"):
+        while not live.isEmpty() and (max_depth is None or sum(map(len, levels)) - 1 <= max_depth):
+            side = int(len(levels[1]) == 1 or counts[1] <= counts[0])  # targets that nothing leads to go first
+            (block, bit), (far, far_bit) = (("sb", "sbit"), ("tb", "tbit"))[:: -1 if side else 1]
+
+            def asking(rows: DataFrame, *bits: str) -> DataFrame:
+                """The rows, with only the bits of ends with an open pair."""
+                mask = live.groupBy(F.col(block).alias("block")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col(bit))).alias("mask"))
+                return rows.join(mask, "block").select("node", "block", *[F.col(b).bitwiseAND(F.col("mask")).alias(b) for b in bits])
+
+            level, other = levels[side][-1], levels[1 - side][-1].where("new <> 0").select("node", F.col("block").alias(far), F.col("new").alias("theirs"))
+            other = other.join(live.select(F.col(block).alias("block"), far).distinct(), far)
+            front = asking(level.where("new <> 0"), "new").where("new <> 0")
+            near = stepped(front, held[side], by_number).join(other, ["node", "block"])
+            bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftright", F.col("found"), i).bitwiseAND(1) == 1)
+            near = near.select("node", F.col("block").alias(block), far, "theirs", F.explode(bits).alias(bit))
+            there = cut(near.join(live, [block, far, bit]).where(own("theirs", far_bit)).select(*live.columns, "node"))
+            length, far_from_source = sum(map(len, levels)) - 1, len(levels[0]) - side
+            settled.append((length, far_from_source, there))
+            live = cut(live.join(there.select("src", "dst").distinct(), ["src", "dst"], "left_anti").select(live.columns))
+            if live.isEmpty():
+                break
+            found = stepped(asking(level.where("new <> 0"), "new").where("new <> 0"), held[side], by_number)
+            both = found.select("node", "block", none.alias("seen"), "found").unionAll(asking(level, "seen").select("node", "block", "seen", none))
+            both = both.groupBy("node", "block").agg(F.bit_or("seen").alias("seen"), F.bit_or("found").alias("found"))
+            seen, now = F.col("seen"), F.col("found")
+            levels[side].append(cut(both.select("node", "block", now.bitwiseAND(F.bitwise_not(seen)).alias("new"), seen.bitwiseOR(now).alias("seen")).where("seen <> 0")))
+            new = levels[side][-1].where("new <> 0")
+            counts[side] = new.count()
+            going = new.groupBy(F.col("block").alias(block)).agg(F.bit_or("new").alias("going"))
+            live = cut(live.join(going, block).where(own("going", bit)).select(live.columns))
+        keys = ["src", "dst", "sb", "sbit"]
+        between: dict[int, DataFrame] = {}  # nodes on shortest paths so far from the source, up to where ends met
+        for far in range(max((p for _, p, _ in settled), default=0), 0, -1):
+            here = [there.select(*keys, "node") for _, p, there in settled if p == far]
+            if far + 1 in between:
+                before = along(between[far + 1].withColumnRenamed("node", "at"), held[1], by_number).drop("at").withColumnRenamed("next", "node")
+                known = levels[0][far].where("new <> 0").select("node", F.col("block").alias("sb"), "new")
+                here.append(before.join(known, ["node", "sb"]).where(own("new", "sbit")).select(*keys, "node"))
+            between[far] = cut(functools.reduce(DataFrame.unionByName, here).distinct())
+        same = asked.where("at = to").select("src", "dst", F.lit(0).alias("length"), F.array("src").alias("path"))
+        done, begun = [same], [there.select("src", "dst", "at", "tb", "tbit", F.lit(n).alias("length"), F.lit(p).alias("met")).distinct() for n, p, there in settled]
+        if begun:
+            away = functools.reduce(DataFrame.unionByName, [level.where("new <> 0").select(F.col("node").alias("next"), F.col("block").alias("tb"), "new", F.lit(n).alias("left")) for n, level in enumerate(levels[1])])
+            walks = cut(functools.reduce(DataFrame.unionByName, begun).withColumn("path", F.array("src")))
+            for n in range(1, settled[-1][0] + 1):
+                on = along(walks.where(F.col("length") >= n), held[0], by_number).drop("at")
+                after = on.where(F.col("met") < n).withColumn("left", F.col("length") - n).join(away, ["next", "tb", "left"]).where(own("new", "tbit")).select(on.columns)
+                if n in between:
+                    after = after.unionByName(on.where(F.col("met") >= n).join(between[n].select("src", "dst", F.col("node").alias("next")), ["src", "dst", "next"]).select(on.columns))
+                after = after.withColumn("id", F.col("next")) if names is None else after.join(names.select(F.col("n").alias("next"), "id"), "next")
+                best = after.groupBy("src", "dst", "tb", "tbit", "length", "met").agg(F.min(F.struct("id", "next")).alias("best"), F.first("path").alias("path"))
+                walks = cut(best.select("src", "dst", F.col("best.next").alias("at"), "tb", "tbit", "length", "met", F.concat("path", F.array("best.id")).alias("path")))
+                done.append(walks.where(F.col("length") == n).select("src", "dst", "length", "path"))
+    for edges_held in held:
+        edges_held.unpersist()
+    found = pairs.join(functools.reduce(DataFrame.unionByName, done), ["src", "dst"], "left")
     return found.select("src", "dst", F.coalesce("length", F.lit(-1)).alias("length"), F.coalesce("path", F.array().cast("array<string>")).alias("path"))
 
 

@@ -247,6 +247,18 @@ def test_shortest_paths_keep_distances_in_blocks(spark, monkeypatch):
     assert max(t.count() for t in written) <= 2 * 70
 
 
+def test_shortest_paths_look_no_further_than_a_pair(spark, monkeypatch):
+    """Rounds end when every pair is settled, however far the graph goes on behind its ends."""
+    _, edges = chains(spark, 1, 60)
+    pairs = spark.createDataFrame([("Function:c000/50", "Function:c000/53"), ("Function:c000/50", "Function:none")], "src string, dst string")
+    written, cut = [], iterate.cut
+    for module in (iterate, traverse):
+        monkeypatch.setattr(module, "cut", lambda df: written.append(cut(df)) or written[-1])
+    told = {r["dst"]: (r["length"], r["path"]) for r in traverse.shortest_paths(edges, pairs).collect()}
+    assert told == {"Function:c000/53": (3, [f"Function:c000/{i}" for i in range(50, 54)]), "Function:none": (-1, [])}
+    assert len(written) <= 30
+
+
 @pytest.mark.parametrize("limit", [0, 1, 2, 3, 4, 5])
 def test_all_paths_against_plain_search(spark, limit):
     """Paths over cycles, parallel edges and an edge to itself, by id and by number."""
